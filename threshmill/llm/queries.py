@@ -4,10 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from threshmill.llm.bpe import bpe_round_trip
 from threshmill.llm.common import table
+from threshmill.llm.language_id import language_id
+from threshmill.llm.license_scan import license_scan
+from threshmill.llm.matroska import text_media
 from threshmill.llm.ngram_jaccard import ngram_jaccard_join
+from threshmill.llm.repeat_spans import remove_repeats
+from threshmill.llm.source_mix import mix_sources
+from threshmill.llm.toxicity import toxicity
+
+
+def op1_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text stored as samples in a Matroska file and read back from its packets."""
+    return text_media(table(spark, sf_dir, "documents"))
+
+
+def op4_repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words under 35-word windows that start at two places or more go from all documents."""
+    return remove_repeats(table(spark, sf_dir, "documents"), k=35, rewrite=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to source weights 1, 2, 3, repeating, with at most three reads."""
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text by its nearest labelled examples."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text by its nearest centroid."""
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded with the public 50k byte-level vocabulary."""
+    return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and short notices in every whole text."""
+    return license_scan(table(spark, sf_dir, "documents"))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +59,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_matroska_media": op1_matroska_media,
+    "op4_repeat_spans": op4_repeat_spans,
+    "op5_source_mix": op5_source_mix,
+    "op6_toxicity": op6_toxicity,
+    "op7_language_id": op7_language_id,
+    "op8_bpe": op8_bpe,
+    "op9_license_scan": op9_license_scan,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }

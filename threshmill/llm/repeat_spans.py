@@ -218,7 +218,7 @@ def remove_repeats(docs: DataFrame, k: int = 35, seed_words: int = 8, carry: tup
     text = F.col("text").cast("string")
     keyed = docs.select(F.xxhash64("doc_id", text).alias("row_key"), "doc_id", text.alias("text"), *[c for c in carry if c not in ("doc_id", "text")])
     pieces = (
-        keyed.select("row_key", "text").mapInArrow(lambda it: _deal(it, k, seed_words, n), "bucket int, blob binary")
+        keyed.select("row_key", "text").mapInArrow(lambda it: _deal(it, k, min(seed_words, k), n), "bucket int, blob binary")
         .groupBy("bucket").applyInArrow(_repeated, "row_key long, pieces binary")
         .groupBy("row_key").agg(F.collect_list("pieces").alias("__pieces"))
     )
