@@ -52,9 +52,19 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def buckets(spark: SparkSession, least: int = 16) -> int:
+def buckets(spark: SparkSession, least: int = 16, per_partition: int = 2) -> int:
     """Of a packed shuffle: a few to each shuffle partition."""
-    return max(least, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Rows of a batch between Spark and Python, where the session keeps Spark's default: texts may be long.
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Keep batches of whole texts small in the memory of executors and their Python workers."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -34,9 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threshmill.llm.common import U, bucket_of, buckets, mix, text_chunks, window_hashes, word_hashes
+from threshmill.llm.common import U, bucket_of, buckets, mix, short_batches, text_chunks, window_hashes, word_hashes
 
-FLUSH_WINDOWS = 2_000_000
+FLUSH_WINDOWS = 1_000_000
 BLOBS = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 PIECES = pa.schema([("row_key", pa.int64()), ("pieces", pa.binary())])
 #: Of a piece: first word, windows, times that each occurs.
@@ -214,7 +214,8 @@ def remove_repeats(docs: DataFrame, k: int = 35, seed_words: int = 8, carry: tup
     null doc_id is a document like any other. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    n = buckets(spark)
+    short_batches(spark)
+    n = buckets(spark, per_partition=4)
     text = F.col("text").cast("string")
     keyed = docs.select(F.xxhash64("doc_id", text).alias("row_key"), "doc_id", text.alias("text"), *[c for c in carry if c not in ("doc_id", "text")])
     pieces = (

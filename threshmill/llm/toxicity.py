@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 PER_CLASS = 2048
 VOCABULARY = 1024
-LEAST_CHI2 = 24.0
+LEAST_CHI2 = 32.0
 NEIGHBOURS = 15
 BLOCK = 32
 EVIDENCE = 3
@@ -118,6 +118,8 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 def build(examples: list[tuple[int, int, Counter]], rate: float, vocabulary: int = VOCABULARY) -> Index:
     """Of (doc_id, label, term counts); rate: share of label 1 among all learnable labels."""
+    # equal texts are one example: a passage that was copied often isn't evidence as often
+    examples = list({(label, frozenset(counts.items())): (doc, label, counts) for doc, label, counts in reversed(examples)}.values())
     n = {c: sum(1 for e in examples if e[1] == c) for c in (0, 1)}
     df = {c: Counter(t for e in examples if e[1] == c for t in e[2]) for c in (0, 1)}
     total = n[0] + n[1]
