@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threshmill.llm.common import short_batches
+
 #: Fixed value of the format: how byte-level BPE splits a text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORDS_KEPT = 400_000
@@ -177,6 +179,7 @@ def bpe_round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFr
     library does by default; none are added. A null text is empty. Repeated
     rows give repeated rows, an empty table none; other columns are ignored.
     """
+    short_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threshmill.llm.common import text_chunks
+from threshmill.llm.common import short_batches, text_chunks
 
 DIMENSIONS = 4096
 PER_LANGUAGE = 256
@@ -145,6 +145,7 @@ def language_id(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     are classified and not held out. Repeated rows give repeated rows, an empty
     table none; other columns are ignored.
     """
+    short_batches(docs.sparkSession)
     model = train(docs, per_language)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threshmill.llm.common import short_batches
+
 #: Base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Notices searched with errors, their labels, and the edits allowed.
@@ -115,6 +117,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     the closest notice's length, 0 without any. A null text is empty. Repeated
     rows give repeated rows, an empty table none; other columns are ignored.
     """
+    short_batches(docs.sparkSession)
     own = Scanner
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,6 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threshmill.llm.common import short_batches
+
 PER_CLASS = 2048
 VOCABULARY = 1024
 LEAST_CHI2 = 32.0
@@ -207,6 +209,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, car
     are 0. Rows with a null doc_id are scored and not held out. Repeated rows
     give repeated rows, an empty table none; other columns are ignored.
     """
+    short_batches(docs.sparkSession)
     index = train(docs, labels, per_class)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
