@@ -1,0 +1,173 @@
+"""Ranking, quotas and exact dedup. Operators W1-W14, D1, D2, A2, A3, A26, G2, G3, P27-P30, U1-U4."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def _window(group: Sequence[str], order: Sequence[Column]):
+    return (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy(*order)
+
+
+def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
+    """The first n of each group; the limit is pushed below the shuffle."""
+    return df.withColumn(rank, F.row_number().over(_window(group, order))).where(F.col(rank) <= n)
+
+
+def primary_and_reserve(df: DataFrame, group: Sequence[str], order: Sequence[Column], primaries: int, reserves: int) -> DataFrame:
+    """One ranking, split by rank."""
+    return top_per_group(df, group, order, primaries + reserves).withColumn("role", F.when(F.col("rank") <= primaries, "primary").otherwise("reserve"))
+
+
+def first_per_key(df: DataFrame, key: Sequence[str], seq: Column) -> DataFrame:
+    """The first row of each key. Rows are combined before the shuffle."""
+    return _one(df, key, F.min_by, seq)
+
+
+def last_per_key(df: DataFrame, key: Sequence[str], seq: Column) -> DataFrame:
+    """The last row of each key."""
+    return _one(df, key, F.max_by, seq)
+
+
+def _one(df: DataFrame, key: Sequence[str], pick, seq: Column) -> DataFrame:
+    rest = [c for c in df.columns if c not in key]
+    return df.groupBy(*key).agg(pick(F.struct(*rest), seq).alias("__row")).select(*key, "__row.*")
+
+
+def round_robin_cap(df: DataFrame, group: str, member: str, seq: str, cap: int) -> DataFrame:
+    """Of each group up to cap rows, one from each member in turn, small members first."""
+    sizes = df.groupBy(group, member).agg(F.count("*").alias("__size"))
+    ranked = sizes.withColumn("__place", F.row_number().over(Window.partitionBy(group).orderBy("__size", member)))
+    turn = df.withColumn("__turn", F.row_number().over(Window.partitionBy(group, member).orderBy(seq)))
+    # a member gives at most cap rows, so only those meet in the group's ranking
+    chosen = turn.where(F.col("__turn") <= cap).join(ranked, [group, member]).withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy("__turn", "__place")))
+    return chosen.where(F.col("__n") <= cap).select(*df.columns)
+
+
+def k_groups_m_items(df: DataFrame, group: str, member: str, seq: str, k: int, m: int) -> DataFrame:
+    """The k members of each group with the most rows (ties to the first seen), m rows of each."""
+    sizes = df.groupBy(group, member).agg(F.count("*").alias("__size"), F.min(seq).alias("__first"))
+    best = top_per_group(sizes, [group], [F.desc("__size"), F.col("__first")], k, "__place").select(group, member)
+    return top_per_group(df, [group, member], [F.col(seq)], m, "__n").join(best, [group, member]).select(*df.columns)
+
+
+def shard(df: DataFrame, seq: Sequence[Column], n: int) -> DataFrame:
+    """Shards in turn. The running number is dealt by sorted range, not in one task."""
+    return numbered(df, seq, "__i").withColumn("shard", F.pmod(F.col("__i") - 1, F.lit(n)).cast("int")).drop("__i")
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """A running number from 1 in a total order: range partitions count their rows, then number them from their start."""
+    placed = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    counts = placed.groupBy("__part").agg(F.count("*").alias("__c"))  # one row for each partition
+    starts = counts.withColumn("__start", F.coalesce(F.sum("__c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__start")
+    return placed.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__n")).drop("__part", "__n", "__start")
+
+
+def top_mid_bottom(df: DataFrame, order: Sequence[Column], n: int = 15) -> DataFrame:
+    """The first, middle and last n rows of a small table, with their part."""
+    total = F.count("*").over(Window.partitionBy())
+    ranked = df.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("__total", total)
+    middle = F.floor((F.col("__total") - n) / 2)
+    part = F.when(F.col("rank") <= n, "top").when(F.col("rank") > F.col("__total") - n, "bottom").when((F.col("rank") > middle) & (F.col("rank") <= middle + n), "middle")
+    return ranked.withColumn("part", part).where("part IS NOT NULL").drop("__total")
+
+
+def hashed_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """N rows in an order fixed by a hash of the key and the seed; all if there are fewer."""
+    return df.withColumn("__h", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))).orderBy("__h", key).limit(n).drop("__h")
+
+
+def with_floor(df: DataFrame, group: Sequence[str], least: int) -> DataFrame:
+    """A2: the rows of groups with at least so many."""
+    keep = df.groupBy(*group).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(*group)
+    return df.join(keep, list(group), "left_semi")
+
+
+def floor_split(df: DataFrame, group: str, title: str, seq: str, least: int) -> DataFrame:
+    """A3: each group with its first title, its count and the side of the floor it is on."""
+    return df.groupBy(group).agg(F.min_by(title, seq).alias("title"), F.count("*").alias("n")).withColumn("side", F.when(F.col("n") >= least, "above").otherwise("below"))
+
+
+def gap(have: DataFrame, wanted: DataFrame, key: str, target: int) -> DataFrame:
+    """How many rows each wanted key lacks."""
+    counts = have.groupBy(key).agg(F.count("*").alias("have"))
+    return wanted.select(key).distinct().join(counts, key, "left").select(key, F.coalesce("have", F.lit(0)).alias("have"), F.greatest(F.lit(target) - F.coalesce("have", F.lit(0)), F.lit(0)).alias("gap"))
+
+
+def wage(median: Column, mean: Column, hourly: Column) -> Column:
+    """The first that is positive: median, mean, hourly for 2080 hours."""
+    return F.coalesce(F.when(median > 0, median), F.when(mean > 0, mean), F.when(hourly > 0, hourly * 2080))
+
+
+def specificity(related: Column, boost: Column) -> Column:
+    """P29."""
+    return 1 / F.log(2 + F.greatest(F.lit(0), related)) + F.coalesce(boost, F.lit(0.0))
+
+
+def rank_score(employment: Column, core: Column, tasks: Column) -> Column:
+    """P30."""
+    return employment.cast("long") * 10000 + core.cast("long") * 100 + tasks.cast("long")
+
+
+def proportional(groups: Sequence[tuple[str, float, int]], target: int, floor: int = 1, cap: int | None = None) -> dict[str, int]:
+    """Places of each group (name, weight, rows available): its share rounded half to even, within floor, cap and supply, then trimmed from the largest or topped up where most is left; ties to the smaller name.
+
+    A group's summary is one row, so this works on as many rows as there are groups.
+    """
+    total = sum(w for _, w, _ in groups)
+    out = {g: min(max(round(target * w / total) if total else 0, floor), n, cap if cap is not None else n) for g, w, n in groups}
+    supply = {g: min(n, cap if cap is not None else n) for g, _, n in groups}
+    while sum(out.values()) > target:
+        able = [g for g in out if out[g] > floor]
+        if not able:
+            break
+        out[min(able, key=lambda g: (-out[g], g))] -= 1
+    while sum(out.values()) < target:
+        able = [g for g in out if out[g] < supply[g]]
+        if not able:
+            break
+        out[min(able, key=lambda g: (-(supply[g] - out[g]), g))] += 1
+    return out
+
+
+def domain_cap(counts: Sequence[tuple[str, str, int, int]], share: float) -> dict[tuple[str, str], int]:
+    """Of (domain, group, rows, first place), how many leading rows each domain keeps in each group.
+
+    While the largest domain has more than share of all rows, its last rows go, one from each of its groups in turn, largest group first. The input has a row for each domain and group.
+    """
+    keep = {(d, g): n for d, g, n, _ in counts}
+    first = {}
+    for d, _, _, at in counts:
+        first[d] = min(at, first.get(d, at))
+    sizes = {d: sum(n for x, _, n, _ in counts if x == d) for d in first}
+    total = sum(sizes.values())
+    while total:
+        top = min(sizes, key=lambda d: (-sizes[d], first[d]))
+        limit = max(int(share * total), 1)
+        if sizes[top] <= limit:
+            break
+        groups = sorted((g for d, g, _, _ in counts if d == top and keep[d, g] > 0), key=lambda g: (-keep[top, g], g))
+        for g in groups:
+            if sizes[top] <= max(int(share * total), 1):
+                break
+            keep[top, g] -= 1
+            sizes[top] -= 1
+            total -= 1
+    return keep
+
+
+def capped_domains(df: DataFrame, domain: str, group: str, seq: str, share: float) -> DataFrame:
+    """G2 over a table."""
+    counts = df.groupBy(domain, group).agg(F.count("*").alias("n"), F.min(seq).alias("first")).collect()  # one row for each domain and group
+    keep = domain_cap([(r[0], r[1], r[2], r[3]) for r in counts], share)
+    plan = df.sparkSession.createDataFrame([(d, g, k) for (d, g), k in keep.items()], f"{domain} string, {group} string, __keep long")
+    return df.withColumn("__i", F.row_number().over(Window.partitionBy(domain, group).orderBy(seq))).join(plan, [domain, group]).where("__i <= __keep").select(*df.columns)
+
+
+def prefer_left(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The left table, and of the right the keys that the left lacks."""
+    return left.unionByName(right.join(left.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
