@@ -182,8 +182,8 @@ ORACLE_SQL: dict[str, str] = {
     "supply_gap": "SELECT source, count(*) FILTER (WHERE lang = 'en') AS have, greatest(51 - count(*) FILTER (WHERE lang = 'en'), 0) AS gap FROM documents GROUP BY source",
     "top_n_per_group": "WITH r AS (SELECT c_mktsegment, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_totalprice DESC, o_orderkey)::INT AS rank FROM orders JOIN customer ON c_custkey = o_custkey) SELECT c_mktsegment, o_orderkey, rank FROM r WHERE rank <= 5 ORDER BY o_totalprice DESC, o_orderkey LIMIT 12",
     "primary_reserve_split": "WITH r AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey)::INT AS rank FROM customer) SELECT c_nationkey, c_custkey, rank, CASE WHEN rank <= 3 THEN 'primary' ELSE 'reserve' END AS role FROM r WHERE rank <= 5",
-    "round_robin_cap": "WITH s AS (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY count(*), source) AS p FROM documents GROUP BY ALL), t AS (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS turn FROM documents) SELECT lang, source, doc_id FROM t JOIN s USING (lang, source) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY turn, p) <= 40",
-    "k_groups_m_items": "WITH s AS (SELECT lang, source FROM documents GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, min(doc_id)) <= 3) SELECT lang, source, doc_id FROM documents JOIN s USING (lang, source) QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) <= 4",
+    "round_robin_cap": "WITH z AS (SELECT lang, source, count(*) AS c FROM documents GROUP BY lang, source), s AS (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY c, source) AS p FROM z), t AS (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS turn FROM documents) SELECT lang, source, doc_id FROM t JOIN s USING (lang, source) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY turn, p) <= 40",
+    "k_groups_m_items": "WITH z AS (SELECT lang, source, count(*) AS c, min(doc_id) AS f FROM documents GROUP BY lang, source), s AS (SELECT lang, source FROM z QUALIFY row_number() OVER (PARTITION BY lang ORDER BY c DESC, f) <= 3) SELECT lang, source, doc_id FROM documents JOIN s USING (lang, source) QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) <= 4",
     "top_mid_bottom": "WITH s AS (SELECT source, round(avg(length(text)), 6) AS m FROM documents GROUP BY source), r AS (SELECT source, row_number() OVER (ORDER BY m DESC, source)::INT AS rank, count(*) OVER () AS t FROM s), p AS (SELECT source, rank, CASE WHEN rank <= 5 THEN 'top' WHEN rank > t - 5 THEN 'bottom' WHEN rank > (t - 5) // 2 AND rank <= (t - 5) // 2 + 5 THEN 'middle' END AS part FROM r) SELECT * FROM p WHERE part IS NOT NULL",
     "hashed_sample": "SELECT doc_id FROM documents ORDER BY md5(doc_id || '|7'), doc_id LIMIT 20",
     "share_gate": f"""WITH RECURSIVE {HOSTS}, h AS (SELECT (page_id % 6 * 6 + 17) || '-0000' AS soc, CASE WHEN page_id % 4 = 0 THEN 'www2.cdc.gov' WHEN page_id % 9 = 0 THEN 'bls.gov' ELSE host END AS domain, page_id FROM hosts),
