@@ -206,3 +206,24 @@ ORACLE_SQL: dict[str, str] = {
     "event_windows_tumbling": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "event_sessions": "WITH e AS (SELECT user_id, ts, event_id, coalesce((ts - lag(ts) OVER w > INTERVAL 30 MINUTE), true)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM e) SELECT user_id, session, count(*) AS n, min(ts) AS first, max(ts) AS last FROM s GROUP BY user_id, session",
 }
+
+ORACLE_SQL |= {
+    "bank_rows": f"WITH {ITEMS} SELECT 'u' || conv_id AS source_url, 'o' AS occupation, length(trim(coalesce(a, '')))::INT AS a, length(trim(coalesce(d, '')))::INT AS d, 'All of the above' AS option_E, 'None of the above' AS option_F, correct AS correct_answer FROM items",
+    "coverage_map": f"WITH {HOSTS}, u AS (SELECT host, url, min(page_id) AS s, count(*) AS c FROM hosts GROUP BY ALL) SELECT host, sum(c)::BIGINT AS n_items, array_to_string(list(url ORDER BY s)[1:3], '; ') AS urls FROM u GROUP BY host",
+    "bank_summary": f"WITH {HOSTS}, t AS (SELECT host, count(*) AS n FROM hosts GROUP BY host ORDER BY n DESC, host LIMIT 5) SELECT (SELECT count(*) FROM hosts) AS n_items, (SELECT count(DISTINCT host) FROM hosts) AS n_hosts, (SELECT string_agg(n || ':' || host, ',' ORDER BY n DESC, host DESC) FROM t) AS top",
+    "forum_threads": "WITH p AS (SELECT conv_id, turn FROM conversations WHERE length(trim(text)) >= 40) SELECT conv_id, count(*)::INT AS n, coalesce(max(turn) FILTER (WHERE turn = 1), max(turn)) AS first_score FROM p GROUP BY conv_id HAVING count(*) >= 4",
+    "gathered_sources": "WITH p AS (SELECT page_id % 9 AS o, string_split(url, '?')[1] AS url, page_id % 3 AS v, page_id AS s FROM pages), f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY o, url ORDER BY v, s) = 1), c AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY o, v ORDER BY s, url) <= CASE WHEN v = 0 THEN 2 ELSE 9 END), n AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY v, s, url)::INT AS place FROM c) SELECT o AS occupation, url, place FROM n WHERE place <= 5",
+    "checkpoint_repair": "SELECT o_orderkey % 200 AS row_id, max(o_orderkey) AS seq, arg_max(o_custkey, o_orderkey) AS o_custkey FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1",
+    "page_links": """WITH m AS (SELECT unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS u, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS n FROM pages) SELECT regexp_replace(trim(u), '/+$', '') AS url, min(trim(n)) AS name FROM m GROUP BY 1""",
+    "feed_parsing": rf"""WITH b AS (SELECT item_id, {COLLAPSE("regexp_replace(text, '[<>&" + chr(34) + r"\\]', ' ', 'g')")} AS t FROM benchmark) SELECT 'http://arxiv.org/pdf/' || item_id || '.pdf' AS url, md5(substr(t, 1, 200)) AS title, length(substr(t, 1, 300))::INT AS n, 'arxiv.org' AS domain FROM b""",
+    "recorded_provider": "WITH k AS (SELECT DISTINCT url FROM pages WHERE page_id % 3 = 0) SELECT page_id, CASE WHEN url IN (SELECT url FROM k) THEN length(url)::VARCHAR END AS answer, CASE WHEN regexp_matches(url, '/(?:articles/)?PMC[0-9]+') THEN 'efetch' WHEN page_id % 2 = 0 THEN 'premium,basic,direct' ELSE 'direct,proxy' END AS route FROM pages",
+    "answer_sets": "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'AC' ELSE 'ABCD' END AS letters, CASE turn % 3 WHEN 0 THEN 'AC' WHEN 1 THEN 'BD' ELSE '' END AS plausible, turn % 3 = 0 AS as_expected FROM conversations",
+    "numbered_verdict_map": "SELECT doc_id, 2 AS n, CASE WHEN doc_id % 5 = 0 THEN 'YES' ELSE 'NO' END AS one, CASE WHEN doc_id % 3 = 0 THEN 'YES' ELSE 'NO' END AS two FROM labels",
+    "thread_scores": "WITH c AS (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 0 ELSE turn END AS score, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n, max(CASE WHEN conv_id % 2 = 0 THEN 0 ELSE turn END) OVER (PARTITION BY conv_id) AS m FROM conversations) SELECT conv_id, string_agg(CASE WHEN m = 0 THEN greatest(1, n - i + 1) ELSE score END, ',' ORDER BY i) AS scores FROM c GROUP BY conv_id",
+    "difficulty_labels": f"WITH {RESPONSES}, n AS (SELECT doc_id, count(*) FILTER (WHERE answer = correct) AS n FROM responses WHERE model = 'm1' GROUP BY doc_id) SELECT doc_id, CASE WHEN n >= 3 THEN 'easy' WHEN n = 2 THEN 'medium' ELSE 'hard' END AS difficulty, CASE WHEN n = 3 THEN 'too_easy' WHEN n = 0 AND doc_id % 2 = 0 THEN 'too_hard' ELSE 'keep' END AS verdict FROM n",
+    "jurisdiction_limits": "WITH b AS (SELECT item_id, lower(text || CASE WHEN item_id % 2 = 0 THEN ' texas' ELSE '' END) AS stem FROM benchmark) SELECT item_id, item_id % 3 <> 1 AND item_id % 5 <> 0 AND NOT (item_id % 3 = 0 AND (contains(stem, 'texas') OR contains(stem, '2019'))) AS unfixable FROM b",
+    "merge_lint": f"""WITH {ITEMS}, p AS (SELECT conv_id, {WORDS("coalesce(a, '')")} AS n, conv_id % 9 = 0 AS bad, [{', '.join(f"trim(coalesce({c}, ''))" for c in 'abcd')}] AS o FROM items)
+      SELECT conv_id, CASE WHEN list_contains(o, '') THEN 'missing_option' WHEN len(list_filter(o, lambda x: suffix(x, '?'))) > 0 THEN 'question_mark'
+      WHEN len(list_filter(o, lambda x: regexp_matches(x, '(?i)(^|[^a-z0-9_])(i|i''m|i''ve|we|we''re|our|ours|us|my)([^a-z0-9_]|$)'))) > 0 THEN 'pronoun' WHEN n < 20 THEN 'short_stem' WHEN bad THEN 'bad_answer' END AS reason FROM p""",
+    "event_windows_sliding": "SELECT h - INTERVAL (i) HOUR AS start, count(*) AS n FROM (SELECT date_trunc('hour', ts) AS h FROM events WHERE event_type = 'error'), range(3) t(i) GROUP BY 1",
+}

@@ -634,3 +634,154 @@ def event_sessions(spark, d):
     e = read(spark, d, "events").select("user_id", "ts", "event_id").withColumn("new", F.coalesce((F.col("ts") - F.lag("ts").over(w)) > F.expr("interval 30 minutes"), F.lit(True)).cast("int"))
     s = e.withColumn("s", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return s.groupBy("user_id", "s").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")).select("user_id", F.col("s").alias("session"), "n", "first", "last")
+
+
+# sources and sinks
+
+
+@query
+def bank_rows(spark, d):
+    """[K3, K4] Items flattened to a bank row, with texts for E and F."""
+    from threshmill.sources.io import bank
+
+    rows = items(spark, d).select(F.concat(F.lit(" u"), F.col("conv_id").cast("string")).alias("source_url"), F.lit("o ").alias("occupation"), "question", "options", F.col("correct").alias("correct_answer"))
+    b = bank(rows)
+    return b.select("source_url", "occupation", F.length("option_A").alias("a"), F.length("option_D").alias("d"), "option_E", "option_F", "correct_answer")
+
+
+@query
+def coverage_map(spark, d):
+    """[K10] Pages and first three URLs of each host."""
+    from threshmill.sources.io import coverage
+
+    return coverage(hosts(spark, d), "host", "url", "page_id")
+
+
+@query
+def bank_summary(spark, d):
+    """[K5, W8] Totals and the most frequent hosts, in one row."""
+    from threshmill.sources.io import summary
+
+    h = hosts(spark, d).withColumn("category", urls.category(F.col("host")))
+    s = summary(h, "host", "category", 5)
+    return s.select("n_items", "n_hosts", F.array_join(F.transform("top_hosts", lambda x: F.concat(x["n"].cast("string"), F.lit(":"), x["host"])), ",").alias("top"))
+
+
+@query
+def forum_threads(spark, d):
+    """[S18, S19] Conversations with four answers or more of 40 characters, accepted first."""
+    from threshmill.sources.io import forum_threads as threads
+
+    posts = read(spark, d, "conversations").select(F.col("conv_id").alias("url"), "text", F.col("turn").alias("score"), (F.col("turn") == 1).alias("accepted"))
+    t = threads(posts, "text")
+    return t.select(F.col("url").alias("conv_id"), F.size("answers").alias("n"), F.element_at("answers", 1)["s"].alias("first_score"))
+
+
+@query
+def gathered_sources(spark, d):
+    """[S15, S16, S22, S23, S24, G11] Five URLs of each group by venue priority, two of the first venue at most."""
+    from threshmill.sources.io import gather_sources
+
+    p = read(spark, d, "pages").select((F.col("page_id") % 9).alias("occupation"), urls.canonical(F.col("url"), "query").alias("url"), (F.col("page_id") % 3).alias("venue"), F.col("page_id").alias("seq"))
+    return gather_sources(p, "venue", "seq", F.when(F.col("venue") == 0, 2).otherwise(9)).select("occupation", "url", "place")
+
+
+@query
+def checkpoint_repair(spark, d):
+    """[S9, D2] Checkpoint rows with repeated headers and keys."""
+    from threshmill.sources.io import repair_checkpoint
+
+    o = read(spark, d, "orders")
+    rows = o.select(F.when(F.col("o_orderkey") % 7 == 0, "row_id").otherwise((F.col("o_orderkey") % 200).cast("string")).alias("row_id"), F.col("o_orderkey").alias("seq"), "o_custkey")
+    return repair_checkpoint(rows)
+
+
+@query
+def page_links(spark, d):
+    """[S21, D1] Links of pages with their names, one for each trimmed link."""
+    from threshmill.sources.io import directory_entries
+
+    return directory_entries(read(spark, d, "pages"), "html", '<a href="([^"]*)">([^<]*)</a>')
+
+
+@query
+def feed_parsing(spark, d):
+    """[S12, S13, S14] Feed entries, summaries and article XML made of benchmark texts."""
+    from threshmill.sources import providers
+
+    b = read(spark, d, "benchmark").select("item_id", F.regexp_replace("text", "[<>&\"\\\\]", " ").alias("t"))
+    feed = b.select("item_id", F.concat(F.lit("<feed><entry><id>http://arxiv.org/abs/"), F.col("item_id").cast("string"), F.lit("</id><title>"), F.col("t"), F.lit("</title><summary>"), F.col("t"), F.lit("</summary></entry></feed>")).alias("xml"))
+    e = providers.arxiv_entries(feed)
+    return e.select("url", F.md5(F.col("title").cast("binary")).alias("title"), F.length("snippet").alias("n"), "domain")
+
+
+@query
+def recorded_provider(spark, d):
+    """[S11, S17, S20, R5, J22] Requests answered from a recorded table by key."""
+    from threshmill.sources.providers import Recorded, fetch_route, request_key
+
+    p = read(spark, d, "pages").select("page_id", "url", request_key(F.col("url")).alias("key"))
+    seen = p.where("page_id % 3 = 0").select("key", F.length("url").cast("string").alias("answer"))
+    return Recorded(seen).ask(p).select("page_id", "answer", fetch_route(F.col("url"), F.col("page_id") % 2 == 0).alias("route"))
+
+
+# more verdicts
+
+
+@query
+def answer_sets(spark, d):
+    """[X4, X5, X10, L15] Letter sets of replies, and whether they are what was expected."""
+    r = F.concat(F.when(F.col("turn") % 3 == 0, "So A, C").when(F.col("turn") % 3 == 1, "It is (B) or D here").otherwise("E"), F.when(F.col("conv_id") % 2 == 0, ".").otherwise(""))
+    s = read(spark, d, "conversations").select("conv_id", "turn", parsers.normal_set(parsers.letter_set(r)).alias("s"), parsers.plausible_letters(r).alias("p"))
+    return s.select("conv_id", "turn", F.array_join("s", "").alias("letters"), F.array_join("p", "").alias("plausible"), (F.col("s") == F.array(F.lit("A"), F.lit("C"))).alias("as_expected"))
+
+
+@query
+def numbered_verdict_map(spark, d):
+    """[X8, X11, X12] Verdicts of numbered lines."""
+    line = lambda n, yes: F.concat(F.lit(f"{n}. "), F.when(yes, "YES").otherwise("NO"), F.lit(" because\n"))
+    r = F.concat(line(1, F.col("doc_id") % 2 == 0), line(2, F.col("doc_id") % 3 == 0), F.lit("3 nothing\n"), line(1, F.col("doc_id") % 5 == 0))
+    m = read(spark, d, "labels").select("doc_id", parsers.numbered_verdicts(r).alias("m"))
+    return m.select("doc_id", F.size("m").alias("n"), F.try_element_at("m", F.lit(1)).alias("one"), F.try_element_at("m", F.lit(2)).alias("two"))
+
+
+@query
+def thread_scores(spark, d):
+    """[L13, L14, L16] Scores of threads, by place where all are zero."""
+    c = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.when(F.col("conv_id") % 2 == 0, 0).otherwise(F.col("turn").cast("int")).alias("score")))).alias("r"))
+    return c.select("conv_id", F.array_join(F.transform(metrics.thread_scores(F.col("r")), lambda x: x.cast("string")), ",").alias("scores"))
+
+
+@query
+def difficulty_labels(spark, d):
+    """[P32, L8, L2, L6, L7, L12] Difficulty of labelled documents by how many of three seeds were right."""
+    n = responses(spark, d).where("model = 'm1'").groupBy("doc_id").agg(F.count_if(F.col("answer") == F.col("correct")).alias("n"))
+    return n.select("doc_id", lint.difficulty(F.col("n")).alias("difficulty"), F.when(F.col("n") == 3, "too_easy").when((F.col("n") == 0) & (F.col("doc_id") % 2 == 0), "too_hard").otherwise("keep").alias("verdict"))
+
+
+@query
+def jurisdiction_limits(spark, d):
+    """Ambiguous items whose stem doesn't repeat a limit of the source."""
+    b = read(spark, d, "benchmark").select("item_id", F.col("text").alias("q"), F.when(F.col("item_id") % 3 == 0, "Only in Texas 2019").when(F.col("item_id") % 3 == 1, "").otherwise("some limit").alias("lim"))
+    stem = F.concat(F.col("q"), F.when(F.col("item_id") % 2 == 0, F.lit(" texas")).otherwise(F.lit("")))
+    return b.select("item_id", lint.unfixable_jurisdiction(F.col("lim"), stem, F.col("item_id") % 5 != 0).alias("unfixable"))
+
+
+@query
+def merge_lint(spark, d):
+    """First fault of items before a merge."""
+    return items(spark, d).select("conv_id", lint.merge_reason(F.col("question"), F.col("options"), F.when(F.col("conv_id") % 9 == 0, "F").otherwise(F.col("correct")), 20).alias("reason"))
+
+
+@query
+def merge_with_locked(spark, d):
+    """[D5] New rows by priority up to six with the locked ones, none with a known URL."""
+    p = read(spark, d, "pages").select((F.col("page_id") % 11).alias("g"), urls.canonical(F.col("url"), "query").alias("u"), (F.col("page_id") % 2).alias("pr"), F.col("page_id").alias("seq"), F.array(F.col("page_id").cast("string")).alias("t"))
+    return similar.merge_with_locked(p.where("seq % 5 = 0"), p.where("seq % 5 <> 0"), "g", "u", "pr", "seq", "t", 6).select("g", "seq")
+
+
+@query
+def event_windows_sliding(spark, d):
+    """[R2, extension] Errors in sliding windows of three hours."""
+    e = read(spark, d, "events").where("event_type = 'error'")
+    return e.groupBy(F.window("ts", "3 hours", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
