@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
 MASK64 = (1 << 64) - 1
@@ -144,3 +145,25 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
 def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
     """Of n buckets; follows the order of the hashes."""
     return ((hashes >> U(32)) * U(n)) >> U(32)
+
+
+def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values stand in a sorted array."""
+    at = np.searchsorted(ordered, values)
+    at[at == len(ordered)] = 0
+    return ordered[at] == values if len(ordered) else np.zeros(len(values), bool)
+
+
+def heavy_hitters(counted: DataFrame, share: float, least: int) -> np.ndarray:
+    """Sorted hashes that at least that share of the documents has, of rows (hash, n) that tasks counted; hash 0 counts the documents.
+
+    A task reports a hash if that share of its own documents has it; what a
+    share of all documents has, a share of some task's documents has. The
+    result is small whatever the input: the reported counts add up to no more
+    than the hashes of all documents, so there are at most (hashes in a mean
+    document) / share of them.
+    """
+    rows = cut(counted.groupBy("hash").agg(F.sum("n").alias("n")))
+    documents = rows.where("hash = 0").agg(F.sum("n")).first()[0] or 0
+    found = rows.where((F.col("hash") != 0) & (F.col("n") >= max(least, share * documents))).select("hash").collect()
+    return np.sort(np.array([r.hash for r in found], np.int64).view(U))

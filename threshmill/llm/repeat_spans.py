@@ -20,6 +20,10 @@ more is repeated. All edges are needed, but not a row for each:
    Words under any path's windows are removed, judged on the input alone.
 
 No pairs of occurrences are made: a passage in n documents costs n postings.
+Minimizers that a share of all documents has (at least hot_share, and hot_least
+documents) are found first; their windows are dealt by their own hashes, and
+those that repeat within a task are decided there, so only one of each goes on
+from a task. Their multiplicity is then a lower bound.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threshmill.llm.common import U, bucket_of, buckets, mix, short_batches, text_chunks, window_hashes, word_hashes
+from threshmill.llm.common import U, among, bucket_of, buckets, heavy_hitters, mix, short_batches, text_chunks, window_hashes, word_hashes
 
 FLUSH_WINDOWS = 1_000_000
 BLOBS = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
@@ -75,13 +79,100 @@ def compact_edges(words: np.ndarray, first: np.ndarray, k: int, s: int) -> tuple
     return seeds[where[begins]], doc[start], start - first[doc[start]], count, where[begins] - start, prints
 
 
-def _deal(batches: Iterator[pa.RecordBatch], k: int, s: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
+def _some_runs(runs: tuple[np.ndarray, ...], keep: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Those runs, with the fingerprints of their windows."""
+    return (*(x[keep] for x in runs[:-1]), runs[-1][np.repeat(keep, runs[3])])
+
+
+def _windows(runs: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edge, document, first word) of each window of the runs."""
+    seed, key, start, count, place, prints = runs
+    run = np.repeat(np.arange(len(seed)), count)
+    step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    low = prints & U((1 << 48) - 1)
+    return mix(low | ((place[run] - step).astype(U) << U(48))) ^ seed[run], key[run], start[run] + step
+
+
+def _times(edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(how often each edge occurs, whether it is the first of its kind)."""
+    order = np.argsort(edge, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], edge[order][1:] != edge[order][:-1]))) if len(edge) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(edge)))
+    times, lead = np.empty(len(edge), np.int64), np.zeros(len(edge), bool)
+    times[order] = np.repeat(size, size)
+    lead[order[first]] = True
+    return times, lead
+
+
+def _deal_hot(runs: tuple[np.ndarray, ...], n_buckets: int, out_bucket: list[int], out_blob: list[bytes]) -> None:
+    """Windows of hot minimizers are dealt by their own hash. Those that repeat within this flush are decided here (buckets below 0), and only one of each goes on (buckets from n_buckets)."""
+    edge, key, at = _windows(runs)
+    times, lead = _times(edge)
+    hit = times >= 2
+    if hit.any():
+        order = np.argsort(bucket_of(mix(key[hit].view(U)), n_buckets), kind="stable")
+        whose, where, often = key[hit][order], at[hit][order], times[hit][order]
+        ends = np.searchsorted(bucket_of(mix(whose.view(U)), n_buckets), np.arange(n_buckets + 1))
+        for b in range(n_buckets):
+            x, y = int(ends[b]), int(ends[b + 1])
+            if y > x:
+                out_bucket.append(-1 - b)
+                out_blob.append(struct.pack("<I", y - x) + whose[x:y].tobytes() + where[x:y].astype(np.uint32).tobytes() + often[x:y].astype(np.uint32).tobytes())
+    edge, key, at, known = edge[lead], key[lead], at[lead], hit[lead]
+    order = np.argsort(edge, kind="stable")
+    edge, key, at, known = edge[order], key[order], at[order], known[order]
+    ends = np.searchsorted(bucket_of(edge, n_buckets), np.arange(n_buckets + 1))
+    for b in range(n_buckets):
+        x, y = int(ends[b]), int(ends[b + 1])
+        if y > x:
+            out_bucket.append(n_buckets + b)
+            out_blob.append(struct.pack("<I", y - x) + edge[x:y].tobytes() + key[x:y].tobytes() + at[x:y].astype(np.uint32).tobytes() + known[x:y].astype(np.uint8).tobytes())
+
+
+def _heavy(batches: Iterator[pa.RecordBatch], k: int, s: int, share: float) -> Iterator[pa.RecordBatch]:
+    """Minimizers that a share of the documents of a flush has, with their count in it; one row with hash 0 says how many documents there were."""
+    kept: list[np.ndarray] = []
+    docs = waiting = 0
+
+    def flush() -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(kept), return_counts=True) if kept else (np.zeros(0, U), np.zeros(0, np.int64))
+        often = counts >= max(4, share * docs)
+        kept.clear()
+        return pa.record_batch([pa.array([0, *values[often].view(np.int64).tolist()], pa.int64()), pa.array([docs, *counts[often].tolist()], pa.int64())], names=["hash", "n"])
+
+    for batch in batches:
+        for _, raw, offsets in text_chunks(batch.column("text")):
+            words, first = word_hashes(raw, offsets)
+            seed, doc, *_ = compact_edges(words, first, k, s)
+            if len(seed):
+                # a document counts once for each minimizer
+                order = np.lexsort((seed, doc))
+                seed, doc = seed[order], doc[order]
+                kept.append(seed[np.concatenate(([True], (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])))])
+                waiting += len(kept[-1])
+            docs += len(offsets) - 1
+            if waiting >= FLUSH_WINDOWS:
+                yield flush()
+                docs = waiting = 0
+    if docs:
+        yield flush()
+
+
+def _deal(batches: Iterator[pa.RecordBatch], k: int, s: int, n_buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
     waiting = 0
 
     def flush() -> pa.RecordBatch:
-        seed, key, start, count, place, prints = (np.concatenate(x) for x in zip(*held, strict=True))
+        runs = tuple(np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
+        out_bucket: list[int] = []
+        out_blob: list[bytes] = []
+        if len(hot):
+            known = among(runs[0], hot)
+            if known.any():
+                _deal_hot(_some_runs(runs, known), n_buckets, out_bucket, out_blob)
+                runs = _some_runs(runs, ~known)
+        seed, key, start, count, place, prints = runs
         order = np.argsort(seed, kind="stable")
         begin = (np.cumsum(count) - count)[order]
         seed, key, start, count, place = seed[order], key[order], start[order], count[order], place[order]
@@ -90,7 +181,6 @@ def _deal(batches: Iterator[pa.RecordBatch], k: int, s: int, n_buckets: int) ->
         six = np.ascontiguousarray(prints).view(np.uint8).reshape(-1, 8)[:, :6]
         ends = np.searchsorted(bucket_of(seed, n_buckets), np.arange(n_buckets + 1))
         window_at = np.append(new_begin, len(prints))
-        out_bucket, out_blob = [], []
         for b in range(n_buckets):
             x, y = int(ends[b]), int(ends[b + 1])
             if y > x:
@@ -113,49 +203,56 @@ def _deal(batches: Iterator[pa.RecordBatch], k: int, s: int, n_buckets: int) ->
         yield flush()
 
 
-def _repeated(part: pa.Table) -> pa.Table:
+def _pieces(key: np.ndarray, at: np.ndarray, times: np.ndarray) -> pa.Table:
+    """Repeated windows as pieces of paths, one row for each document."""
+    if not len(key):
+        return pa.table([pa.array([], x.type) for x in PIECES], schema=PIECES)
+    order = np.lexsort((at, key))
+    key, at, times = key[order], at[order], times[order]
+    begins = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (np.diff(at) != 1) | (np.diff(times) != 0))))
+    pieces = np.zeros(len(begins), PIECE)
+    pieces["start"], pieces["windows"], pieces["times"] = at[begins], np.diff(np.append(begins, len(at))), np.minimum(times[begins], 0xFFFFFFFF)
+    whose = key[begins]
+    cuts = np.flatnonzero(np.concatenate(([True], whose[1:] != whose[:-1])))
+    ends = np.append(cuts[1:], len(whose))
+    return pa.table([pa.array(whose[cuts], pa.int64()), pa.array([pieces[x:y].tobytes() for x, y in zip(cuts.tolist(), ends.tolist(), strict=True)], pa.binary())], schema=PIECES)
+
+
+def _repeated(part: pa.Table, n_buckets: int) -> pa.Table:
     """Of one bucket: the pieces of nonbranching paths of repeated windows, by document."""
+    bucket = part.column("bucket")[0].as_py()
+    blobs = [x.as_py() for x in part.column("blob")]
+    if bucket < 0:
+        read = []
+        for blob in blobs:
+            (n,) = struct.unpack_from("<I", blob)
+            read.append((np.frombuffer(blob, np.int64, n, 4), np.frombuffer(blob, np.uint32, n, 4 + 8 * n), np.frombuffer(blob, np.uint32, n, 4 + 12 * n)))
+        key, at, times = (np.concatenate(x) for x in zip(*read, strict=True))
+        return _pieces(key, at.astype(np.int64), times.astype(np.int64))
     read = []
-    for blob in part.column("blob"):
-        blob = blob.as_py()
+    if bucket >= n_buckets:
+        for blob in blobs:
+            (n,) = struct.unpack_from("<I", blob)
+            read.append((np.frombuffer(blob, U, n, 4), np.frombuffer(blob, np.int64, n, 4 + 8 * n), np.frombuffer(blob, np.uint32, n, 4 + 16 * n), np.frombuffer(blob, np.uint8, n, 4 + 20 * n)))
+        edge, key, at, known = (np.concatenate(x) for x in zip(*read, strict=True))
+        times, _ = _times(edge)
+        hit = (times >= 2) & (known == 0)
+        return _pieces(key[hit], at[hit].astype(np.int64), times[hit])
+    for blob in blobs:
         n, m = struct.unpack_from("<II", blob)
         six = np.zeros((m, 8), np.uint8)
         six[:, :6] = np.frombuffer(blob, np.uint8, 6 * m, 8 + 24 * n).reshape(m, 6)
-        read.append((np.frombuffer(blob, U, n, 8), np.frombuffer(blob, np.int64, n, 8 + 8 * n), np.frombuffer(blob, np.uint32, n, 8 + 16 * n), np.frombuffer(blob, np.uint16, n, 8 + 20 * n), np.frombuffer(blob, np.uint16, n, 8 + 22 * n), six.view(U).ravel()))
-    seed, key, start, count, place, prints = (np.concatenate(x) for x in zip(*read, strict=True))
-    del read
-    count, place, start = count.astype(np.int64), place.astype(np.int64), start.astype(np.int64)
-    order = np.argsort(seed)
-    same = seed[order][1:] == seed[order][:-1]
-    again = np.zeros(len(seed), bool)
+        read.append((np.frombuffer(blob, U, n, 8), np.frombuffer(blob, np.int64, n, 8 + 8 * n), np.frombuffer(blob, np.uint32, n, 8 + 16 * n).astype(np.int64), np.frombuffer(blob, np.uint16, n, 8 + 20 * n).astype(np.int64), np.frombuffer(blob, np.uint16, n, 8 + 22 * n).astype(np.int64), six.view(U).ravel()))
+    runs = tuple(np.concatenate(x) for x in zip(*read, strict=True))
+    del read, blobs
+    order = np.argsort(runs[0])
+    same = runs[0][order][1:] == runs[0][order][:-1]
+    again = np.zeros(len(order), bool)
     again[order] = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    prints = prints[np.repeat(again, count)]
-    seed, key, start, count, place = seed[again], key[again], start[again], count[again], place[again]
-    none = pa.table([pa.array([], x.type) for x in PIECES], schema=PIECES)
-    if not len(seed):
-        return none
-    run = np.repeat(np.arange(len(seed)), count)
-    step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-    edge = mix(prints | ((place[run] - step).astype(U) << U(48))) ^ seed[run]
-    order = np.argsort(edge)
-    ordered = edge[order]
-    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    size = np.diff(np.append(first, len(ordered)))
-    times = np.empty(len(edge), np.int64)
-    times[order] = np.repeat(size, size)
-    hit = np.flatnonzero(times >= 2)
-    if not len(hit):
-        return none
-    run, at, times = run[hit], start[run[hit]] + step[hit], times[hit]
-    begins = np.flatnonzero(np.concatenate(([True], (np.diff(run) != 0) | (np.diff(at) != 1) | (np.diff(times) != 0))))
-    pieces = np.zeros(len(begins), PIECE)
-    pieces["start"], pieces["windows"], pieces["times"] = at[begins], np.diff(np.append(begins, len(hit))), np.minimum(times[begins], 0xFFFFFFFF)
-    whose = key[run[begins]]
-    order = np.argsort(whose, kind="stable")
-    whose, pieces = whose[order], pieces[order]
-    cuts = np.flatnonzero(np.concatenate(([True], whose[1:] != whose[:-1])))
-    ends = np.append(cuts[1:], len(whose))
-    return pa.table([pa.array(whose[cuts], pa.int64()), pa.array([pieces[x:y].tobytes() for x, y in zip(cuts.tolist(), ends.tolist(), strict=True)], pa.binary())], schema=PIECES)
+    edge, key, at = _windows(_some_runs(runs, again))
+    times, _ = _times(edge)
+    hit = times >= 2
+    return _pieces(key[hit], at[hit], times[hit])
 
 
 def paths(pieces: list[bytes] | None) -> np.ndarray:
@@ -201,7 +298,7 @@ def _strip(batches: Iterator[pa.RecordBatch], k: int, rewrite: bool) -> Iterator
         yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
 
-def remove_repeats(docs: DataFrame, k: int = 35, seed_words: int = 8, carry: tuple[str, ...] = (), rewrite: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = 35, seed_words: int = 8, carry: tuple[str, ...] = (), rewrite: bool = True, hot_share: float = 1 / 512, hot_least: int = 2048) -> DataFrame:
     """Each document without the words under any k-word window that also starts elsewhere.
 
     Returns doc_id, the columns named in carry, text (with rewrite: kept words
@@ -218,9 +315,11 @@ def remove_repeats(docs: DataFrame, k: int = 35, seed_words: int = 8, carry: tup
     n = buckets(spark, per_partition=4)
     text = F.col("text").cast("string")
     keyed = docs.select(F.xxhash64("doc_id", text).alias("row_key"), "doc_id", text.alias("text"), *[c for c in carry if c not in ("doc_id", "text")])
+    s = min(seed_words, k)
+    hot = heavy_hitters(docs.select(text.alias("text")).mapInArrow(lambda it: _heavy(it, k, s, hot_share), "hash long, n long"), hot_share, hot_least)
     pieces = (
-        keyed.select("row_key", "text").mapInArrow(lambda it: _deal(it, k, min(seed_words, k), n), "bucket int, blob binary")
-        .groupBy("bucket").applyInArrow(_repeated, "row_key long, pieces binary")
+        keyed.select("row_key", "text").mapInArrow(lambda it: _deal(it, k, s, n, hot), "bucket int, blob binary")
+        .groupBy("bucket").applyInArrow(lambda t: _repeated(t, n), "row_key long, pieces binary")
         .groupBy("row_key").agg(F.collect_list("pieces").alias("__pieces"))
     )
     joined = keyed.join(pieces.hint("shuffle_hash"), "row_key", "left").drop("row_key")
