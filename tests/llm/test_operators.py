@@ -113,13 +113,13 @@ def test_matroska_unknown_sizes_groups_and_faults(spark):
             pass
 
 
-@pytest.mark.parametrize("frequent,widest", [(512, 256), (1, 256), (1, 40), (2, 10)])
-def test_near_components_equal_brute_force(spark, frequent, widest):
+@pytest.mark.parametrize("frequent,widest,hot", [(512, 256, 2048), (1, 256, 2048), (1, 40, 2), (2, 10, 2048), (512, 256, 2)])
+def test_near_components_equal_brute_force(spark, frequent, widest, hot):
     rows = [(i, prose(60, i % 9)) for i in range(40)]
     rows += [(100 + i, edit(prose(60, i % 5), i % 9, i)) for i in range(160)]
     rows += [(300 + i, prose(RNG.randint(1, 7), i % 4)) for i in range(30)] + [(400, None), (401, "")]
     want = brute.near_components(rows)
-    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), frequent=frequent, widest=widest).collect()
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), frequent=frequent, widest=widest, hot_share=0.02, hot_least=hot).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
@@ -129,12 +129,12 @@ def test_near_components_on_a_table(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op10_ngram_jaccard_join(spark, SMALL).collect()} == want
 
 
-@pytest.mark.parametrize("k", [3, 8, 35])
-def test_repeats_equal_brute_force(spark, k):
+@pytest.mark.parametrize("k,hot", [(3, 2048), (8, 2), (35, 2048), (35, 2)])
+def test_repeats_equal_brute_force(spark, k, hot):
     shared = [prose(50, 900 + i) for i in range(4)]
     r = random.Random(k)
     rows = [(i, prose(r.randint(0, 60), i) + " " + r.choice(shared) + " " + prose(r.randint(0, 60), i + 500)) for i in range(60)] + [(70, "x " * 200), (71, None), (72, shared[0]), (73, shared[0])]
-    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=k).collect()
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=k, hot_share=0.05, hot_least=hot).collect()
     assert sorted((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in got) == sorted(brute.without_repeats(rows, k))
     for x in got:
         assert x.n_removed == len({i for p in x.paths for i in range(p.start, p.start + p.words)})
