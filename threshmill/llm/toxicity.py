@@ -24,7 +24,7 @@ from math import log
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threshmill.llm.common import short_batches
@@ -189,8 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ind
     spark = docs.sparkSession
     can = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learnable(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     rate = can.agg(F.avg("toxic")).first()[0] or 0.0
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = can.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_class).select("doc_id", "toxic").collect()
+    chosen = [r for c in (0, 1) for r in can.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id", "toxic").collect()]
     picked = F.broadcast(spark.createDataFrame(chosen, "doc_id long, toxic int"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = text.join(picked, "doc_id").select("doc_id", "toxic", "text").mapInArrow(_counts, "doc_id long, toxic int, terms binary").collect()
