@@ -80,7 +80,7 @@ def _has(x: str, phrases) -> str:
 _THIN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!\[.*?\]\(.*?\)', '', 'g'), '\[.*?\]\(.*?\)', '', 'g'), 'https?://\S+', '', 'g'), '#{1,6}\s.*', '', 'g')"
 _THIN = COLLAPSE(rf"regexp_replace({_THIN}, '[|_*\-=]+', ' ', 'g')")
 _PAIRS = f"""
-toks AS (SELECT source, doc_id, {TOKENS('substr(text, 1, 600)')} AS t FROM documents),
+toks AS (SELECT source, doc_id, {TOKENS('text')} AS t FROM documents),
 ex AS (SELECT source, doc_id, len(t) AS n, unnest(t) AS w FROM toks),
 inter AS (SELECT x.source, x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS c FROM ex x JOIN ex y ON x.source = y.source AND x.w = y.w AND x.doc_id < y.doc_id GROUP BY ALL),
 pairs AS (SELECT source, a, b, c / (na + nb - c) AS jaccard FROM inter WHERE c / (na + nb - c) >= 0.6)"""
@@ -99,7 +99,7 @@ ORACLE_SQL: dict[str, str] = {
       CASE WHEN {below('host', COMMUNITY_HOSTS)} THEN 'community' WHEN regexp_matches(host, '[.]gov$|[.]gov[.]|[.]mil$|[.]edu$|(^|[^a-z0-9_])who[.]int$|(^|[^a-z0-9_])servsafe[.]com$') OR suffix(host, '.org') THEN 'authoritative' ELSE 'other' END AS class,
       CASE WHEN contains(url, 'reddit.com') THEN 'reddit' WHEN regexp_matches(url, 'stackexchange[.]com|stackoverflow[.]com|serverfault[.]com|superuser[.]com|askubuntu[.]com') THEN 'stackexchange' ELSE 'other' END AS platform,
       regexp_matches(url, 'ieeexplore[.]ieee[.]org/iel[0-9]/') AS paywalled, regexp_extract(url, '/(?:articles/)?PMC([0-9]+)', 1) AS pmc FROM hosts""",
-    "domain_allowlist": f"WITH {HOSTS}, roots AS (SELECT DISTINCT array_to_string(string_split(host, '.')[-2:], '.') AS root FROM hosts WHERE page_id % 7 = 0) SELECT page_id, host FROM hosts WHERE EXISTS (SELECT 1 FROM roots WHERE host = root OR suffix(host, '.' || root))",
+    "domain_allowlist": f"WITH {HOSTS}, roots AS (SELECT DISTINCT array_to_string(string_split(host, '.')[-2:], '.') AS root FROM hosts WHERE contains(url, '.org/')) SELECT page_id, host FROM hosts WHERE EXISTS (SELECT 1 FROM roots WHERE host = root OR suffix(host, '.' || root))",
     "soc_codes": "WITH c AS (SELECT c_custkey, (c_custkey % 43 + 11) || '-' || (c_custkey % 9000 + 1000) AS code FROM customer) SELECT c_custkey, string_split(code, '-')[1] AS grp, CASE WHEN string_split(code, '-')[1] IN ('29','31') THEN 'HEALTH' ELSE string_split(code, '-')[1] END AS merged, code || '.00' AS lifted FROM c",
     "html_clean_v1": f"WITH b AS (SELECT page_id, {CLEAN} AS body FROM pages) SELECT page_id, body, {WORDS('body')}::INT AS n_words FROM b",
     "html_clean_v2": f"WITH b AS (SELECT page_id, {CHROME} AS x FROM pages) SELECT page_id, length(x)::INT AS n, md5(x) AS digest FROM b",
@@ -176,7 +176,7 @@ ORACLE_SQL: dict[str, str] = {
     "weighted_accuracy": f"WITH {PER_QUESTION}, x AS (SELECT model, acc, length(text)::DOUBLE AS w FROM pq JOIN documents USING (doc_id)), m AS (SELECT model, sum(w * acc) / sum(w) AS mean, sum(w) AS sw, sum(w * w) AS sww FROM x GROUP BY model) SELECT model, round(any_value(mean), 9) AS mean, round(sqrt(sum(w / sw * (acc - mean) ** 2) * any_value(sww / (sw * sw))), 7) AS se FROM x JOIN m USING (model) GROUP BY model",
     "open_ended_rate": "WITH v AS (SELECT doc_id % 4 AS g, coalesce(CASE WHEN doc_id % 9 = 0 THEN NULL WHEN quality = 1 THEN 1 ELSE 0 END, 0) AS x FROM labels) SELECT g, count(*) AS n, round(avg(x), 9) AS rate, round(stddev_samp(x) / sqrt(count(*)), 9) AS se FROM v GROUP BY g",
     "accuracy_matrix_pivot": f"WITH {PER_QUESTION}, x AS (SELECT source, model, acc FROM pq JOIN documents USING (doc_id)), w AS (SELECT source, count(*) AS n, avg(acc) FILTER (WHERE model = 'm0') AS m0, avg(acc) FILTER (WHERE model = 'm1') AS m1, avg(acc) FILTER (WHERE model = 'm2') AS m2 FROM x GROUP BY source) SELECT source, n, round(m0, 9) AS m0, round(m1, 9) AS m1, round(m2, 9) AS m2, round((m0 + m1 + m2) / 3, 9) AS row_mean FROM w WHERE n >= 3",
-    "leaderboard": "SELECT event_type, count(*) AS n, round_even(100 * avg((value > 50)::INT), 2) AS accuracy, round(avg(value), 6) AS avg_value FROM events WHERE event_id % 17 <> 0 GROUP BY 1",
+    "leaderboard": "SELECT event_type, count(*) AS n, round_even(100 * avg((value > 50)::INT), 2) AS accuracy, round(avg(value), 6) AS avg_value FROM events WHERE event_type <> 'error' GROUP BY 1",
     "label_distribution": "SELECT label, value, count(*) AS n FROM (SELECT 'quality' AS label, quality AS value FROM labels UNION ALL SELECT 'toxic', toxic FROM labels) GROUP BY ALL",
     "count_histogram": "SELECT n_orders, count(*) AS n FROM (SELECT count(*) AS n_orders FROM orders GROUP BY o_custkey) GROUP BY 1",
     "supply_gap": "SELECT source, count(*) FILTER (WHERE lang = 'en') AS have, greatest(51 - count(*) FILTER (WHERE lang = 'en'), 0) AS gap FROM documents GROUP BY source",
@@ -195,7 +195,7 @@ ORACLE_SQL: dict[str, str] = {
     "budgeted_exit": "WITH r AS (SELECT event_id, coalesce(sum((event_type = 'purchase')::INT) OVER w, 0) AS a, coalesce(sum((event_type = 'error')::INT) OVER w, 0) AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT event_id FROM r WHERE a < 10 AND f < 4",
     "consecutive_failure_cutoff": "WITH e AS (SELECT user_id, event_id, NOT (coalesce(value, 0) > 50) AS f FROM events), i AS (SELECT *, sum((NOT f)::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS isl FROM e), r AS (SELECT *, sum(f::INT) OVER (PARTITION BY user_id, isl ORDER BY event_id) AS run FROM i), s AS (SELECT *, coalesce(sum((run >= 3)::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stop FROM r) SELECT event_id FROM s WHERE stop = 0",
     "reserve_assignment": "WITH p AS (SELECT c_nationkey AS g, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer WHERE c_acctbal < 0), r AS (SELECT s_nationkey AS g, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier WHERE s_acctbal > 0) SELECT c_custkey, s_suppkey AS reserve_s_suppkey FROM p LEFT JOIN r USING (g, k)",
-    "replaced_filter": "SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
+    "replaced_filter": "SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' OR o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
     "resume_state": "WITH e AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS kept, count(*) AS n, count(*) FILTER (WHERE value < 90) AS bad FROM events GROUP BY user_id) SELECT user_id, CASE WHEN user_id % 2 <> 0 AND kept >= 1 THEN 'done' WHEN n > 5 AND bad / n > 0.95 THEN 'retry_extract' WHEN n > 0 THEN 'skip' ELSE 'retry' END AS state FROM e",
     "thread_top_next_ratio": "WITH l AS (SELECT conv_id, list_sort(list(length(coalesce(text, ''))), 'DESC') AS b FROM conversations GROUP BY conv_id), t AS (SELECT conv_id, b[1]::INT AS top, coalesce(b[2], 0)::INT AS next, len(b) AS n_answers FROM l) SELECT conv_id, top, next, round(top / greatest(1, next), 9) AS ratio, n_answers, CASE WHEN top < 5 OR top / greatest(1, next) < 3 THEN 'no_consensus' ELSE 'consensus' END AS consensus FROM t",
     "consensus_mix": "WITH l AS (SELECT conv_id, list_sort(list(length(coalesce(text, ''))), 'DESC') AS b FROM conversations GROUP BY conv_id) SELECT CASE WHEN b[1] < 5 OR b[1] / greatest(1, coalesce(b[2], 0)) < 2 THEN 'no_consensus' ELSE 'consensus' END AS consensus, count(*) AS n FROM l GROUP BY 1",
@@ -216,7 +216,7 @@ ORACLE_SQL |= {
     "checkpoint_repair": "SELECT o_orderkey % 200 AS row_id, max(o_orderkey) AS seq, arg_max(o_custkey, o_orderkey) AS o_custkey FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1",
     "page_links": """WITH m AS (SELECT unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS u, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS n FROM pages) SELECT regexp_replace(trim(u), '/+$', '') AS url, min(trim(n)) AS name FROM m GROUP BY 1""",
     "feed_parsing": rf"""WITH b AS (SELECT item_id, {COLLAPSE("regexp_replace(text, '[<>&" + chr(34) + r"\\]', ' ', 'g')")} AS t FROM benchmark) SELECT 'http://arxiv.org/pdf/' || item_id || '.pdf' AS url, md5(substr(t, 1, 200)) AS title, length(substr(t, 1, 300))::INT AS n, 'arxiv.org' AS domain FROM b""",
-    "recorded_provider": "WITH k AS (SELECT DISTINCT url FROM pages WHERE page_id % 3 = 0) SELECT page_id, CASE WHEN url IN (SELECT url FROM k) THEN length(url)::VARCHAR END AS answer, CASE WHEN regexp_matches(url, '/(?:articles/)?PMC[0-9]+') THEN 'efetch' WHEN page_id % 2 = 0 THEN 'premium,basic,direct' ELSE 'direct,proxy' END AS route FROM pages",
+    "recorded_provider": "WITH k AS (SELECT DISTINCT url FROM pages WHERE contains(url, '?')) SELECT page_id, CASE WHEN url IN (SELECT url FROM k) THEN length(url)::VARCHAR END AS answer, CASE WHEN regexp_matches(url, '/(?:articles/)?PMC[0-9]+') THEN 'efetch' WHEN page_id % 2 = 0 THEN 'premium,basic,direct' ELSE 'direct,proxy' END AS route FROM pages",
     "answer_sets": "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'AC' ELSE 'ABCD' END AS letters, CASE turn % 3 WHEN 0 THEN 'AC' WHEN 1 THEN 'BD' ELSE '' END AS plausible, turn % 3 = 0 AS as_expected FROM conversations",
     "numbered_verdict_map": "SELECT doc_id, 2 AS n, CASE WHEN doc_id % 5 = 0 THEN 'YES' ELSE 'NO' END AS one, CASE WHEN doc_id % 3 = 0 THEN 'YES' ELSE 'NO' END AS two FROM labels",
     "thread_scores": "WITH c AS (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 0 ELSE turn END AS score, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n, max(CASE WHEN conv_id % 2 = 0 THEN 0 ELSE turn END) OVER (PARTITION BY conv_id) AS m FROM conversations) SELECT conv_id, string_agg(CASE WHEN m = 0 THEN greatest(1, n - i + 1) ELSE score END, ',' ORDER BY i) AS scores FROM c GROUP BY conv_id",

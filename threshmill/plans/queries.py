@@ -88,7 +88,7 @@ def url_classes(spark, d):
 @query
 def domain_allowlist(spark, d):
     """[F1, F2, F3, J13] Pages whose host stands at or below a listed one."""
-    roots = hosts(spark, d).where("page_id % 7 = 0").select(F.array_join(F.slice(F.split("host", "[.]"), -2, 2), ".").alias("root")).distinct()
+    roots = hosts(spark, d).where(F.col("url").contains(".org/")).select(F.array_join(F.slice(F.split("host", "[.]"), -2, 2), ".").alias("root")).distinct()
     return similar.allowed(hosts(spark, d), "host", roots, "root").select("page_id", "host")
 
 
@@ -201,15 +201,15 @@ def benchmark_contamination_quote(spark, d):
 
 @query
 def near_dup_pairs_jaccard(spark, d):
-    """[J15, M2, P19] Pairs of documents of one source whose first 600 characters have a token Jaccard of 0.6 or more."""
-    rows = read(spark, d, "documents").select("source", "doc_id", text.tokens(F.substring("text", 1, 600)).alias("t"))
+    """[J15, M2, P19] Pairs of documents of one source whose texts have a token Jaccard of 0.6 or more."""
+    rows = read(spark, d, "documents").select("source", "doc_id", text.tokens(F.col("text")).alias("t"))
     return similar.similar_pairs(rows, "source", "doc_id", "t", 0.6).select("source", "a", "b", F.round("jaccard", 9).alias("jaccard"))
 
 
 @query
 def near_dup_greedy_keep(spark, d):
     """[D3] Documents kept if not similar to an earlier kept one of their source."""
-    rows = read(spark, d, "documents").select("source", "doc_id", text.tokens(F.substring("text", 1, 600)).alias("t"))
+    rows = read(spark, d, "documents").select("source", "doc_id", text.tokens(F.col("text")).alias("t"))
     return similar.greedy_keep(rows, "source", "doc_id", "t", 0.6).select("source", "doc_id")
 
 
@@ -447,7 +447,7 @@ def accuracy_matrix_pivot(spark, d):
 def leaderboard(spark, d):
     """[A22] Accuracy and means of readable numbers."""
     e = read(spark, d, "events")
-    return metrics.leaderboard(e, "event_type", F.col("value") > 50, F.col("event_id") % 17 == 0, ["value"]).select("event_type", "n", "accuracy", F.round("avg_value", 6).alias("avg_value"))
+    return metrics.leaderboard(e, "event_type", F.col("value") > 50, F.col("event_type") == "error", ["value"]).select("event_type", "n", "accuracy", F.round("avg_value", 6).alias("avg_value"))
 
 
 @query
@@ -560,7 +560,7 @@ def reserve_assignment(spark, d):
 @query
 def replaced_filter(spark, d):
     """[J11, U1, U2] Orders without those of removed customers, unless urgent."""
-    o = read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), F.when(F.col("o_orderkey") % 10 == 0, "x").alias("why"))
+    o = read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), F.when(F.col("o_orderpriority") == "1-URGENT", "x").alias("why"))
     gone = read(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("k"))
     return gate.replaced(o, "k", gone, "why").select("o_orderkey")
 
@@ -721,7 +721,7 @@ def recorded_provider(spark, d):
     from threshmill.sources.providers import Recorded, fetch_route, request_key
 
     p = read(spark, d, "pages").select("page_id", "url", request_key(F.col("url")).alias("key"))
-    seen = p.where("page_id % 3 = 0").select("key", F.length("url").cast("string").alias("answer"))
+    seen = p.where(F.col("url").contains("?")).select("key", F.length("url").cast("string").alias("answer"))
     return Recorded(seen).ask(p).select("page_id", "answer", fetch_route(F.col("url"), F.col("page_id") % 2 == 0).alias("route"))
 
 
@@ -775,9 +775,9 @@ def merge_lint(spark, d):
 
 @query
 def merge_with_locked(spark, d):
-    """[D5] New rows by priority up to six with the locked ones, none with a known URL."""
+    """[D5] Pages with secure URLs by priority, up to twelve of a group with the locked plain ones, none with a known URL."""
     p = read(spark, d, "pages").select((F.col("page_id") % 11).alias("g"), urls.canonical(F.col("url"), "query").alias("u"), (F.col("page_id") % 2).alias("pr"), F.col("page_id").alias("seq"), F.array(F.col("page_id").cast("string")).alias("t"))
-    return similar.merge_with_locked(p.where("seq % 5 = 0"), p.where("seq % 5 <> 0"), "g", "u", "pr", "seq", "t", 6).select("g", "seq")
+    return similar.merge_with_locked(p.where("u LIKE 'http:%'"), p.where("u NOT LIKE 'http:%'"), "g", "u", "pr", "seq", "t", 12).select("g", "seq")
 
 
 @query
