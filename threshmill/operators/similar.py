@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threshmill.functions.text import normal_form
 from threshmill.functions.urls import suffixes
 
 
@@ -115,19 +114,15 @@ def contaminated(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame,
     The item's first words are an anchor: an equi-join on hashed word runs
     finds the candidates, and the substring test verifies them.
     """
-    from threshmill.functions.text import normal_form
-
     quote = items.select(F.col(item_key), F.substring(normal_form(F.col(item_text)), 1, chars).alias("q"))
     # the first and last words of a cut quote may be parts of words, so the anchor starts at the second
     anchor = quote.withColumn("w", F.split("q", " ")).where(F.size("w") > words + 1).withColumn("h", F.xxhash64(F.array_join(F.slice("w", 2, words), " ")))
     short = quote.join(anchor.select(item_key), item_key, "left_anti")
     body = docs.select(F.col(doc_key), normal_form(F.col(doc_text)).alias("d")).withColumn("w", F.split("d", " "))
-    runs = body.where(F.size("w") >= words).select(doc_key, "d", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))).alias("h"))
-    found = runs.join(F.broadcast(anchor.select(item_key, "q", "h")), "h").where(F.contains("d", F.col("q"))).select(doc_key, item_key).distinct()
-    few = body.join(F.broadcast(short), F.contains("d", F.col("q"))).select(doc_key, item_key)
+    runs = body.where(F.size("w") >= words).select(doc_key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))).alias("h"))
+    # only hashes meet in the join; texts come back for the candidates alone
+    near = runs.join(anchor.select(item_key, "h"), "h").select(doc_key, item_key).distinct()
+    found = near.join(body.select(doc_key, "d"), doc_key).join(quote, item_key).where(F.contains("d", F.col("q"))).select(doc_key, item_key)
+    # quotes too short for an anchor are compared with every document: a fixed set against all rows
+    few = body.join(short, F.contains("d", F.col("q"))).select(doc_key, item_key)
     return found.unionByName(few).distinct()
-
-
-def batches_of(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pass-through used by providers."""
-    yield from rows

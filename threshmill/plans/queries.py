@@ -617,7 +617,7 @@ def cosine_to_centroid(spark, d):
     e = read(spark, d, "embeddings")
     parts = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     centre = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
-    return e.join(F.broadcast(centre), "label").select("vec_id", F.round(similar.cosine(F.col("embedding"), F.col("c")), 6).alias("cosine"))
+    return e.join(centre, "label").select("vec_id", F.round(similar.cosine(F.col("embedding"), F.col("c")), 6).alias("cosine"))
 
 
 @query
