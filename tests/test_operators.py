@@ -23,6 +23,13 @@ def test_greedy_keep_is_the_fold(spark):
     assert sorted(x.i for x in got) == [i for _, i, _ in kept]
 
 
+def test_greedy_keep_settles_long_chains(spark):
+    # windows of ten drifting words: neighbours have 8 of 12 tokens in common, those after them 6 of 14
+    rows = [("g", i, [f"w{j}" for j in range(2 * i, 2 * i + 10)]) for i in range(75)]
+    got = similar.greedy_keep(spark.createDataFrame(rows, "g string, i long, t array<string>"), "g", "i", "t", 0.6).collect()
+    assert sorted(x.i for x in got) == list(range(0, 75, 2))
+
+
 @pytest.mark.parametrize("least", [0.5, 0.6, 0.75, 1.0])
 def test_similar_pairs_are_complete(spark, least):
     r = random.Random(7)

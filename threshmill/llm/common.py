@@ -8,8 +8,6 @@ for each word.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threshmill.shared import cut, shared_dir  # noqa: F401
+
 U = np.uint64
 MASK64 = (1 << 64) - 1
 #: Fixed odd multipliers of the polynomial hashes over bytes and over words.
@@ -36,23 +36,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one is set only where none is named."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="threshmill-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: the lineage ends here, and a lost executor costs nothing before it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def buckets(spark: SparkSession, least: int = 16, per_partition: int = 2) -> int:
     """Of a packed shuffle: a few to each shuffle partition."""
     return max(least, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from threshmill.functions.text import normal_form
 from threshmill.functions.urls import suffixes
+from threshmill.shared import cut
 
 
 def similar_pairs(df: DataFrame, group: str, key: str, tokens: str, least: float) -> DataFrame:
@@ -34,20 +35,20 @@ def similar_pairs(df: DataFrame, group: str, key: str, tokens: str, least: float
     return scored.where(F.col("jaccard") >= least).select(group, "a", "b", "jaccard")
 
 
-def greedy_keep(df: DataFrame, group: str, key: str, tokens: str, least: float, rounds: int = 64) -> DataFrame:
+def greedy_keep(df: DataFrame, group: str, key: str, tokens: str, least: float) -> DataFrame:
     """D3: rows in order of key; one is dropped if it is similar to an earlier row that was kept. An empty token set is never similar.
 
     Equal to the fold over the rows: each round settles the rows without an
     undecided earlier neighbour, and drops the neighbours of kept ones. The
-    rounds work on similar pairs alone; all other rows are kept at once.
+    first undecided row is always settled, so rounds go on until none is left;
+    a chain of n similar rows takes n of them. The rounds work on similar pairs
+    alone; all other rows are kept at once.
     """
-    pairs = similar_pairs(df, group, key, tokens, least).select("a", "b").persist()
-    state = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct().withColumn("s", F.lit(0))
-    for _ in range(rounds):
+    pairs = cut(similar_pairs(df, group, key, tokens, least).select("a", "b"))
+    state = cut(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct().withColumn("s", F.lit(0)))
+    while not state.where("s = 0").isEmpty():
         earlier = pairs.join(state.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").groupBy(F.col("b").alias("k")).agg(F.max(F.when(F.col("sa") == 1, 1).otherwise(0)).alias("hit"), F.max(F.when(F.col("sa") == 0, 1).otherwise(0)).alias("open"))
-        state = state.join(earlier, "k", "left").select("k", F.when(F.col("s") != 0, F.col("s")).when(F.coalesce("hit", F.lit(0)) == 1, -1).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0).alias("s")).persist()
-        if state.where("s = 0").isEmpty():
-            break
+        state = cut(state.join(earlier, "k", "left").select("k", F.when(F.col("s") != 0, F.col("s")).when(F.coalesce("hit", F.lit(0)) == 1, -1).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0).alias("s")))
     dropped = state.where("s = -1").select(F.col("k").alias(key))
     return df.join(dropped, key, "left_anti")
 
