@@ -295,6 +295,20 @@ def test_block_max_search_is_exact():
         assert np.allclose([s for s, _ in got], np.sort(want)[::-1][: len(got)])
 
 
+def test_toxicity_of_rare_words():
+    from collections import Counter
+
+    from threshmill.llm import toxicity as t
+
+    # each toxic word stands in four of 200 toxic examples, whose other words are those of the clean ones
+    examples = [(i, int(i < 200), Counter(t.terms(prose(40, i) + (f" vile{i % 50}" if i < 200 else "")))) for i in range(600)]
+    index = t.build(examples, 1 / 3)
+    assert {w for _, _, counts in examples for w in counts} == set(index.vocabulary) and len(index.ids) == 600
+    for i in range(50):
+        score, near = index.score([b"vile%d" % i])
+        assert score >= 0.5 and [bool(index.labels[e]) for _, e in near] == [True] * 4
+
+
 def test_language_held_out(spark):
     r = random.Random(4)
     alphabets = {"aa": "abcdeilmno", "bb": "uvwxyzkßöä", "cc": "éèçouraint"}

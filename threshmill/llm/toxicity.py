@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples.
 
-Examples and texts are TF-IDF vectors over a vocabulary chosen from the
-examples by their chi-squared against the label; similarity is their exact
-cosine. An inverted index holds the examples' weights in blocks of examples
+Examples and texts are TF-IDF vectors over all terms of the examples, each term
+weighted by its correlation with the label (the root of its chi-squared a
+document); similarity is their exact cosine. An inverted index holds the examples' weights in blocks of examples
 with the largest weight of each term in each block; blocks are searched by
 falling upper bound until no other block can hold a nearer example, so the
 neighbours are exact. Votes are weighted by nearness; a monotone map fitted on
@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import log
+from math import log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +30,14 @@ from pyspark.sql import functions as F
 from threshmill.llm.common import short_batches
 
 PER_CLASS = 2048
-VOCABULARY = 1024
-LEAST_CHI2 = 32.0
+#: No term's chi-squared counts as less, so that none is without weight.
+LEAST_CHI2 = 0.01
 NEIGHBOURS = 15
 BLOCK = 32
+#: Blocks that are searched first; those of the rest whose bound is high enough are then searched together.
+STEP = 8
+#: Terms that at least this share of the examples has are also kept as full rows.
+DENSE_SHARE = 1 / 8
 EVIDENCE = 3
 #: ASCII bytes that are neither letters nor digits become spaces.
 TERM_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
@@ -44,51 +48,105 @@ def terms(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(TERM_BYTES).split() if text else []
 
 
+def ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """start[0] .. end[0] - 1, start[1] .. end[1] - 1 and so on."""
+    n = end - start
+    return np.repeat(end - np.cumsum(n), n) + np.arange(n.sum())
+
+
 @dataclass
 class Index:
-    """Block-max inverted index of unit TF-IDF vectors."""
+    """Block-max inverted index of unit TF-IDF vectors. A cell is a term in a block that has it; cells and postings are sorted by term and block."""
 
     vocabulary: dict[bytes, int]
-    idf: np.ndarray
+    idf: np.ndarray  # times the term's correlation with the label
     ids: list[int]
     labels: np.ndarray
-    bounds: np.ndarray  # (term, block): largest weight
-    begin: np.ndarray  # (term, block): first posting
-    example: np.ndarray  # of each posting, its place in the block
+    blocks: int
+    first: np.ndarray  # of each term, its first cell, with the end
+    cell_block: np.ndarray
+    cell_most: np.ndarray  # largest weight
+    cell_start: np.ndarray  # first posting, with the end
+    posting: np.ndarray  # example
     weight: np.ndarray
+    row: np.ndarray  # of each term, its full row or -1
+    rows: np.ndarray  # (row, example): weights of the frequent terms
     knots: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
     empty_score: float = 0.0
     prior: float = 0.5
 
+    @property
+    def example(self) -> np.ndarray:
+        """Of each posting, its place in the block."""
+        return self.posting % BLOCK
+
+    @property
+    def bounds(self) -> np.ndarray:
+        """(term, block): largest weight, as a full table."""
+        out = np.zeros((len(self.vocabulary), self.blocks))
+        out[np.repeat(np.arange(len(out)), np.diff(self.first)), self.cell_block] = self.cell_most
+        return out
+
+    @property
+    def begin(self) -> np.ndarray:
+        """(term, block): first posting, as a full table with an end for each term."""
+        at = np.arange(len(self.vocabulary))[:, None] * self.blocks + np.arange(self.blocks + 1)
+        cells = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.first)) * self.blocks + self.cell_block
+        return self.cell_start[np.searchsorted(cells, at)]
+
     def vector(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(terms, weights of length one) of a text."""
-        found = self.vocabulary.keys() & set(words)
+        counts = Counter(words)
+        found = [w for w in counts if w in self.vocabulary]
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
-        pairs = sorted((self.vocabulary[w], 1 + log(words.count(w))) for w in found)
-        at = np.array([t for t, _ in pairs])
-        x = np.array([w for _, w in pairs]) * self.idf[at]
+        at = np.array([self.vocabulary[w] for w in found])
+        order = np.argsort(at)
+        at = at[order]
+        x = (1 + np.log(np.array([counts[w] for w in found])[order])) * self.idf[at]
         return at, x / np.sqrt((x * x).sum())
 
     def nearest(self, at: np.ndarray, q: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The k examples with the largest cosine above zero, nearest first, ties to the first example."""
         if not len(at):
             return []
-        bound = q @ self.bounds[at]
+        cells = ranges(self.first[at], self.first[at + 1])
+        part = np.repeat(q, self.first[at + 1] - self.first[at])
+        block = self.cell_block[cells]
+        bound = np.bincount(block, part * self.cell_most[cells], self.blocks)
         order = np.argsort(-bound, kind="stable")
         best: list[tuple[float, int]] = []
-        for b in order.tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] < -best[-1][0] - 1e-12):
+        for n, group in enumerate((order[:STEP], order[STEP:])):
+            group = group[(bound[group] > 0) & (bound[group] >= (-best[-1][0] - 1e-12 if len(best) == k else 0))]
+            if not len(group):
                 break
-            score = np.zeros(BLOCK)
-            for t, w in zip(at.tolist(), q.tolist(), strict=True):
-                x, y = self.begin[t, b], self.begin[t, b + 1]
-                if y > x:
-                    score[self.example[x:y]] += w * self.weight[x:y]
-            best += [(-float(score[e]), b * BLOCK + int(e)) for e in np.flatnonzero(score > 0) if b * BLOCK + e != skip]
-            best = sorted(best)[:k]
+            chosen = np.zeros(self.blocks, bool)
+            chosen[group] = True
+            if n:
+                score = self.every(at, q) * np.repeat(chosen, BLOCK)
+            else:
+                mine = chosen[block]
+                start, end = self.cell_start[cells[mine]], self.cell_start[cells[mine] + 1]
+                p = ranges(start, end)
+                score = np.bincount(self.posting[p], np.repeat(part[mine], end - start) * self.weight[p], self.blocks * BLOCK)
+            if skip >= 0:
+                score[skip] = 0
+            hits = np.flatnonzero(score > 0)
+            if len(hits) > k:
+                hits = hits[score[hits] >= np.partition(score[hits], -k)[-k]]
+            best = sorted(best + [(-float(score[e]), int(e)) for e in hits])[:k]
         return [(-s, e) for s, e in best]
 
+    def every(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The cosine of every example: frequent terms by their full rows, the others by their postings."""
+        row = self.row[at]
+        frequent = np.zeros(len(self.rows))
+        frequent[row[row >= 0]] = q[row >= 0]
+        rare, w = at[row < 0], q[row < 0]
+        start, end = self.cell_start[self.first[rare]], self.cell_start[self.first[rare + 1]]
+        p = ranges(start, end)
+        return frequent @ self.rows + np.bincount(self.posting[p], np.repeat(w, end - start) * self.weight[p], self.blocks * BLOCK)
+
     def votes(self, near: list[tuple[float, int]]) -> float:
         """Share of the nearness that toxic neighbours have, with a little of the even start."""
         toxic = sum(s**4 for s, e in near if self.labels[e])
@@ -118,7 +176,7 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array(at), np.array(to)
 
 
-def build(examples: list[tuple[int, int, Counter]], rate: float, vocabulary: int = VOCABULARY) -> Index:
+def build(examples: list[tuple[int, int, Counter]], rate: float) -> Index:
     """Of (doc_id, label, term counts); rate: share of label 1 among all learnable labels."""
     # equal texts are one example: a passage that was copied often isn't evidence as often
     examples = list({(label, frozenset(counts.items())): (doc, label, counts) for doc, label, counts in reversed(examples)}.values())
@@ -131,31 +189,36 @@ def build(examples: list[tuple[int, int, Counter]], rate: float, vocabulary: int
         c, d = n[1] - a, n[0] - b
         margin = (a + b) * (c + d) * n[0] * n[1]
         chi2 = total * (a * d - b * c) ** 2 / margin if margin else 0.0
-        if chi2 >= LEAST_CHI2:
-            ranked.append((-chi2, t))
-    chosen = [t for _, t in sorted(ranked)[:vocabulary]]
+        ranked.append((-max(chi2, LEAST_CHI2), t))
+    ranked.sort()
+    chosen = [t for _, t in ranked]
     place = {t: i for i, t in enumerate(chosen)}
-    idf = np.array([log((total + 1) / (df[0][t] + df[1][t] + 0.5)) + 0.1 for t in chosen])
+    idf = np.array([(log((total + 1) / (df[0][t] + df[1][t] + 0.5)) + 0.1) * sqrt(-chi2 / total) for chi2, t in ranked])
     own = []
     for doc, label, counts in examples:
-        found = sorted((place[t], 1 + log(c)) for t, c in counts.items() if t in place)
+        found = sorted((place[t], 1 + log(c)) for t, c in counts.items())
         if found:
             at = np.array([t for t, _ in found])
             x = np.array([w for _, w in found]) * idf[at]
             own.append((int(at[x.argmax()]), doc, label, at, x / np.sqrt((x * x).sum())))
     own.sort(key=lambda e: e[:2])  # examples with the same strongest term share blocks, so bounds are tight
     blocks = -(-len(own) // BLOCK)
-    postings = sorted((int(t), i // BLOCK, i % BLOCK, float(w)) for i, e in enumerate(own) for t, w in zip(e[3], e[4], strict=True))
-    cell = np.array([t * blocks + b for t, b, _, _ in postings], np.int64)
-    begin = np.searchsorted(cell, np.arange(len(chosen) * blocks + 1))
-    weight = np.array([w for *_, w in postings])
-    bounds = np.zeros(len(chosen) * blocks)
-    np.maximum.at(bounds, cell, weight)
-    starts = np.zeros((len(chosen), blocks + 1), np.int64)
-    if chosen:
-        starts[:, :-1] = begin[:-1].reshape(len(chosen), blocks)
-        starts[:, -1] = np.append(begin[:-1].reshape(len(chosen), blocks)[1:, 0], begin[-1]) if blocks else 0
-    index = Index(place, idf, [e[1] for e in own], np.array([e[2] for e in own], bool), bounds.reshape(len(chosen), blocks), starts, np.array([e for _, _, e, _ in postings], np.int64), weight, prior=rate)
+    term = np.concatenate([e[3] for e in own] or [np.zeros(0, np.int64)])
+    example = np.repeat(np.arange(len(own)), [len(e[3]) for e in own])
+    order = np.lexsort((example, term))
+    term, example = term[order], example[order]
+    weight = np.concatenate([e[4] for e in own] or [np.zeros(0)])[order]
+    cell, start = np.unique(term * blocks + example // BLOCK, return_index=True)
+    most = np.maximum.reduceat(weight, start) if len(start) else np.zeros(0)
+    first = np.searchsorted(cell, np.arange(len(chosen) + 1) * blocks)
+    df_of = np.bincount(term, minlength=len(chosen))
+    full = np.flatnonzero(df_of >= max(DENSE_SHARE * len(own), 1))
+    row = np.full(len(chosen), -1)
+    row[full] = np.arange(len(full))
+    rows = np.zeros((len(full), blocks * BLOCK))
+    heavy = row[term] >= 0
+    rows[row[term[heavy]], example[heavy]] = weight[heavy]
+    index = Index(place, idf, [e[1] for e in own], np.array([e[2] for e in own], bool), blocks, first, cell % max(blocks, 1), most, np.append(start, len(weight)), example, weight, row, rows, prior=rate)
     # weights that bring the sample's labels back to their true rate
     per = {1: rate / n[1] if n[1] else 0.0, 0: (1 - rate) / n[0] if n[0] else 0.0}
     without = {c: n[c] - sum(1 for e in own if e[2] == c) for c in (0, 1)}
