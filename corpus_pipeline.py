@@ -17,6 +17,7 @@ from threshmill.llm.ngram_jaccard import ngram_jaccard_join
 from threshmill.llm.repeat_spans import remove_repeats
 from threshmill.llm.source_mix import mix_sources, passes
 from threshmill.llm.toxicity import toxicity
+from threshmill.operators.select import numbered
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -27,18 +28,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component of near copies; of repeated doc_ids one row. Rows without a doc_id stay, as nothing tells them apart."""
-    found = ngram_jaccard_join(docs)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.join(keep.hint("shuffle_hash"), "doc_id", "left_semi")
-    one = known.groupBy("doc_id").agg(F.min_by(F.struct("text", "lang", "source", "n_chars"), F.xxhash64("text", "lang", "source")).alias("d")) if not _unique(found) else None
-    known = known if one is None else one.select("doc_id", "d.*")
-    return known.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
-
-
-def _unique(found: DataFrame) -> bool:
-    """No doc_id stands twice."""
-    return found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty()
+    """The document with the smallest doc_id of each component of near copies. Rows without a doc_id stay, as nothing tells them apart.
+
+    Where doc_ids repeat, rows alike in doc_id and text are one, and the others
+    stand in order of doc_id under numbers of their own: unlike texts of one
+    doc_id both stay, and each goes only if it is a near copy itself.
+    """
+    known, unknown = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL").select(*COLUMNS)
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = _least_of_components(docs, docs)
+    else:
+        one = known.groupBy("doc_id", "text").agg(F.min_by(F.struct("lang", "source", "n_chars"), F.xxhash64("lang", "source", "n_chars")).alias("d")).select("doc_id", "text", "d.*")
+        rows = cut(numbered(one, [F.col("doc_id"), F.xxhash64("text"), F.col("text")], "row")).select(F.col("doc_id").alias("own_id"), F.col("row").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars")
+        every = rows.select("doc_id", "text").unionByName(docs.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), "text"))
+        kept = _least_of_components(every, rows).withColumn("doc_id", F.col("own_id"))
+    return kept.select(*COLUMNS).unionByName(unknown)
+
+
+def _least_of_components(every: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows whose doc_id is the smallest of its component among every document."""
+    keep = ngram_jaccard_join(every).where("doc_id = component_id").select("doc_id").distinct()
+    return rows.join(keep.hint("shuffle_hash"), "doc_id", "left_semi")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,3 +40,11 @@ def test_repeated_null_and_empty_rows(spark):
     for _, stage in p.STAGES:
         assert stage(spark, docs.limit(0), SMALL).count() == 0
         stage(spark, docs, SMALL).count()
+
+
+def test_repeated_ids_of_unlike_texts(spark):
+    a, b, c = ("".join(f" {x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, c), (2, a + " more"), (3, b), (4, c), (4, c), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = p.keep_one_of_near_copies(spark, docs, SMALL).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("1", a), ("1", b), ("2", c), ("None", a)])
