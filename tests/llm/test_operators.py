@@ -170,6 +170,13 @@ def test_license_places_and_fuzzy(spark):
         assert "".join(p for p, _ in notice.seeds()) == notice.phrase and len(notice.seeds()) == notice.edits + 1
 
 
+@pytest.mark.parametrize("mark", ["x", "\xe9", "\u2603", "\U0001f600"])
+def test_license_edits_of_many_bytes(mark):
+    scanner = license_scan.Scanner()
+    for text, label, edits in ((f"it is released under{mark} the terms", "release-notice", 1), (f"now al{mark} rights{mark} reserved here", "reserved-notice", 2), (f"a {mark}spdx licen{mark}se identifier b", "spdx-notice", 2)):
+        assert [(x, e) for x, *_, e in scanner.near(scanner.words(text)[1])] == [(label, edits)]
+
+
 @pytest.mark.parametrize("factor,least", [(1.0, 1.0), (0.8, 0.9)])
 def test_vantage_recall(spark, factor, least):
     r = np.random.default_rng(3)

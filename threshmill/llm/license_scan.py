@@ -82,16 +82,17 @@ class Scanner:
         """(label, first byte, byte after the last, edits) of the notices found with errors; of those of one notice that overlap, the first with fewest edits."""
         out = []
         for notice, pattern, seeds in zip(self.notices, self.fuzzy, self.seeds, strict=True):
-            windows: list[tuple[int, int]] = []
+            windows: list[tuple[int, str]] = []
             for part, place in seeds:
                 at = line.find(part)
                 while at >= 0:
-                    windows.append((at - place - notice.edits - 1, at - place + len(notice.phrase) + notice.edits + 1))
+                    # edits are characters, of up to four bytes
+                    left, right = place + notice.edits + 1, len(notice.phrase) - place + notice.edits + 1
+                    before = line[max(at - 4 * left, 0) : at].decode("utf-8", "ignore")[-left:]
+                    windows.append((at - len(before.encode()), before + line[at : at + 4 * right].decode("utf-8", "ignore")[:right]))
                     at = line.find(part, at + 1)
             hits: list[tuple[int, int, int]] = []
-            for a, b in sorted(windows):
-                a, b = max(a, 0), min(b, len(line))
-                piece = line[a:b].decode("utf-8", "replace")
+            for a, piece in sorted(windows):
                 m = pattern.search(piece)
                 if m:
                     start = a + len(piece[: m.start()].encode())
