@@ -47,6 +47,14 @@ def test_query_without_sql_runs(spark, name):
     assert queries.QUERIES[name](spark, SMALL).count() > 0
 
 
+def test_option_lint_sees_whole_turns(spark, tmp_path):
+    far = "plain words " * 5
+    rows = [(1, 0, far + "according to the book"), (1, 3, far + "use best practices"), (2, 0, far), (2, 3, None), (2, 1, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.QUERIES["rewritten_option_lint_whole"](spark, str(tmp_path)).collect()
+    assert {(r.conv_id, r.turn): (r.first, r.again, r.n_words) for r in got} == {(1, 0): ("source", "source", 14), (1, 3): (None, "generic", 13), (2, 0): (None, None, 10), (2, 3): ("too_short", "too_short", 0), (2, 1): ("source", "source", 4)}
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -244,6 +244,13 @@ def rewritten_option_lint(spark, d):
     return c.select("conv_id", "turn", lint.rewritten_option_reason(F.col("o")).alias("first"), lint.rewritten_option_reason(F.col("o"), True).alias("again"), (text.word_count(F.col("o")) >= 5).alias("long"))
 
 
+@query
+def rewritten_option_lint_whole(spark, d):
+    """The same over whole turns; a missing text is empty."""
+    c = read(spark, d, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("turn") == 1, " according to the book").when(F.col("turn") == 2, " use best practices").otherwise("")).alias("o"))
+    return c.select("conv_id", "turn", lint.rewritten_option_reason(F.col("o")).alias("first"), lint.rewritten_option_reason(F.col("o"), True).alias("again"), text.word_count(F.col("o")).alias("n_words"))
+
+
 @query
 def option_length_imbalance(spark, d):
     """Items whose correct option stands out by length."""
