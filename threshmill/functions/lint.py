@@ -1,4 +1,4 @@
-"""Checks of multiple-choice items, each with a reason. Operators F12-F22, L17, P32, P33, P35."""
+"""Checks of multiple-choice items, each with a reason. Operators F12-F17, F19-F22, P32, P33, P35."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""URL and host expressions. Operators P1-P6, P16, F4, F5, F23-F26, A21."""
+"""URL and host expressions. Operators P1-P6, P16, F4, F5, F23, F24, F26, A21."""
 
 from __future__ import annotations
 

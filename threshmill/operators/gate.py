@@ -1,4 +1,4 @@
-"""Ordered acceptance per key. Operators G1, G4, G5, G6, G7, G8, G9, J11, F34, P5."""
+"""Ordered acceptance per key. Operators G1, G4, G5, G6, G7, G8, J11, F34, P5."""
 
 from __future__ import annotations
 

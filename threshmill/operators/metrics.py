@@ -1,4 +1,4 @@
-"""Scores of models and threads. Operators A1, A4-A7, A10-A20, A22-A27, J7, J8, J17, W4, F28, F29, L3, L9-L11, L13, L16."""
+"""Scores of models and threads. Operators A1, A4-A7, A10-A20, A22-A27, J7, J8, J17, W4, F28, F29, L3, L9-L11, L13."""
 
 from __future__ import annotations
 

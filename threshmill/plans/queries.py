@@ -239,7 +239,7 @@ def giveaway_lint(spark, d):
 
 @query
 def rewritten_option_lint(spark, d):
-    """Faults of rewritten options in either pass."""
+    """Faults of rewritten options in either pass."""
     c = read(spark, d, "conversations").select("conv_id", "turn", F.concat(F.substring("text", 1, 40), F.when(F.col("turn") == 1, " according to the book").when(F.col("turn") == 2, " use best practices").otherwise("")).alias("o"))
     return c.select("conv_id", "turn", lint.rewritten_option_reason(F.col("o")).alias("first"), lint.rewritten_option_reason(F.col("o"), True).alias("again"), (text.word_count(F.col("o")) >= 5).alias("long"))
 
@@ -400,7 +400,7 @@ def frequency_maps(spark, d):
 
 @query
 def publisher_concentration(spark, d):
-    """[A8, A9, G6] Concentration of each language's sources, and what it triggers."""
+    """[A8, G6] Concentration of each language's sources, and what it triggers."""
     c = gate.concentration(read(spark, d, "documents"), "lang", "source", "n_chars")
     reasons = gate.replacement_reasons(F.col("n"), F.col("top_share"), F.col("n_publishers"), F.col("n_documents"), least=130)
     return c.select("lang", "n", F.round("top_share", 9).alias("top_share"), "n_publishers", "n_documents", reasons.alias("reasons"))
@@ -607,7 +607,7 @@ def quality_ladder(spark, d):
 
 @query
 def agreement_filter(spark, d):
-    """[L9, L10, L17] Decisions from option labels fixed by arithmetic."""
+    """[L9, L10] Decisions from option labels fixed by arithmetic."""
     labels = read(spark, d, "labels").select("doc_id")
     word = lambda i: F.element_at(F.array(*map(F.lit, ("AGREES", "CONTRADICTS", "OFF_TOPIC", "UNCLEAR"))), (F.pmod(F.col("doc_id") * i + F.floor(F.col("doc_id") / 4), F.lit(4)) + 1).cast("int"))
     m = F.map_from_arrays(F.array(*map(F.lit, "BCD")), F.array(word(1), word(3), word(5)))
@@ -686,7 +686,7 @@ def forum_threads(spark, d):
 
 @query
 def gathered_sources(spark, d):
-    """[S15, S16, S22, S23, S24, G11] Five URLs of each group by venue priority, two of the first venue at most."""
+    """[S15, S16, S22, S23] Five URLs of each group by venue priority, two of the first venue at most."""
     from threshmill.sources.io import gather_sources
 
     p = read(spark, d, "pages").select((F.col("page_id") % 9).alias("occupation"), urls.canonical(F.col("url"), "query").alias("url"), (F.col("page_id") % 3).alias("venue"), F.col("page_id").alias("seq"))
@@ -754,14 +754,14 @@ def numbered_verdict_map(spark, d):
 
 @query
 def thread_scores(spark, d):
-    """[L13, L14, L16] Scores of threads, by place where all are zero."""
+    """[L13] Scores of threads, by place where all are zero."""
     c = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.when(F.col("conv_id") % 2 == 0, 0).otherwise(F.col("turn").cast("int")).alias("score")))).alias("r"))
     return c.select("conv_id", F.array_join(F.transform(metrics.thread_scores(F.col("r")), lambda x: x.cast("string")), ",").alias("scores"))
 
 
 @query
 def difficulty_labels(spark, d):
-    """[P32, L8, L2, L6, L7, L12] Difficulty of labelled documents by how many of three seeds were right."""
+    """[P32, L8] Difficulty of labelled documents by how many of three seeds were right."""
     n = responses(spark, d).where("model = 'm1'").groupBy("doc_id").agg(F.count_if(F.col("answer") == F.col("correct")).alias("n"))
     return n.select("doc_id", lint.difficulty(F.col("n")).alias("difficulty"), F.when(F.col("n") == 3, "too_easy").when((F.col("n") == 0) & (F.col("doc_id") % 2 == 0), "too_hard").otherwise("keep").alias("verdict"))
 

@@ -1,4 +1,4 @@
-"""Readers and writers. Operators S1-S10, S18-S24, K1-K8, K10.
+"""Readers and writers. Operators S1-S7, S9, S10, S18-S23, K1-K8, K10.
 
 Paths are Spark paths; nothing is opened on the driver. Readers take explicit
 schemas and keep bad rows apart where the format allows it.
@@ -63,7 +63,7 @@ def forum_threads(posts: DataFrame, body: str, least_chars: int = 40, least_post
 
 
 def gather_sources(found: DataFrame, priority: str, rank: str, per_venue: Column, most: int = 5) -> DataFrame:
-    """Sources by venue priority, none twice, each venue up to its quota, `most` in all for each occupation."""
+    """Sources by venue priority, none twice, each venue up to its quota, `most` in all for each occupation."""
     from pyspark.sql import Window
 
     once = first_per_key(found, ["occupation", "url"], F.struct(priority, rank))
