@@ -1,4 +1,4 @@
-"""Substring dedup by De Bruijn compaction.
+"""Substring dedup by repeated windows, dealt by minimizers.
 
 The graph's edges are the k-word windows of all documents (from their first
 k - 1 words, a node, to their last k - 1). An edge that starts at two places or
@@ -14,9 +14,10 @@ more is repeated. All edges are needed, but not a row for each:
    in the window and the window's own fingerprint (48 bits of an independent
    hash of all its words) agree. Source coordinates verify that a repeat stands
    at different places. Runs of repeated windows with the same multiplicity are
-   emitted: pieces of nonbranching paths.
+   emitted: pieces of spans.
 3. Compaction. The pieces join by their document, and where one ends at the
-   node at which the next begins, with the same multiplicity, they are one path.
+   node at which the next begins, with the same multiplicity, they are one span;
+   a node may branch there, as no degrees are kept.
    Words under any path's windows are removed, judged on the input alone.
 
 No pairs of occurrences are made: a passage in n documents costs n postings.
@@ -219,7 +220,7 @@ def _pieces(key: np.ndarray, at: np.ndarray, times: np.ndarray) -> pa.Table:
 
 
 def _repeated(part: pa.Table, n_buckets: int) -> pa.Table:
-    """Of one bucket: the pieces of nonbranching paths of repeated windows, by document."""
+    """Of one bucket: the pieces of spans of repeated windows, by document."""
     bucket = part.column("bucket")[0].as_py()
     blobs = [x.as_py() for x in part.column("blob")]
     if bucket < 0:
@@ -304,7 +305,7 @@ def remove_repeats(docs: DataFrame, k: int = 35, seed_words: int = 8, carry: tup
     Returns doc_id, the columns named in carry, text (with rewrite: kept words
     joined by one space, or the text as it was if nothing went), n_words,
     n_removed, kept_sha256 and paths (first word, words and multiplicity of each
-    nonbranching path). Other columns of docs are ignored, whatever their names.
+    span). Other columns of docs are ignored, whatever their names.
 
     A null text has no words; its text stays null. Fewer than k words are never
     removed. Equal rows count as different places, so all their windows go. A
