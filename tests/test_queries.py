@@ -58,6 +58,13 @@ def test_option_lint_sees_whole_turns(spark, tmp_path):
     assert {(r.conv_id, r.turn): (r.first, r.again, r.n_words) for r in got} == {(1, 0): ("source", "source", 14), (1, 3): (None, "generic", 13), (2, 0): (None, None, 10), (2, 3): ("too_short", "too_short", 0), (2, 1): ("source", "source", 4)}
 
 
+def test_picks_of_every_key(spark, tmp_path):
+    spark.createDataFrame([(3, "three", 1, 5.0), (200, "late", 9, 1.0), (4, "four", 2, -1.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(1, 3), (1, 3), (2, 200), (3, 4), (4, 999)], "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = queries.QUERIES["pick_validation_whole"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 3, True, "A", "three"), (2, 200, True, "C", "late"), (3, 4, False, None, "#4"), (4, 999, False, None, "#999")]
+
+
 def test_missing_operators_are_not_claimed():
     root = pathlib.Path(__file__).parents[1]
     missing = re.search(r"No code yet: ([^.]*)\.", (root / "README.md").read_text())[1].split(", ")

@@ -361,6 +361,15 @@ def pick_validation(spark, d):
     return j.select("p_partkey", F.col("s_name").isNotNull().alias("valid"), F.when(F.col("s_name").isNull(), None).when(F.col("s_nationkey") < 8, "A").when(F.col("s_nationkey") < 16, "C").otherwise("B").alias("tier"), F.coalesce("s_name", F.concat(F.lit("#"), F.col("k").cast("string"))).alias("publisher"))
 
 
+@query
+def pick_validation_whole(spark, d):
+    """[J18, J19, J20, J21] Every supplier that a line item picks: whether it is in the pool of those with a balance, its tier and publisher."""
+    pool = read(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("k"), "s_name", "s_nationkey")
+    picks = read(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("k")).distinct()
+    j = picks.join(pool, "k", "left")
+    return j.select("p_partkey", "k", F.col("s_name").isNotNull().alias("valid"), F.when(F.col("s_name").isNull(), None).when(F.col("s_nationkey") < 8, "A").when(F.col("s_nationkey") < 16, "C").otherwise("B").alias("tier"), F.coalesce("s_name", F.concat(F.lit("#"), F.col("k").cast("string"))).alias("publisher"))
+
+
 @query
 def url_metadata_join(spark, d):
     """[J22] One lookup for each different URL path, joined back."""
