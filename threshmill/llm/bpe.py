@@ -1,9 +1,11 @@
 """Byte-level BPE encoding and decoding with a pair occurrence index.
 
-New words of a partition's next texts are encoded together: an index maps each
-pair of neighbouring symbols to all its positions, active ranks are applied in
-ascending order, and each merge updates the lists of the pairs it touches. A
-word's ids are kept in a bounded table, so a frequent word is encoded once.
+A partition's texts are read in runs of about CHUNK_CHARS characters, so that
+memory is bounded whatever the partition's size. The words of a run that aren't
+known yet are encoded together: an index maps each pair of neighbouring symbols
+to all its positions in them, active ranks are applied in ascending order, and
+each merge updates the lists of the pairs it touches. A word's ids are kept in a
+bounded table, so a frequent word is encoded once.
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ from threshmill.llm.common import short_batches
 
 #: Fixed value of the format: how byte-level BPE splits a text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fixed values of the format: the parts of a tokenizer file that this codec implements, as the library writes them.
+PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "byte_fallback": False, "ignore_merges": False}
+ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
 WORDS_KEPT = 400_000
 CHUNK_CHARS = 1 << 20
 
@@ -34,12 +40,24 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def unlike(spec: dict) -> list[str]:
+    """What a tokenizer file asks for that this codec doesn't do; an option that the file leaves out has the listed value."""
+    out = [f"{name} is set" for name in ("normalizer", "post_processor") if spec.get(name) and spec[name].get("type") != "ByteLevel"]
+    tokens = [(f"added token {t['content']!r}", t, ADDED) for t in spec.get("added_tokens", ())]
+    for name, got, want in [("pre_tokenizer", spec.get("pre_tokenizer") or {"type": None}, PRE_TOKENIZER), ("model", spec["model"], MODEL), *tokens]:
+        out += [f"{name}: {k} is {got[k]!r}" for k, v in want.items() if k in got and got[k] != v]
+    affixes = ("continuing_subword_prefix", "end_of_word_suffix")
+    return out + [f"model: {k} is {spec['model'][k]!r}" for k in affixes if spec["model"].get(k)]
+
+
 class Codec:
-    """A tokenizer read from a tokenizers-library file."""
+    """A tokenizer read from a tokenizers-library file; ValueError if the file asks for anything that this codec doesn't do."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if unlike(spec):
+            raise ValueError(f"{path}: " + "; ".join(unlike(spec)))
         vocab, stand = spec["model"]["vocab"], byte_symbols()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token_bytes = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
@@ -72,10 +90,12 @@ class Codec:
         code = first[inner] << 32 | first[inner + 1]
         order = np.argsort(code, kind="stable")
         at, code = inner[order], code[order]
-        cuts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
+        # words of one byte have no pair: then there are no runs of equal pairs either
+        edges = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1], [True]))) if len(code) else np.zeros(1, np.int64)
         merges = self.merges
         index: dict[int, list[int]] = {}
-        for pair, x, y in zip(code[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(code)], strict=True):
+        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            pair = int(code[x])
             if pair in merges:
                 index[pair] = at[x:y].tolist()
         right, left = after.tolist(), before.tolist()
