@@ -7,9 +7,10 @@ recorded as an attachment in the same order, and its expanded token count is
 computed from its size. Turns are marked
 `<|im_start|>role<|im_sep|>content<|im_end|>` and a line feed.
 
-Escaping is reversible: `\\` becomes `\\\\`, then `<|` becomes `<\\|`, so no text
-or role can hold a control string. Reading back splits at the control strings
-and undoes both in one pass from left to right.
+Escaping is reversible: `\\` becomes `\\\\`, then `|` becomes `\\|`. Every bar of a
+text is escaped, so no text or role can hold a control string, nor can parts
+that stand next to each other form one. Reading back splits at the control
+strings and undoes both in one pass from left to right.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ PATCH, PER_SECOND, PER_PAGE = 28, 25, 256
 
 
 def escape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
+    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
 
 
 def unescape(text: Column) -> Column:
