@@ -8,7 +8,7 @@ it can't hold anything nearer than factor times the k-th distance so far; a
 factor below one skips more and is approximate, factor one is exact search.
 
 Queries travel in blocks: a group is one shard and one block of queries, both
-of a bounded number of rows, whatever the table's size. Scores are computed in double precision
+of a bounded number of rows, whatever the table's size and whichever ids repeat. Scores are computed in double precision
 from the original vectors, by the same sum whatever the block.
 """
 
@@ -60,12 +60,12 @@ class Tree:
         return Node(rows[:0], point, float(d[order[half]]), self._split(rows[order[:half]]), self._split(rows[order[half:]]))
 
     def search(self, ids: np.ndarray, vectors: np.ndarray, k: int, factor: float = 1.0) -> list[list[tuple[float, int]]]:
-        """For each query its k best (cosine, id), nearest first, ties to the smaller id; a vector of the query's own id isn't a candidate."""
+        """For each query its k best (cosine, row of the tree), nearest first, ties to the smaller id, then to the first row; a vector of the query's own id isn't a candidate."""
         q = vectors.astype(np.float64)
         norms = np.sqrt((q * q).sum(axis=1))
         unit = q / norms[:, None]
         score = np.full((len(q), k), -np.inf)
-        found = np.full((len(q), k), np.iinfo(np.int64).max)
+        found = np.full((len(q), k), -1)
 
         def leaf(rows: np.ndarray, ask: np.ndarray) -> None:
             rough = unit[ask] @ self.unit[rows].T
@@ -76,8 +76,8 @@ class Tree:
             for i in np.unique(x):
                 here, one = x == i, ask[i]
                 s = np.concatenate((score[one], exact[here]))
-                n = np.concatenate((found[one], self.ids[rows[y[here]]]))
-                best = np.lexsort((n, -s))[:k]
+                n = np.concatenate((found[one], rows[y[here]]))
+                best = np.lexsort((n, self.ids[n], -s))[:k]
                 score[one], found[one] = s[best], n[best]
 
         def visit(node: Node, ask: np.ndarray) -> None:
@@ -112,35 +112,43 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     Vectors that are null, zero or hold null or non-finite components, and rows
     without an id, take no part. Vectors of another length than a query's are
-    no candidates of it. Of repeated ids each row is a candidate, but none of
-    the query's own id; a repeated query id is asked once for each different
-    row and answers are merged. Fewer than k candidates give fewer rows; an
-    empty table gives none. Other columns are ignored.
+    no candidates of it. Every row is a candidate, so equal rows may take
+    several ranks; rows of the query's own id are none. Rows of one id are one
+    query: a candidate's score is its largest over them. Fewer than k candidates
+    give fewer rows; an empty table gives none. Other columns are ignored.
     """
-    use = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"))).withColumn("dim", F.size("v"))
-    per_dim = {r.dim: r.n for r in use.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row for each vector length
     spark = vectors.sparkSession
+    use = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    # equal rows are searched once; their number comes back with the answers
+    use = use.groupBy("id", "v").agg(F.count("*").alias("copies")).withColumn("dim", F.size("v")).withColumn("h", F.xxhash64("id", "v"))
+    asks = F.col("id") % every == 0
+    per_dim = use.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(asks, 1)).alias("q")).collect()  # one row for each vector length
     if not per_dim:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    plan = F.broadcast(spark.createDataFrame([(d, -(-n // shard_rows), max(1, -(-n // every // BLOCK))) for d, n in per_dim.items()], "dim int, shards int, blocks int"))
+    plan = F.broadcast(spark.createDataFrame([(r.dim, -(-r.n // shard_rows), max(1, -(-r.q // BLOCK))) for r in per_dim], "dim int, shards int, blocks int"))
     use = use.join(plan, "dim")
-    shards = use.select("dim", F.pmod(F.xxhash64("id", F.lit(1)), F.col("shards")).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v", F.lit(False).alias("asks"))
-    asked = use.where(F.col("id") % every == 0).select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("int").alias("block"), "id", "v", F.lit(True).alias("asks"))
+    # rows are dealt by all they hold, so one id's rows don't meet in one shard or block
+    shards = use.select("dim", F.pmod(F.xxhash64("h", F.lit(1)), F.col("shards")).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "h", "copies", "v", F.lit(False).alias("asks"))
+    asked = use.where(asks).select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("h", F.lit(2)), F.col("blocks")).cast("int").alias("block"), "id", "h", "copies", "v", F.lit(True).alias("asks"))
 
     def search(part: pa.Table) -> pa.Table:
-        ids = part.column("id").to_numpy()
+        ids, marks, copies = (part.column(x).to_numpy() for x in ("id", "h", "copies"))
         asks = part.column("asks").to_numpy(zero_copy_only=False)
         dim = part.column("dim")[0].as_py()
         flat = part.column("v").combine_chunks()
         flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
         v = flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-        tree = Tree(ids[~asks], v[~asks])
+        own_ids, own_marks, own_copies = ids[~asks], marks[~asks], copies[~asks]
+        tree = Tree(own_ids, v[~asks])
         found = zip(ids[asks].tolist(), tree.search(ids[asks], v[asks], k, factor), strict=True)
-        out = [(one, n, s) for one, best in found for s, n in best]
-        q, n, s = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(n, pa.int64()), "score": pa.array(s, pa.float64())})
-
-    found = shards.unionByName(asked).groupBy("dim", "shard", "block").applyInArrow(search, "query_id long, vec_id long, score double")
+        out = [(one, row, s) for one, best in found for s, row in best]
+        q, row, s = zip(*out, strict=True) if out else ((), (), ())
+        at = np.array(row, np.int64)
+        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(own_ids[at], pa.int64()), "h": pa.array(own_marks[at], pa.int64()), "copies": pa.array(own_copies[at], pa.int64()), "score": pa.array(s, pa.float64())})
+
+    found = shards.unionByName(asked).groupBy("dim", "shard", "block").applyInArrow(search, "query_id long, vec_id long, h long, copies long, score double")
+    merged = found.groupBy("query_id", "vec_id", "h").agg(F.max("score").alias("score"), F.first("copies").alias("copies"))
+    each = merged.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k)))))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
