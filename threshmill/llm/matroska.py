@@ -28,7 +28,7 @@ EBML, EBML_VERSION, EBML_READ_VERSION, DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ
 SEGMENT, INFO, TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, DEFAULT_DURATION = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x23E383
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE_BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 #: Elements that only stand at the top of a segment: they end a cluster of unknown size.
 TOP_LEVEL = frozenset((INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1254C367, 0x1941A469, 0x1043A770))
@@ -96,6 +96,7 @@ class Packet:
     cluster: int
     track: int
     timestamp_ns: int
+    duration_ns: int | None
     keyframe: bool
     offset: int
     size: int
@@ -113,7 +114,8 @@ class Media:
 
     def cues_hold(self) -> bool:
         """Each cue points to the first byte of a cluster."""
-        return all(self.segment + position in self.clusters for _, _, position in self.cues)
+        starts = {at - self.segment for at in self.clusters}
+        return all(position in starts for _, _, position in self.cues)
 
 
 def lace_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int], int]:
@@ -198,23 +200,28 @@ def _cluster(data: bytes, at: int, end: int, media: Media) -> None:
         if kind == TIMESTAMP:
             base = _uint(data, body, stop)
         elif kind == SIMPLE_BLOCK:
-            _block(data, body, stop, base, media, None)
+            _block(data, body, stop, base, media, None, None)
         elif kind == BLOCK_GROUP:
-            for k, _, b, e in elements(data, body, stop):
+            inner = list(elements(data, body, stop))
+            # a group that refers to no other block is a keyframe
+            key = all(k != REFERENCE_BLOCK for k, *_ in inner)
+            duration = next((_uint(data, b, e) for k, _, b, e in inner if k == BLOCK_DURATION), None)
+            for k, _, b, e in inner:
                 if k == BLOCK:
-                    _block(data, b, e, base, media, False)
+                    _block(data, b, e, base, media, key, duration)
 
 
-def _block(data: bytes, at: int, end: int, base: int, media: Media, keyframe: bool | None) -> None:
+def _block(data: bytes, at: int, end: int, base: int, media: Media, keyframe: bool | None, duration: int | None) -> None:
+    """The frames of a block; a duration in ticks is shared by its frames and goes before the track's default."""
     track, at = read_size(data, at)
     if track is None or at + 3 > end:
         raise Malformed("a block's header is cut short")
     relative, flags = int.from_bytes(data[at : at + 2], "big", signed=True), data[at + 2]
     lacing = flags >> 1 & 3
     sizes, at = lace_sizes(data, at + 3, end, lacing)
-    each = media.tracks.get(track, {}).get("default_ns", 0)
+    each = media.tracks.get(track, {}).get("default_ns", 0) if duration is None else duration * media.scale // len(sizes)
     for i, size in enumerate(sizes):
-        media.packets.append(Packet(len(media.clusters) - 1, track, (base + relative) * media.scale + i * each, bool(flags & 0x80) if keyframe is None else keyframe, at, size, lacing))
+        media.packets.append(Packet(len(media.clusters) - 1, track, (base + relative) * media.scale + i * each, each or None, bool(flags & 0x80) if keyframe is None else keyframe, at, size, lacing))
         at += size
 
 
@@ -282,12 +289,12 @@ def write(payload: bytes, frame: int = 1024, per_block: int = 8, per_cluster: in
 
 
 def packet_table(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """One row per packet: id, cluster, track, timestamp_ns, keyframe, offset, size, lacing, codec.
+    """One row per packet: id, cluster, track, timestamp_ns, duration_ns, keyframe, offset, size, lacing, codec.
 
     A null, empty or malformed file gives one row with its error and nulls; a
     file without packets gives none. Other columns are ignored.
     """
-    columns = [("cluster", "int"), ("track", "long"), ("timestamp_ns", "long"), ("keyframe", "boolean"), ("offset", "long"), ("size", "long"), ("lacing", "int"), ("codec", "string"), ("error", "string")]
+    columns = [("cluster", "int"), ("track", "long"), ("timestamp_ns", "long"), ("duration_ns", "long"), ("keyframe", "boolean"), ("offset", "long"), ("size", "long"), ("lacing", "int"), ("codec", "string"), ("error", "string")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,7 +305,7 @@ def packet_table(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
                     got = parse(data.as_py() or b"")
                     for p in got.packets:
                         ids.append(i)
-                        for c in ("cluster", "track", "timestamp_ns", "keyframe", "offset", "size", "lacing"):
+                        for c in ("cluster", "track", "timestamp_ns", "duration_ns", "keyframe", "offset", "size", "lacing"):
                             out[c].append(getattr(p, c))
                         out["codec"].append(got.tracks.get(p.track, {}).get("codec"))
                         out["error"].append(None)
@@ -333,30 +340,35 @@ def text_media(docs: DataFrame, with_media: bool = False) -> DataFrame:
     """Each whole text stored as an audio track in a Matroska file and read back by the parser.
 
     Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature and n_packets, with the file if
-    with_media. The payload is what the packets' byte ranges hold. A null text
+    media_bytes, media_sha256, feature and packets (the packet table as a list:
+    track, timestamp, first byte and size), with the file if with_media. The payload is what the packets' byte ranges hold. A null text
     is empty (64 bytes 0). Rows stay as they are, repeated ones too; an empty
     table gives no rows; other columns are ignored.
     """
     short_batches(docs.sparkSession)
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_packets"]
-    kinds = [None, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [None, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in names[1:]]
             files: list[bytes] = []
+            ends, packets = [0], []
             for text in batch.column("text"):
                 n, data = stored(text.as_py())
                 got = parse(data)
                 view = memoryview(data)
                 payload = b"".join(view[p.offset : p.offset + p.size] for p in got.packets)
-                for x, y in zip(out, (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(got, payload), len(got.packets)), strict=True):
+                for x, y in zip(out, (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(got, payload)), strict=True):
                     x.append(y)
+                packets += [(p.track, p.timestamp_ns, p.offset, p.size) for p in got.packets]
+                ends.append(len(packets))
                 if with_media:
                     files.append(data)
             arrays = [batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(out, kinds[1:], strict=True))]
-            yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(files, pa.binary())] if with_media else [])], names=[*names, *(["media"] if with_media else [])])
+            one = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in zip(*packets, strict=True)] if packets else [pa.array([], pa.int64())] * 4, names=["track", "timestamp_ns", "offset", "size"])
+            arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), one))
+            yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(files, pa.binary())] if with_media else [])], names=[*names, "packets", *(["media"] if with_media else [])])
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_packets long" + (", media binary" if with_media else "")
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, packets array<struct<track long, timestamp_ns long, offset long, size long>>" + (", media binary" if with_media else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, schema)
