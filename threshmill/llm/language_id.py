@@ -5,11 +5,12 @@ bytes of the lower-cased text, words apart by one space), hashed to a fixed
 number of dimensions and normalised. Training clusters the vectors of each
 language into a few centroids; a text gets the language of the centroid with
 the largest cosine. A text farther from all centroids than nearly all training
-texts is from theirs is marked rejected, and its score is damped.
+texts is from theirs is marked rejected, and its score is damped; the language
+stays, as only texts without a letter are `und`.
 
 The classifier is fitted on a bounded sample: `per_language` learnable
 documents of each language, those with the smallest hashes of their doc_id.
-Every whole text is classified.
+There may be up to MOST_LANGUAGES languages. Every whole text is classified.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from threshmill.llm.common import short_batches, text_chunks
 
 DIMENSIONS = 4096
 PER_LANGUAGE = 256
+MOST_LANGUAGES = 512
 CENTROIDS = 3
 REJECT_QUANTILE = 0.002
 SHARPNESS = 24.0
@@ -116,6 +118,11 @@ def learnable() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2
 
 
+def lower(text: F.Column) -> F.Column:
+    """Small letters of every script, as Java has them."""
+    return F.lower(text.cast("string"))
+
+
 def _sampled_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, raw, offsets in text_chunks(batch.column("text")):
@@ -124,15 +131,22 @@ def _sampled_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Fitted on at most per_language learnable documents with text of each language."""
-    spark = docs.sparkSession
-    can = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & learnable() & (F.length(F.trim("text")) > 0)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = can.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).select("doc_id").collect()
+    """Fitted on at most per_language learnable documents with text of each language; of rows that repeat a doc_id in one language, the least text."""
+    can = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & learnable() & (F.length(F.trim("text")) > 0)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"))
+    # first in 64 parts of each language, then among what those leave: a language is never one task's
+    parts = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
+    first = can.distinct().withColumn("r", F.row_number().over(parts)).where(F.col("r") <= per_language).drop("r")
+    whole = Window.partitionBy("lang").orderBy("h", "doc_id")
+    chosen = first.withColumn("r", F.row_number().over(whole)).where(F.col("r") <= per_language).select("doc_id", "lang")
+    chosen = chosen.limit(MOST_LANGUAGES * per_language + 1).collect()
+    if len({r.lang for r in chosen}) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
     if not chosen:
         return Model([], np.zeros(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), 0.0)
-    ids = F.broadcast(spark.createDataFrame(chosen, "doc_id long").distinct())
-    rows = docs.where(F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0)).select("doc_id", F.col("text").cast("string").alias("text"), "lang").join(ids, "doc_id", "left_semi").select("text", "lang").mapInArrow(_sampled_counts, "lang string, counts binary").collect()
+    picked = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, lang string"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), lower(F.col("text")).alias("text")).where(F.length(F.trim("text")) > 0)
+    one = text.join(picked, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = one.select("text", "lang").mapInArrow(_sampled_counts, "lang string, counts binary").collect()
     rows = sorted(rows, key=lambda r: (r.lang, bytes(r.counts)))
     return fit(np.stack([np.frombuffer(r.counts, "<f4") for r in rows]), [r.lang for r in rows])
 
@@ -171,4 +185,4 @@ def language_id(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
             held = pc.fill_null(batch.column("held_out"), False)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), held, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(far, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~learnable()).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~learnable()).alias("held_out"), lower(F.col("text")).alias("text")).mapInArrow(rows, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
