@@ -64,3 +64,29 @@ def base_places(text: str | None) -> tuple[int, list[tuple[int, str]]]:
         p = phrase.split()
         found += [(i, label) for i in range(len(words)) if words[i : i + len(p)] == p]
     return len(words), sorted(found)
+
+
+def nonbranching_spans(rows: list[tuple], k: int) -> dict[int, list[tuple]]:
+    """doc_id to (first word, words, least multiplicity) of each run of repeated windows between nodes that branch."""
+    words = {doc: tuple(WORD.findall(t or "")) for doc, t in rows}
+    seen = Counter(w[i : i + k] for w in words.values() for i in range(len(w) - k + 1))
+    into, out_of = defaultdict(set), defaultdict(set)
+    for e, n in seen.items():
+        if n > 1:
+            out_of[e[:-1]].add(e)
+            into[e[1:]].add(e)
+    out = {}
+    for doc, w in words.items():
+        spans = []
+        for i in range(len(w) - k + 1):
+            n = seen[w[i : i + k]]
+            if n < 2:
+                continue
+            node = w[i : i + k - 1]
+            if spans and spans[-1][0] + spans[-1][1] - k + 1 == i and len(into[node]) == len(out_of[node]) == 1:
+                a, size, least = spans[-1]
+                spans[-1] = (a, size + 1, min(least, n))
+            else:
+                spans.append((i, k, n))
+        out[doc] = spans
+    return out

@@ -146,6 +146,43 @@ def test_repeats_equal_brute_force(spark, k, hot):
         assert x.n_removed == len({i for p in x.paths for i in range(p.start, p.start + p.words)})
 
 
+@pytest.mark.parametrize("k", [2, 5, 12, 35])
+def test_paths_equal_brute_force(spark, k):
+    r = random.Random(k)
+    shared = [prose(120, 700 + i) for i in range(5)]
+    rows = []
+    for i in range(80):
+        cuts = sorted(r.sample(range(121), 2))
+        rows.append((i, " ".join([prose(r.randint(0, 40), i), *r.choice(shared).split()[slice(*cuts)], prose(r.randint(0, 9), i % 7), *r.choice(shared).split()[cuts[0] :]])))
+    rows += [(90, "a b c " * 60), (91, "x " * 100), (92, "y x " + "x " * 60), (93, shared[0] + " " + shared[0]), (94, prose(3000, 4)), (95, "new " + prose(3000, 4))]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=k).collect()
+    want = brute.nonbranching_spans(rows, k)
+    for x in got:
+        assert [(p.start, p.words, p.times) for p in x.paths] == want[x.doc_id], x.doc_id
+    # spans of one path begin with the same words where they are whole
+    long = {x.doc_id: x.paths for x in got}
+    assert max(p.words for p in long[94]) == max(p.words for p in long[95]) and {p.path for p in long[94]} == {p.path for p in long[95]}
+
+
+@pytest.mark.parametrize("hot", [2048, 50])
+def test_repeats_of_many_equal_rows(spark, hot):
+    text = prose(300, 12)
+    same = spark.range(10_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text")))
+    rows = remove_repeats(same.unionByName(spark.createDataFrame([(8, prose(200, 13))], "doc_id long, text string")).repartition(4), hot_least=hot).collect()
+    assert len(rows) == 12_001
+    assert {(r.n_words, r.n_removed, len(r.paths), r.paths[0].times) for r in rows if r.doc_id != 8} == {(300, 300, 1, 12_000)}
+    assert [r.n_removed for r in rows if r.doc_id == 8] == [0]
+
+
+def test_chains_and_rings(spark):
+    from threshmill.llm.components import chains
+
+    chain = [(i + 1, i) for i in range(1, 300)] + [(401, 400), (402, 401), (400, 402), (501, 500)]
+    got = {r.id: r.head for r in chains(spark.createDataFrame(chain, "id long, before long")).collect()}
+    assert got == {i: 1 for i in range(1, 301)} | {400: 400, 401: 400, 402: 400, 500: 500, 501: 500}
+    assert chains(spark.createDataFrame([], "id long, before long")).count() == 0
+
+
 def test_repeats_on_a_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     got = queries.op4_repeat_spans(spark, SMALL).collect()

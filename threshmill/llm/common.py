@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threshmill.shared import cut, shared_dir  # noqa: F401
+from threshmill.shared import cut, discard, shared_dir  # noqa: F401
 
 U = np.uint64
 MASK64 = (1 << 64) - 1
