@@ -9,8 +9,8 @@ texts is from theirs is marked rejected, and its score is damped; the language
 stays, as only texts without a letter are `und`.
 
 The classifier is fitted on a bounded sample: `per_language` learnable
-documents of each language, those with the smallest hashes of their doc_id.
-There may be up to MOST_LANGUAGES languages. Every whole text is classified.
+documents of each language, those with the smallest hashes of their doc_id (in
+each of PARTS parts by hash, then among those). There may be up to MOST_LANGUAGES languages. Every whole text is classified.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from threshmill.llm.common import short_batches, text_chunks
 DIMENSIONS = 4096
 PER_LANGUAGE = 256
 MOST_LANGUAGES = 512
+#: Parts that a language's documents are sampled in; each gives eight times its even share at most.
+PARTS = 64
 CENTROIDS = 3
 REJECT_QUANTILE = 0.002
 SHARPNESS = 24.0
@@ -133,9 +135,9 @@ def _sampled_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fitted on at most per_language learnable documents with text of each language; of rows that repeat a doc_id in one language, the least text."""
     can = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & learnable() & (F.length(F.trim("text")) > 0)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"))
-    # first in 64 parts of each language, then among what those leave: a language is never one task's
-    parts = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
-    first = can.distinct().withColumn("r", F.row_number().over(parts)).where(F.col("r") <= per_language).drop("r")
+    # the first of 64 parts of each language, then the first of those: a language is never one task's
+    parts = Window.partitionBy("lang", F.pmod("h", F.lit(PARTS))).orderBy("h", "doc_id")
+    first = can.distinct().withColumn("r", F.row_number().over(parts)).where(F.col("r") <= max(8 * per_language // PARTS, 1)).drop("r")
     whole = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = first.withColumn("r", F.row_number().over(whole)).where(F.col("r") <= per_language).select("doc_id", "lang")
     chosen = chosen.limit(MOST_LANGUAGES * per_language + 1).collect()
