@@ -119,13 +119,13 @@ def test_matroska_unknown_sizes_groups_and_faults(spark):
             pass
 
 
-@pytest.mark.parametrize("frequent,widest,hot", [(512, 256, 2048), (1, 256, 2048), (1, 40, 2), (2, 10, 2048), (512, 256, 2)])
-def test_near_components_equal_brute_force(spark, frequent, widest, hot):
+@pytest.mark.parametrize("classes,widest,hot", [((32, 1024), (128, 40), 2048), ((1, 3), (128, 60), 2048), ((1, 2), (50, 45), 2), ((2, 4), (10, 7), 2048), ((512, 512), (256, 40), 2)])
+def test_near_components_equal_brute_force(spark, classes, widest, hot):
     rows = [(i, prose(60, i % 9)) for i in range(40)]
     rows += [(100 + i, edit(prose(60, i % 5), i % 9, i)) for i in range(160)]
     rows += [(300 + i, prose(RNG.randint(1, 7), i % 4)) for i in range(30)] + [(400, None), (401, "")]
     want = brute.near_components(rows)
-    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), frequent=frequent, widest=widest, hot_share=0.02, hot_least=hot).collect()
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), classes=classes, widest=widest, hot_share=0.02, hot_least=hot).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
