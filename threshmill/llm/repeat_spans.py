@@ -223,7 +223,8 @@ def _deal(batches: Iterator[pa.RecordBatch], k: int, s: int, n_buckets: int, hot
             once = mine.take(order[cuts])
             once.columns |= {"key": names.view(np.int64), "start": np.zeros(len(cuts), np.uint32), "rows": rows.astype(np.uint32), "flags": once.flags | 4}
             every = Postings.concatenate([every, once])
-        bucket = bucket_of(every.seed, n_buckets).astype(np.int64)
+        # minimizers are small hashes; mixed again, they fall evenly
+        bucket = bucket_of(mix(every.seed), n_buckets).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         every, bucket = every.take(order), bucket[order]
         cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
