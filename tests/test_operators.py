@@ -59,25 +59,114 @@ def test_round_robin_is_the_loop(spark):
     assert sorted(x.i for x in got) == sorted(want)
 
 
-def test_domain_cap_is_the_loop():
+def capped_by_the_loop(rows: list[tuple], share: float) -> list[tuple]:
+    """(domain, group, place) rows after the loop that drops the largest domain's last rows, row by row."""
+    rows = list(rows)
+    while rows:
+        size = {}
+        for d, _, _ in rows:
+            size[d] = size.get(d, 0) + 1
+        top = max(size, key=size.get)
+        excess = size[top] - int(share * len(rows))
+        if excess <= 0:
+            break
+        piles = {}
+        for row in rows:
+            if row[0] == top:
+                piles.setdefault(row[1], []).append(row)
+        order = sorted(piles, key=lambda g: -len(piles[g]))
+        gone = set()
+        while excess and any(piles.values()):
+            for g in order:
+                if excess and piles[g]:
+                    gone.add(piles[g].pop())
+                    excess -= 1
+        rows = [row for row in rows if row not in gone]
+    return rows
+
+
+def test_domain_cap_is_the_loop(spark):
     r = random.Random(3)
-    for _ in range(200):
-        rows = [(r.choice("wxyz"), r.choice("pq"), i) for i in range(r.randint(1, 40))]
+    for trial in range(200):
+        rows = [(r.choice("wwwxyz"), r.choice("ppq"), i) for i in range(r.randint(1, 40))]
         share = r.choice([0.2, 0.3, 0.5])
         counts = {}
         for d, g, i in rows:
             n, first = counts.get((d, g), (0, i))
             counts[d, g] = (n + 1, first)
-        keep = select.domain_cap([(d, g, n, f) for (d, g), (n, f) in counts.items()], share)
-        total = sum(keep.values())
-        for d in {x[0] for x in rows}:
-            assert sum(n for (x, _), n in keep.items() if x == d) <= max(int(share * total), 1)
-
-
-def test_proportional_meets_its_target():
-    assert select.proportional([("a", 70, 100), ("b", 20, 100), ("c", 10, 100)], 10) == {"a": 7, "b": 2, "c": 1}
-    got = select.proportional([("a", 90, 3), ("b", 9, 50), ("c", 1, 50)], 20, floor=2)
-    assert sum(got.values()) == 20 and got["a"] == 3 and min(got.values()) >= 2
+        keep, left = select.domain_cap([(d, g, n, f) for (d, g), (n, f) in counts.items()], share)
+        want = capped_by_the_loop(rows, share)
+        place = {k: 0 for k in keep}
+        got = []
+        for row in rows:
+            place[row[:2]] += 1
+            if place[row[:2]] <= keep[row[:2]]:
+                got.append(row)
+        assert got == want and left == len(want)
+        if trial < 3:
+            df = spark.createDataFrame(rows, "d string, g string, i long")
+            for looked_at in (1, 100):
+                assert sorted(tuple(x) for x in select.capped_domains(df, "d", "g", "i", share, looked_at).collect()) == sorted(want)
+
+
+def test_taking_in_turn():
+    for counts in ([3, 1, 2], [0, 5], [1], []):
+        for excess in range(9):
+            left, gone = list(counts), 0
+            while gone < excess and any(left):
+                for i, c in enumerate(left):
+                    if c and gone < excess:
+                        left[i] -= 1
+                        gone += 1
+            assert select.in_turn(counts, excess) == [a - b for a, b in zip(counts, left, strict=True)]
+
+
+def test_proportional_cases():
+    assert select.proportional([("a", 70, 100), ("b", 20, 100), ("c", 10, 100)], 10, cap=9) == {"a": 7, "b": 2, "c": 1}
+    # no cap given: a quarter of the target at most; the missing places go to the heaviest that has room
+    assert select.proportional([("a", 70, 100), ("b", 20, 100), ("c", 10, 100)], 100) == {"a": 25, "b": 25, "c": 25}
+    assert select.proportional([("a", 50, 100), ("b", 30, 100), ("c", 15, 100), ("d", 3, 100), ("e", 2, 100)], 20, floor=3) == {"a": 5, "b": 5, "c": 4, "d": 3, "e": 3}
+    # supply runs out, then the floor holds against the trim
+    assert select.proportional([("a", 90, 3), ("b", 9, 50), ("c", 1, 50)], 20, floor=2, cap=15) == {"a": 3, "b": 15, "c": 2}
+    assert select.proportional([("a", 1, 9), ("b", 1, 9)], 2, floor=3) == {"a": 3, "b": 3}
+
+
+def test_quotes_in_documents(spark):
+    docs = [(1, "Some words before The quick brown fox jumps over the lazy dog near the old river bank and after"), (2, "nothing here"), (3, None), (4, "x" * 20 + "incomprehensibilities-of-" + "y" * 30), (5, "")]
+    items = [(1, "the quick brown fox jumps over the lazy dog near the old river bank"), (2, ""), (3, "quick brown fox"), (4, None), (5, "x" * 15 + "incomprehensibilities"), (6, "fox jumps over the lazy dog near"), (7, "brown fox jumps over the lazy cat near the old river")]
+    got = similar.contaminated(spark.createDataFrame(docs, "d long, t string"), "d", "t", spark.createDataFrame(items, "i long, q string"), "i", "q").collect()
+    norm = lambda t: " ".join((t or "").lower().split())
+    want = sorted((d, i) for d, t in docs for i, q in items if len(norm(q)) >= 30 and norm(q)[:80] in norm(t))
+    assert sorted((r.d, r.i) for r in got) == want == [(1, 1), (1, 6), (4, 5)]
+
+
+def test_strict_lookup_raises(spark):
+    rows, table = spark.createDataFrame([(1,), (2,)], "k long"), spark.createDataFrame([(1, "a")], "k long, v string")
+    assert select.strict_lookup(rows.where("k = 1"), "k", table, "v").first().v == "a"
+    with pytest.raises(Exception, match="no value for 2"):
+        select.strict_lookup(rows, "k", table, "v").collect()
+
+
+def test_fetch_budget_skips_topical_rounds(spark):
+    rows = [("s", i, i in (0, 1, 5, 6), 1 if i < 4 else 2 if i < 8 else 3) for i in range(12)]
+    df = spark.createDataFrame(rows, "k string, i long, u boolean, round int")
+    no = F.lit(False)
+    plain = gate.budgeted(df, "k", "i", no, no, 9, 9, F.col("u"), 2)
+    assert [r.i for r in plain.orderBy("i").collect()] == [0, 1]
+    topical = gate.budgeted(df, "k", "i", no, no, 9, 9, F.col("u"), 3, F.when(F.col("round") > 1, F.col("round")))
+    # the second round goes on although the budget is spent in it; the third doesn't begin
+    assert [r.i for r in topical.orderBy("i").collect()] == list(range(8))
+
+
+def test_ladder_and_attempts(spark):
+    from threshmill.operators import verdicts as v
+
+    said = [('{"occupation_aligned": true, "labeled_correct_entailed": true}', "A"), ('```json {"x": 1}', "A"), ('{"occupation_aligned_exact": null, "entailment": {"A": true, "B": true}}', "B"), (None, "C")]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(said)], "i int, j string, c string").withColumn("v", v.normal_verdict(F.col("j"), F.col("c"), F.lit(False)))
+    got = [tuple(r) for r in df.orderBy("i").select("v.aligned", "v.practical", "v.entailed", "v.distractor_entailed").collect()]
+    assert got == [(True, True, True, False), (True, True, False, False), (False, True, True, True), (True, True, False, False)]
+    tries = spark.createDataFrame([(1, "8", 0, False), (1, "8", 1, False), (1, "8", 2, False), (1, "8", 3, False), (1, "8", 4, True), (1, "4", 0, False), (1, "4", 1, True), (1, "4", 2, False)], "i int, p string, a int, ok boolean")
+    assert sorted(tuple(r) for r in v.last_attempts(tries, "i", "p", "a", "ok").collect()) == [(1, "4", 2, 1, True), (1, "8", 5, 3, False)]
 
 
 def test_share_gate_cases():

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import html as html_entities
+from collections.abc import Sequence
+from string import Formatter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 ASCII_SPACE = r"[ \t\n\r\f\x0B]+"
 #: What error pages say in their first 2000 characters.
@@ -68,6 +74,12 @@ def unescape_basic(text: Column) -> Column:
     return text
 
 
+@F.pandas_udf(StringType())
+def unescape(text: pd.Series) -> pd.Series:
+    """All named and numbered entities, in Arrow batches: their table is the standard library's."""
+    return text.map(lambda t: None if t is None else html_entities.unescape(t))
+
+
 def article_focus(html: Column, least: int = 3, most: int = 30, chars: int = 60000) -> Column:
     """P10: the first articles if there are several, else the page."""
     articles = F.regexp_extract_all(html, F.lit(r"(?i)<article[\s\S]*?</article>"), 0)
@@ -194,3 +206,36 @@ def quote_in(quote: Column, document: Column) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     """M2: 0 if either is empty."""
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+
+
+#: Words of a title that asks something.
+ASKING = ("how", "what", "help", "advice", "question", "should i", "can i", "anyone", "tips", "issue", "problem", "struggling", "new to")
+
+
+def asks(title_: Column, body: Column, comments: Column) -> Column:
+    """a title that asks, more than 100 characters of text and two comments or more."""
+    low = F.lower(F.coalesce(title_, F.lit("")))
+    cue = F.lit(False)
+    for word in ASKING:
+        cue = cue | F.contains(low, F.lit(word))
+    return cue & (F.length(F.coalesce(body, F.lit(""))) > 100) & (F.coalesce(comments, F.lit(0)) >= 2)
+
+
+def prompt(template: str, **fields: Column) -> Column:
+    """A template with its {fields}; a null field is empty, and double quotes in fields become single ones. Braces stand doubled."""
+    parts: list[Column] = []
+    for literal, name, _, _ in Formatter().parse(template):
+        if literal:
+            parts.append(F.lit(literal))
+        if name is not None:
+            parts.append(F.replace(F.coalesce(fields[name].cast("string"), F.lit("")), F.lit('"'), F.lit("'")))
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def required(fields: Sequence[Column], choice: Column, allowed: Sequence[str], default: str) -> tuple[Column, Column]:
+    """whether all fields hold more than blanks, and the choice if it is allowed, else the default."""
+    filled = F.lit(True)
+    for f in fields:
+        filled = filled & (F.trim(F.coalesce(f, F.lit(""))) != "")
+    low = F.lower(F.trim(choice))
+    return filled, F.when(low.isin(*allowed), low).otherwise(default)

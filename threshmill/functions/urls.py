@@ -1,4 +1,4 @@
-"""URL and host expressions. Operators P1-P6, P16, F4, F5, F23, F24, F26, A21."""
+"""URL and host expressions. Operators P1-P6, P16, F4, F5, F23-F26, A21."""
 
 from __future__ import annotations
 
@@ -9,29 +9,29 @@ from pyspark.sql import functions as F
 BASELINE = ("cdc.gov", "bls.gov", "osha.gov")
 #: Host aliases and the organisation each belongs to.
 ORG_ALIASES = {
-    "amplify.asce.org": "asce.org",
-    "apps.asha.org": "asha.org",
-    "archive.cdc.gov": "cdc.gov",
-    "asmedigitalcollection.asme.org": "asme.org",
+    "stacks.cdc.gov": "cdc.gov",
     "bankingjournal.aba.com": "aba.com",
+    "myimanetwork.imanet.org": "imanet.org",
+    "queue.acm.org": "acm.org",
     "cacm.acm.org": "acm.org",
-    "cedb.asce.org": "asce.org",
     "dl.acm.org": "acm.org",
-    "dl.ashrae.org": "ashrae.org",
+    "rpc.cfainstitute.org": "cfainstitute.org",
+    "storage.aanp.org": "aanp.org",
+    "amplify.asce.org": "asce.org",
+    "pubs.asce.org": "asce.org",
+    "cedb.asce.org": "asce.org",
+    "asmedigitalcollection.asme.org": "asme.org",
     "dl.astm.org": "astm.org",
+    "store.astm.org": "astm.org",
     "mcsdocs.astm.org": "astm.org",
-    "myimanetwork.imanet.org": "imanet.org",
     "news.awwa.org": "awwa.org",
+    "dl.ashrae.org": "ashrae.org",
+    "apps.asha.org": "asha.org",
+    "pubs.asha.org": "asha.org",
+    "archive.cdc.gov": "cdc.gov",
     "obis.osha.gov": "osha.gov",
     "pmc.ncbi.nlm.nih.gov": "ncbi.nlm.nih.gov",
-    "pubs.asce.org": "asce.org",
-    "pubs.asha.org": "asha.org",
-    "queue.acm.org": "acm.org",
     "research.aota.org": "aota.org",
-    "rpc.cfainstitute.org": "cfainstitute.org",
-    "stacks.cdc.gov": "cdc.gov",
-    "storage.aanp.org": "aanp.org",
-    "store.astm.org": "astm.org",
 }
 #: Names of the four source categories.
 FEDERAL_BASELINE = "Federal .gov baseline (BLS/OSHA/CDC)"
@@ -43,43 +43,45 @@ SOCIETIES = "Professional societies & associations"
 STATE_SUFFIXES = (".ca.gov", ".tx.gov", ".texas.gov", ".fl.gov", ".ny.gov", ".state.gov")
 #: Federal roots of the second version.
 FEDERAL_ROOTS = (
-    "agriculture.gov", "cms.gov", "commerce.gov", "doe.gov", "doi.gov", "dol.gov", "dot.gov", "ed.gov", "energy.gov", "epa.gov", "faa.gov", "fbi.gov",
-    "fcc.gov", "fda.gov", "fdic.gov", "ferc.gov", "fmcsa.gov", "fra.gov", "ftc.gov", "gao.gov", "hud.gov", "labor.gov", "nasa.gov", "nih.gov", "nist.gov",
-    "noaa.gov", "nrc.gov", "occ.gov", "sec.gov", "ssa.gov", "treasury.gov", "uscis.gov", "usgs.gov", "uspto.gov", "va.gov",
+    "nih.gov", "fda.gov", "dol.gov", "ssa.gov", "epa.gov", "ftc.gov", "doe.gov", "dot.gov", "faa.gov", "fra.gov", "fmcsa.gov", "fcc.gov", "fbi.gov", "ferc.gov",
+    "treasury.gov", "usgs.gov", "nasa.gov", "nrc.gov", "uspto.gov", "uscis.gov", "gao.gov", "noaa.gov", "energy.gov", "labor.gov", "commerce.gov",
+    "agriculture.gov", "fdic.gov", "sec.gov", "occ.gov", "cms.gov", "hud.gov", "va.gov", "nist.gov", "ed.gov", "doi.gov",
 )
 #: Prefixes of vendors' documentation hosts.
 VENDOR_PREFIXES = ("docs", "support", "help", "developer", "learn")
 #: Hosts of communities.
 COMMUNITY_HOSTS = (
-    "allnurses.com", "askubuntu.com", "avsforum.com", "bogleheads.org", "contractortalk.com", "electriciantalk.com", "garagejournal.com", "hvac-talk.com",
-    "metafilter.com", "plumbersforums.net", "plumbingzone.com", "quora.com", "reddit.com", "serverfault.com", "stackexchange.com", "stackoverflow.com",
-    "superuser.com", "truckersreport.com", "weldingweb.com", "ycombinator.com",
+    "reddit.com", "stackexchange.com", "stackoverflow.com", "serverfault.com", "superuser.com", "askubuntu.com", "metafilter.com", "quora.com",
+    "allnurses.com", "truckersreport.com", "electriciantalk.com", "plumbingzone.com", "plumbersforums.net", "hvac-talk.com", "weldingweb.com",
+    "contractortalk.com", "garagejournal.com", "avsforum.com", "ycombinator.com", "bogleheads.org",
 )
 
 
 def host(url: Column) -> Column:
     """Network location in lower case without one leading www.; port and user stay."""
-    return F.regexp_replace(F.regexp_extract(F.lower(url), r"^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", 1), r"^www[.]", "")
+    return F.regexp_replace(F.regexp_extract(F.lower(url), r"^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", 1), r"^www\.", "")
 
 
 def strip_www_run(domain: Column, strict: bool = False) -> Column:
     """Drop every leading w and dot; strict drops the one prefix www. instead."""
-    return F.regexp_replace(domain, r"^www[.]", "") if strict else F.ltrim(domain, F.lit("w."))
+    return F.regexp_replace(domain, r"^www\.", "") if strict else F.ltrim(domain, F.lit("w."))
 
 
 def canonical(url: Column, variant: str = "utm_query") -> Column:
-    """utm_query cuts at ?utm_, query at ?, utm_fragment at ?utm and #."""
+    """utm_query cuts at ?utm_, query at ?, utm_fragment at ?utm and #, utm_source at ?utm_source=openai up to the line's end."""
     if variant == "utm_query":
         return F.regexp_replace(url, r"\?utm_[\s\S]*$", "")
     if variant == "query":
         return F.substring_index(url, "?", 1)
+    if variant == "utm_source":
+        return F.regexp_replace(url, r"\?utm_source=openai.*", "")
     return F.regexp_replace(F.regexp_replace(url, r"\?utm[\s\S]*$", ""), r"#[\s\S]*$", "")
 
 
 def under(h: Column, roots: tuple[str, ...]) -> Column:
     """The host is one of the roots or below one: its dotted suffixes are looked up, not compared one by one."""
-    pattern = "|".join(r.replace(".", "[.]") for r in roots)
-    return h.rlike(rf"(^|[.])({pattern})$")
+    pattern = "|".join(r.replace(".", r"\.") for r in roots)
+    return h.rlike(rf"(^|\.)({pattern})$")
 
 
 def organisation(h: Column) -> Column:
@@ -109,40 +111,57 @@ def category(h: Column, version: int = 1) -> Column:
         state = F.lit(False)
         for s in STATE_SUFFIXES:
             state = state | h.endswith(s)
-        academic = h.endswith(".edu") | (h == "arxiv.org") | h.rlike(r"ncbi[.]nlm[.]nih[.]gov|biomedcentral[.]com|frontiersin[.]org|mdpi[.]com|biorxiv[.]org|medrxiv[.]org|europepmc[.]org")
+        academic = h.endswith(".edu") | (h == "arxiv.org") | h.rlike(r"ncbi\.nlm\.nih\.gov|biomedcentral\.com|frontiersin\.org|mdpi\.com|biorxiv\.org|medrxiv\.org|europepmc\.org")
         return F.when(baseline, FEDERAL_BASELINE).when(h.endswith(".gov") & state, STATE_BOARDS).when(h.endswith(".gov"), FEDERAL_OTHER).when(academic, ACADEMIC).otherwise(SOCIETIES)
-    academic = h.isin("arxiv.org", "doi.org", "ncbi.nlm.nih.gov", "pmc.ncbi.nlm.nih.gov", "pubmed.ncbi.nlm.nih.gov") | h.rlike(r"^(ncbi|pmc|pubmed)[.]") | h.endswith(".edu")
+    academic = h.isin("arxiv.org", "doi.org", "ncbi.nlm.nih.gov", "pmc.ncbi.nlm.nih.gov", "pubmed.ncbi.nlm.nih.gov") | h.rlike(r"^(ncbi|pmc|pubmed)\.") | h.endswith(".edu")
     return F.when(baseline, FEDERAL_BASELINE).when(academic, ACADEMIC).when(under(h, FEDERAL_ROOTS), FEDERAL_OTHER).when(h.endswith(".gov"), STATE_BOARDS).otherwise(SOCIETIES)
 
 
 def is_vendor(h: Column, known: tuple[str, ...] = ()) -> Column:
     """a known vendor or a documentation host below .com."""
     by_name = h.isin(*known) if known else F.lit(False)
-    return by_name | h.rlike(rf"^({'|'.join(VENDOR_PREFIXES)})[.].*[.]com$")
+    return by_name | h.rlike(rf"^({'|'.join(VENDOR_PREFIXES)})\..*\.com$")
 
 
 def community_class(h: Column) -> Column:
     """community, authoritative or other."""
-    authority = h.rlike(r"[.]gov$|[.]gov[.]|[.]mil$|[.]edu$|(^|[^a-z0-9_])who[.]int$|(^|[^a-z0-9_])servsafe[.]com$") | h.endswith(".org")
+    authority = h.rlike(r"\.gov$|\.gov\.|\.mil$|\.edu$|\bwho\.int$|\bservsafe\.com$") | h.endswith(".org")
     return F.when(under(h, COMMUNITY_HOSTS), "community").when(authority, "authoritative").otherwise("other")
 
 
 def suffixes(h: Column) -> Column:
     """The host and each parent domain, for equi-joins on suffixes."""
-    parts = F.split(h, "[.]")
+    parts = F.split(h, r"\.")
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 
 def paywalled(url: Column) -> Column:
     """F4."""
-    return url.rlike(r"ieeexplore[.]ieee[.]org/iel[0-9]/")
+    return url.rlike(r"ieeexplore\.ieee\.org/iel\d/")
 
 
 def pmc_id(url: Column) -> Column:
     """The digits of a PMC id, else empty."""
-    return F.regexp_extract(url, r"/(?:articles/)?PMC([0-9]+)", 1)
+    return F.regexp_extract(url, r"/(?:articles/)?PMC(\d+)", 1)
 
 
 def platform(url: Column) -> Column:
     """forum platform of a URL."""
-    return F.when(url.contains("reddit.com"), "reddit").when(url.rlike(r"stackexchange[.]com|stackoverflow[.]com|serverfault[.]com|superuser[.]com|askubuntu[.]com"), "stackexchange").otherwise("other")
+    return F.when(url.contains("reddit.com"), "reddit").when(url.rlike(r"stackexchange\.com|stackoverflow\.com|serverfault\.com|superuser\.com|askubuntu\.com"), "stackexchange").otherwise("other")
+
+
+#: Parts of the URLs of questions.
+QUESTION_PATHS = (".stackexchange.com/questions/", "stackoverflow.com/questions/", "serverfault.com/questions/", "superuser.com/questions/", "askubuntu.com/questions/")
+
+
+def is_thread(url: Column) -> Column:
+    """reddit or stackexchange if the URL is one of their threads, else null."""
+    question = F.lit(False)
+    for part in QUESTION_PATHS:
+        question = question | F.contains(url, F.lit(part))
+    return F.when(F.contains(url, F.lit("reddit.com/r/")) & F.contains(url, F.lit("/comments/")), "reddit").when(question, "stackexchange")
+
+
+def board(url: Column) -> Column:
+    """the board that a forum URL is in, as it is written; empty without one. Rows of denied boards go by an anti join on it."""
+    return F.regexp_extract(url, r"reddit\.com/r/([^/]+)/", 1)

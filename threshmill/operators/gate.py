@@ -53,11 +53,19 @@ def share_gate(df: DataFrame, key: str, domain: str, seq: str) -> DataFrame:
     return df.select(key, domain, seq).groupBy(key).applyInPandas(fold, f"`{key}` {kinds[key]}, `{seq}` {kinds[seq]}, accepted boolean")
 
 
-def budgeted(df: DataFrame, key: str, seq: str, accepted: Column, failed: Column, target: int, failures: int) -> DataFrame:
-    """Rows up to and including the one that reaches the target or the failure budget."""
+def budgeted(df: DataFrame, key: str, seq: str, accepted: Column, failed: Column, target: int, failures: int, unfetched: Column | None = None, fetches: int | None = None, topical: Column | None = None) -> DataFrame:
+    """Rows up to and including the one that reaches the target, the failure budget or the budget of failed fetches. Within topical rounds failed fetches don't end a key's run; the next round does see them."""
     run = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     before = df.withColumn("__a", F.coalesce(F.sum(accepted.cast("int")).over(run), F.lit(0))).withColumn("__f", F.coalesce(F.sum(failed.cast("int")).over(run), F.lit(0)))
-    return before.where((F.col("__a") < target) & (F.col("__f") < failures)).drop("__a", "__f")
+    open_ = (F.col("__a") < target) & (F.col("__f") < failures)
+    if unfetched is None:
+        return before.where(open_).drop("__a", "__f")
+    round_ = topical if topical is not None else F.lit(None)
+    before = before.withColumn("__r", round_).withColumn("__u", F.coalesce(F.sum(unfetched.cast("int")).over(run), F.lit(0)))
+    # a topical round (a number) is judged as it stands when the round begins
+    at_start = F.min("__u").over(Window.partitionBy(key, "__r"))
+    before = before.withColumn("__seen", F.when(F.col("__r").isNull(), F.col("__u")).otherwise(at_start))
+    return before.where(open_ & (F.col("__seen") < fetches)).drop("__a", "__f", "__r", "__u", "__seen")
 
 
 def until_failures_in_row(df: DataFrame, key: str, seq: str, failed: Column, most: int = 10) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Scores of models and threads. Operators A1, A4-A7, A10-A20, A22-A27, J7, J8, J17, W4, F28, F29, L3, L9-L11, L13."""
+"""Scores of models and threads. Operators A1, A4-A7, A10-A20, A22-A27, J7, J8, J17, W4, F28, L9-L11, L13."""
 
 from __future__ import annotations
 
@@ -28,8 +28,8 @@ def weighted_accuracy(per_question: DataFrame, by: Sequence[str], weight: str) -
 
 
 def open_ended(votes: DataFrame, by: Sequence[str], vote: str) -> DataFrame:
-    """Share of YES votes; a null is wrong."""
-    return question_rate(votes, by, F.upper(F.trim(F.col(vote))) == "YES")
+    """Share of YES votes, whatever their case; a null is wrong, and so is a vote with spaces."""
+    return question_rate(votes, by, F.upper(F.col(vote)) == "YES")
 
 
 def question_rate(df: DataFrame, by: Sequence[str], hit: Column) -> DataFrame:
@@ -63,10 +63,13 @@ def leaderboard(df: DataFrame, by: str, right: Column, error: Column, numbers: S
 
 
 def top_and_next(df: DataFrame, key: str, score: Column) -> DataFrame:
-    """The two best scores of each thread and their ratio; only two values of a thread are kept while summing."""
-    best = df.groupBy(key).agg(F.slice(F.sort_array(F.collect_list(score), asc=False), 1, 2).alias("b"), F.count("*").alias("n_answers"))
-    top, after = F.element_at("b", 1), F.coalesce(F.try_element_at("b", F.lit(2)), F.lit(0))
-    return best.select(key, top.alias("top"), after.alias("next"), (top / F.greatest(F.lit(1), after)).alias("ratio"), "n_answers")
+    """The two best scores of each thread and their ratio. Equal scores are counted before they meet, so a thread gives as many values as it has different scores, of which two stay."""
+    values = df.select(key, score.alias("s")).groupBy(key, "s").agg(F.count("*").alias("c"))
+    ranked = values.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last("s"))))
+    total = values.groupBy(key).agg(F.sum("c").alias("n_answers"))
+    best = ranked.where("r <= 2").groupBy(key).agg(F.max(F.when(F.col("r") == 1, F.col("s"))).alias("top"), F.max(F.when((F.col("r") == 1) & (F.col("c") > 1), F.col("s"))).alias("again"), F.max(F.when(F.col("r") == 2, F.col("s"))).alias("second"))
+    after = F.coalesce("again", "second", F.lit(0))
+    return best.join(total, key).select(key, "top", after.alias("next"), (F.col("top") / F.greatest(F.lit(1), after)).alias("ratio"), "n_answers")
 
 
 def consensus(top: Column, ratio: Column, least: int = 5, times: int = 3) -> Column:
@@ -74,19 +77,6 @@ def consensus(top: Column, ratio: Column, least: int = 5, times: int = 3) -> Col
     return F.when(top.isNull(), "unknown").when((top < least) | (ratio < times), "no_consensus").otherwise("consensus")
 
 
-def quality_tier(checks: Sequence[tuple[str, Column]], downgrade: Column, source_tier: Column) -> Column:
-    """L3: the tier of an item that passes all checks (name, passed), else null."""
-    passed = F.lit(True)
-    for _, ok in checks:
-        passed = passed & ok
-    return F.when(~passed, None).when(downgrade, "C").when(source_tier.isin("A", "C"), source_tier).otherwise("B")
-
-
-def reject_reason(checks: Sequence[tuple[str, Column]]) -> Column:
-    """L3: the first check that fails, or null."""
-    return F.coalesce(*[F.when(~ok, F.lit(name)) for name, ok in checks])
-
-
 def agreement(correct: Column, direct: Column, labels: Column) -> tuple[Column, Column]:
     """(decision, relabelled answer) from the agreement of the other options, a map of letter to AGREES, CONTRADICTS, OFF_TOPIC or UNCLEAR; an empty map keeps the item."""
     values = F.map_values(labels)
@@ -106,3 +96,37 @@ def thread_scores(responses: Column) -> Column:
     """Scores of a thread's responses; if all are zero, their places from the end."""
     zero = F.forall(responses, lambda r: F.coalesce(r["score"], F.lit(0)) == 0)
     return F.when(zero, F.transform(responses, lambda r, i: F.greatest(F.lit(1), F.size(responses) - i))).otherwise(F.transform(responses, lambda r: F.coalesce(r["score"], F.lit(0))))
+
+
+def melted_matrix(wide: DataFrame, keys: Sequence[str], correct: str, runs: Sequence[str]) -> DataFrame:
+    """Accuracy of each question and model out of one column of answers for each run `<model>_seed<n>`; answers are compared trimmed and in capitals."""
+    long = wide.unpivot([*keys, correct], list(runs), "run", "answer")
+    right = F.coalesce(F.upper(F.trim("answer")) == F.upper(F.trim(correct)), F.lit(False))
+    return long.groupBy(*keys, F.regexp_replace("run", r"_seed\d+$", "").alias("model")).agg(F.avg(right.cast("int")).alias("acc"))
+
+
+def appended_columns(rows: DataFrame, answers: DataFrame, key: str, name: str, value: str, names: Sequence[str]) -> DataFrame:
+    """Rows with one more column for each name, by key; the names are given, so no pass looks for them. Keys that the rows lack are dropped."""
+    return rows.join(answers.groupBy(key).pivot(name, list(names)).agg(F.first(value)), key, "left")
+
+
+def rolled_up(maps: DataFrame, counts: str) -> DataFrame:
+    """A10: one total for each key over the maps of all groups."""
+    return maps.select(F.explode(counts).alias("k", "c")).groupBy("k").agg(F.sum("c").alias("n"))
+
+
+def ordered_text(df: DataFrame, group: str, text: str, order: Sequence[str], most: int = 4000) -> DataFrame:
+    """A5: a group's texts in order, joined by spaces and cut, with counts of all and of different texts.
+
+    Only texts that begin before the cut are joined, so a group never holds more than `most` characters and one text.
+    """
+    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = df.select(group, text, *order).withColumn("__before", F.coalesce(F.sum(F.length(text) + 1).over(w), F.lit(0)))
+    joined = before.where((F.col("__before") < most) & F.col(text).isNotNull()).groupBy(group).agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__before", text))), lambda x: x[text]), " "), 1, most).alias("texts"))
+    counts = df.groupBy(group).agg(F.count("*").alias("n"), F.countDistinct(text).alias("n_texts"))
+    return counts.join(joined, group, "left")
+
+
+def kept_share(df: DataFrame, group: str, kept: Column) -> DataFrame:
+    """Kept and all rows of each group with their ratio."""
+    return df.groupBy(group).agg(F.count_if(kept).alias("kept"), F.count("*").alias("n")).withColumn("ratio", F.col("kept") / F.col("n"))

@@ -1,4 +1,4 @@
-"""Ranking, quotas and exact dedup. Operators W1-W14, D1, D2, A2, A3, A26, G2, G3, P27-P30, U1-U4."""
+"""Ranking, quotas and exact dedup. Operators W1-W14, D1, D2, A2, A3, A26, F32, G2, G3, J5, J12, J16, P27-P30, U1-U4."""
 
 from __future__ import annotations
 
@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Names that may be looked for in titles at once.
+MOST_NAMES = 10_000
+
+
 def _window(group: Sequence[str], order: Sequence[Column]):
     return (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy(*order)
 
@@ -60,17 +64,22 @@ def shard(df: DataFrame, seq: Sequence[Column], n: int) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """A running number from 1 in a total order: range partitions count their rows, then number them from their start."""
-    placed = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    """A running number from 1 in a total order: range partitions count their rows, then number them from their start.
+
+    The partitions are written once, so both branches see the same ones.
+    """
+    from threshmill.shared import cut
+
+    placed = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())).withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     counts = placed.groupBy("__part").agg(F.count("*").alias("__c"))  # one row for each partition
     starts = counts.withColumn("__start", F.coalesce(F.sum("__c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__start")
     return placed.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__n")).drop("__part", "__n", "__start")
 
 
 def top_mid_bottom(df: DataFrame, order: Sequence[Column], n: int = 15) -> DataFrame:
-    """The first, middle and last n rows of a small table, with their part."""
-    total = F.count("*").over(Window.partitionBy())
-    ranked = df.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("__total", total)
+    """The first, middle and last n rows, with their rank and part; ranges of rows are numbered, none is one task's whole table."""
+    ranked = numbered(df, order, "rank")
+    ranked = ranked.crossJoin(F.broadcast(df.agg(F.count("*").alias("__total"))))
     middle = F.floor((F.col("__total") - n) / 2)
     part = F.when(F.col("rank") <= n, "top").when(F.col("rank") > F.col("__total") - n, "bottom").when((F.col("rank") > middle) & (F.col("rank") <= middle + n), "middle")
     return ranked.withColumn("part", part).where("part IS NOT NULL").drop("__total")
@@ -114,58 +123,159 @@ def rank_score(employment: Column, core: Column, tasks: Column) -> Column:
 
 
 def proportional(groups: Sequence[tuple[str, float, int]], target: int, floor: int = 1, cap: int | None = None) -> dict[str, int]:
-    """Places of each group (name, weight, rows available): its share rounded half to even, within floor, cap and supply, then trimmed from the largest or topped up where most is left; ties to the smaller name.
+    """Places of each group (name, weight, rows available).
+
+    A group's share is rounded half to even, one at least, then raised to the
+    floor, cut to what is available and to the cap (a quarter of the target if
+    none is given, the floor at least). While there are too many places, the
+    group with most loses one, unless it is at the floor; while there are too
+    few, the heaviest group that isn't full gets one. Ties go to the smaller name.
 
     A group's summary is one row, so this works on as many rows as there are groups.
     """
+    most = cap if cap is not None else max(floor, int(target * 0.25))
     total = sum(w for _, w, _ in groups)
-    out = {g: min(max(round(target * w / total) if total else 0, floor), n, cap if cap is not None else n) for g, w, n in groups}
-    supply = {g: min(n, cap if cap is not None else n) for g, _, n in groups}
+    weight = {g: w for g, w, _ in groups}
+    room = {g: min(n, most) for g, _, n in groups}
+    out = {g: min(max(1, round(target * w / total) if total else 0, floor), room[g]) for g, w, _ in groups}
     while sum(out.values()) > target:
-        able = [g for g in out if out[g] > floor]
-        if not able:
+        largest = min(out, key=lambda g: (-out[g], g))
+        if out[largest] <= floor:
             break
-        out[min(able, key=lambda g: (-out[g], g))] -= 1
+        out[largest] -= 1
     while sum(out.values()) < target:
-        able = [g for g in out if out[g] < supply[g]]
+        able = [g for g in out if out[g] < room[g]]
         if not able:
             break
-        out[min(able, key=lambda g: (-(supply[g] - out[g]), g))] += 1
+        out[min(able, key=lambda g: (-weight[g], g))] += 1
     return out
 
 
-def domain_cap(counts: Sequence[tuple[str, str, int, int]], share: float) -> dict[tuple[str, str], int]:
-    """Of (domain, group, rows, first place), how many leading rows each domain keeps in each group.
+def in_turn(counts: Sequence[int], excess: int) -> list[int]:
+    """How many of each pile go if one is taken from each in turn until `excess` are gone or none is left."""
+    excess = min(excess, sum(counts))
+    low, high = 0, max(counts, default=0)
+    while low < high:
+        rounds = (low + high + 1) // 2
+        if sum(min(c, rounds) for c in counts) <= excess:
+            low = rounds
+        else:
+            high = rounds - 1
+    gone = [min(c, low) for c in counts]
+    left = excess - sum(gone)
+    for i, c in enumerate(counts):
+        if left and c > gone[i]:
+            gone[i] += 1
+            left -= 1
+    return gone
+
+
+def domain_cap(counts: Sequence[tuple[str, str, int, int]], share: float, total: int | None = None) -> tuple[dict[tuple[str, str], int], int]:
+    """Of (domain, group, rows, first place), how many leading rows each domain keeps in each group, and the rows that are left in all.
+
+    While the largest domain has more rows than share of all rows, as they stand
+    when the pass begins, so many of its last rows go as it has too many: one
+    from each of its groups in turn, the largest group first. Ties go to what
+    comes first. total is the number of all rows, where counts has only some domains.
+    """
+    keep: dict[str, dict[str, int]] = {}
+    first: dict[str, dict[str, int]] = {}
+    for d, g, n, at in counts:
+        keep.setdefault(d, {})[g] = n
+        first.setdefault(d, {})[g] = at
+    sizes = {d: sum(x.values()) for d, x in keep.items()}
+    left = sum(sizes.values()) if total is None else total
+    while left and sizes:
+        top = min(sizes, key=lambda d: (-sizes[d], min((first[d][g] for g, n in keep[d].items() if n), default=0)))
+        excess = sizes[top] - int(share * left)
+        if excess <= 0:
+            break
+        groups = sorted((g for g, n in keep[top].items() if n), key=lambda g: (-keep[top][g], first[top][g]))
+        for g, n in zip(groups, in_turn([keep[top][g] for g in groups], excess), strict=True):
+            keep[top][g] -= n
+            sizes[top] -= n
+            left -= n
+    return {(d, g): n for d, x in keep.items() for g, n in x.items()}, left
+
+
+def capped_domains(df: DataFrame, domain: str, group: str, seq: str, share: float, looked_at: int | None = None) -> DataFrame:
+    """G2 over a table. seq is a number without ties; a null domain is one.
 
-    While the largest domain has more than share of all rows, its last rows go, one from each of its groups in turn, largest group first. The input has a row for each domain and group.
+    Only large domains can be cut. The largest ones (ten times as many as may
+    have the share, or looked_at) come to the driver, a row for each of their
+    groups; if a smaller one could have been cut too, four times as many do.
     """
-    keep = {(d, g): n for d, g, n, _ in counts}
-    first = {}
-    for d, _, _, at in counts:
-        first[d] = min(at, first.get(d, at))
-    sizes = {d: sum(n for x, _, n, _ in counts if x == d) for d in first}
-    total = sum(sizes.values())
-    while total:
-        top = min(sizes, key=lambda d: (-sizes[d], first[d]))
-        limit = max(int(share * total), 1)
-        if sizes[top] <= limit:
+    from threshmill.shared import cut
+
+    rows = df.withColumn("__d", F.coalesce(F.col(domain).cast("string"), F.lit("")))
+    counts = cut(rows.groupBy("__d", group).agg(F.count("*").alias("n"), F.min(seq).alias("first")))
+    sizes = counts.groupBy("__d").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    most = looked_at or int(10 / share) + 1
+    while True:
+        largest = sizes.orderBy(F.desc("n"), "__d").limit(most + 1).collect()
+        some = {r["__d"] for r in largest[:most]}
+        held = counts.join(F.broadcast(df.sparkSession.createDataFrame([(d,) for d in some], "__d string")), "__d").collect()
+        keep, left = domain_cap([(r["__d"], r[group], r.n, r["first"]) for r in held], share, total)
+        if len(largest) <= most or largest[most].n <= int(share * left):
             break
-        groups = sorted((g for d, g, _, _ in counts if d == top and keep[d, g] > 0), key=lambda g: (-keep[top, g], g))
-        for g in groups:
-            if sizes[top] <= max(int(share * total), 1):
-                break
-            keep[top, g] -= 1
-            sizes[top] -= 1
-            total -= 1
-    return keep
-
-
-def capped_domains(df: DataFrame, domain: str, group: str, seq: str, share: float) -> DataFrame:
-    """G2 over a table."""
-    counts = df.groupBy(domain, group).agg(F.count("*").alias("n"), F.min(seq).alias("first")).collect()  # one row for each domain and group
-    keep = domain_cap([(r[0], r[1], r[2], r[3]) for r in counts], share)
-    plan = df.sparkSession.createDataFrame([(d, g, k) for (d, g), k in keep.items()], f"{domain} string, {group} string, __keep long")
-    return df.withColumn("__i", F.row_number().over(Window.partitionBy(domain, group).orderBy(seq))).join(plan, [domain, group]).where("__i <= __keep").select(*df.columns)
+        most *= 4
+    cuts = {(r["__d"], r[group]) for r in held if keep[r["__d"], r[group]] < r.n}
+    kind = df.schema[group].dataType.simpleString()
+    plan = df.sparkSession.createDataFrame([(d, g, keep[d, g]) for d, g in cuts], f"__d string, __g {kind}, __keep long")
+    same = (F.col("__d") == F.col("__pd")) & F.col(group).eqNullSafe(F.col("__g"))
+    marked = rows.join(F.broadcast(plan.withColumnRenamed("__d", "__pd")), same, "left")
+    touched = marked.where("__keep IS NOT NULL").withColumn("__i", F.row_number().over(Window.partitionBy("__d", "__g").orderBy(seq))).where("__i <= __keep")
+    return marked.where("__keep IS NULL").select(*df.columns).unionByName(touched.select(*df.columns))
+
+
+def prefix_joined(codes: DataFrame, code: str, details: DataFrame, detail: str, chars: int = 7) -> DataFrame:
+    """Rows whose detailed code begins with the code; codes have `chars` characters, so it is an equi-join on the detail's first ones."""
+    return codes.join(details.withColumn("__p", F.substring(detail, 1, chars)), F.col(code) == F.col("__p")).drop("__p")
+
+
+def title_matches(wanted: DataFrame, name: str, rows: DataFrame, title: str, key: str) -> DataFrame:
+    """F32: rows whose title holds the name, whatever the case; if none does, those that hold the first of its words that any title holds.
+
+    The names are a list that a person writes, MOST_NAMES at most (more raise an
+    error); each is compared with every different title once.
+    """
+    if wanted.select(name).distinct().limit(MOST_NAMES + 1).count() > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names")
+    titles = rows.select(F.col(title).alias("__t")).distinct()
+    low = F.lower(F.col("__t"))
+    words = wanted.select(name).distinct().select(name, F.posexplode(F.concat(F.array(name), F.split(name, r"\s+"))).alias("__place", "__part")).where("__part <> ''")
+    hits = titles.join(F.broadcast(words), F.contains(low, F.lower("__part")))
+    best = hits.groupBy(name).agg(F.min("__place").alias("__place"))
+    return hits.join(F.broadcast(best), [name, "__place"]).select(name, "__t").distinct().join(rows, F.col("__t") == F.col(title)).select(name, title, key)
+
+
+def query_product(occupations: DataFrame, occupation: str, domains: DataFrame, domain: str, templates: Sequence[str], cap: int) -> DataFrame:
+    """A query for each domain of an occupation and template, in that order, none twice, `cap` of an occupation. Templates hold {domain} and {occupation}.
+
+    The share of templates falls with the number of domains, so an occupation
+    makes about `cap` queries before the cap.
+    """
+    n = domains.groupBy(occupation).agg(F.count("*").alias("__n"))
+    place = F.row_number().over(Window.partitionBy(occupation).orderBy(domain))
+    rows = domains.withColumn("__d", place).join(n, occupation).join(occupations.select(occupation), occupation)
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.replace(F.replace(F.lit(t), F.lit("{domain}"), F.col(domain)), F.lit("{occupation}"), F.col(occupation)).alias("q")) for i, t in enumerate(templates)])
+    kept = F.slice(each, 1, F.least(F.greatest(F.floor(F.lit(cap) / F.col("__n")).cast("int"), F.lit(1)), F.lit(len(templates))))
+    made = rows.where(F.col("__d") <= cap).select(occupation, "__d", F.explode(kept).alias("t")).select(occupation, "__d", "t.i", F.col("t.q").alias("query"))
+    once = made.groupBy(occupation, "query").agg(F.min(F.struct("__d", "i")).alias("__at"))
+    ranked = once.withColumn("place", F.row_number().over(Window.partitionBy(occupation).orderBy("__at")))
+    return ranked.where(F.col("place") <= cap).select(occupation, "place", "query")
+
+
+def strict_lookup(rows: DataFrame, key: str, table: DataFrame, value: str) -> DataFrame:
+    """The value of each row's key; a key that the table lacks raises an error."""
+    found = rows.join(table.select(key, value, F.lit(True).alias("__found")), key, "left")
+    return found.withColumn(value, F.when(F.col("__found"), F.col(value)).otherwise(F.raise_error(F.concat(F.lit("no value for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))))).drop("__found")
+
+
+def title_wage(rows: DataFrame, title: str, annual: str, hourly: str) -> DataFrame:
+    """Mean wage of each title: the annual mean, else the hourly one for 2080 hours; titles without either are null."""
+    return rows.groupBy(title).agg(F.avg(F.coalesce(F.col(annual), F.col(hourly) * 2080)).alias("wage"))
 
 
 def prefer_left(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from threshmill.functions.text import normal_form
 from threshmill.functions.urls import suffixes
-from threshmill.shared import cut
+from threshmill.shared import cut, discard
 
 
 def similar_pairs(df: DataFrame, group: str, key: str, tokens: str, least: float) -> DataFrame:
@@ -42,14 +42,21 @@ def greedy_keep(df: DataFrame, group: str, key: str, tokens: str, least: float)
     undecided earlier neighbour, and drops the neighbours of kept ones. The
     first undecided row is always settled, so rounds go on until none is left;
     a chain of n similar rows takes n of them. The rounds work on similar pairs
-    alone; all other rows are kept at once.
+    alone; all other rows are kept at once. Of rows with equal sets only the
+    first can stay, as whatever drops it drops them: only first ones are paired,
+    so g copies cost no pairs.
     """
-    pairs = cut(similar_pairs(df, group, key, tokens, least).select("a", "b"))
+    sets = df.select(group, key, F.array_sort(F.array_distinct(tokens)).alias("__t")).where(F.size("__t") > 0)
+    firsts = cut(sets.groupBy(group, "__t").agg(F.min(key).alias(key)))
+    pairs = cut(similar_pairs(firsts, group, key, "__t", least).select("a", "b"))
     state = cut(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct().withColumn("s", F.lit(0)))
     while not state.where("s = 0").isEmpty():
+        before = state
         earlier = pairs.join(state.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").groupBy(F.col("b").alias("k")).agg(F.max(F.when(F.col("sa") == 1, 1).otherwise(0)).alias("hit"), F.max(F.when(F.col("sa") == 0, 1).otherwise(0)).alias("open"))
         state = cut(state.join(earlier, "k", "left").select("k", F.when(F.col("s") != 0, F.col("s")).when(F.coalesce("hit", F.lit(0)) == 1, -1).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0).alias("s")))
-    dropped = state.where("s = -1").select(F.col("k").alias(key))
+        discard(before)
+    copies = sets.select(key).join(firsts.select(key), key, "left_anti")
+    dropped = state.where("s = -1").select(F.col("k").alias(key)).unionByName(copies)
     return df.join(dropped, key, "left_anti")
 
 
@@ -109,21 +116,36 @@ def allowed(df: DataFrame, host: str, roots: DataFrame, root: str) -> DataFrame:
     return df.join(hit, host, "left_semi")
 
 
-def contaminated(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, chars: int = 80, words: int = 8) -> DataFrame:
-    """Pairs of a document and an item whose first `chars` characters (normal form) stand in it.
+def contaminated(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, chars: int = 80, words: int = 8, least: int = 30) -> DataFrame:
+    """Pairs of a document and an item of `least` characters or more (normal form) whose first `chars` stand in it.
 
-    The item's first words are an anchor: an equi-join on hashed word runs
-    finds the candidates, and the substring test verifies them.
+    A quote's whole words between its first and its last, up to `words`, are its
+    anchor: an equi-join on hashed word runs finds the candidates, and the
+    substring test verifies them. Quotes of fewer than three words have no
+    anchor; they are looked for in the documents' texts around each place of
+    their first characters, which stand in one word or two.
     """
-    quote = items.select(F.col(item_key), F.substring(normal_form(F.col(item_text)), 1, chars).alias("q"))
-    # the first and last words of a cut quote may be parts of words, so the anchor starts at the second
-    anchor = quote.withColumn("w", F.split("q", " ")).where(F.size("w") > words + 1).withColumn("h", F.xxhash64(F.array_join(F.slice("w", 2, words), " ")))
-    short = quote.join(anchor.select(item_key), item_key, "left_anti")
-    body = docs.select(F.col(doc_key), normal_form(F.col(doc_text)).alias("d")).withColumn("w", F.split("d", " "))
-    runs = body.where(F.size("w") >= words).select(doc_key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))).alias("h"))
-    # only hashes meet in the join; texts come back for the candidates alone
-    near = runs.join(anchor.select(item_key, "h"), "h").select(doc_key, item_key).distinct()
-    found = near.join(body.select(doc_key, "d"), doc_key).join(quote, item_key).where(F.contains("d", F.col("q"))).select(doc_key, item_key)
-    # quotes too short for an anchor are compared with every document: a fixed set against all rows
-    few = body.join(short, F.contains("d", F.col("q"))).select(doc_key, item_key)
-    return found.unionByName(few).distinct()
+    # the caller's keys under names of their own, so that none clashes
+    whole = items.select(F.col(item_key).alias("__i"), normal_form(F.col(item_text)).alias("f")).where(F.length("f") >= least)
+    quote = whole.select("__i", F.substring("f", 1, chars).alias("q")).withColumn("w", F.split("q", " ")).withColumn("n", F.least(F.size("w") - 2, F.lit(words)))
+    # the first and last words of a cut quote may be parts of words, so the anchor lies between them
+    anchor = quote.where("n > 0").select("__i", "n", F.xxhash64(F.array_join(F.expr("slice(w, 2, n)"), " ")).alias("h"))
+    lengths = [r.n for r in anchor.select("n").distinct().collect()]  # `words` different lengths at most
+    body = docs.select(F.col(doc_key).alias("__d"), normal_form(F.col(doc_text)).alias("t"))
+    split = body.withColumn("w", F.split("t", " "))
+    runs = [
+        split.where(F.size("w") >= n).select("__d", F.lit(n).alias("n"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " "))))).alias("h"))  # noqa: B023
+        for n in sorted(lengths)
+    ]
+    # only hashes meet in the joins; texts come back for the candidates alone
+    near = [r.join(anchor, ["n", "h"]).select("__d", "__i") for r in runs]
+    # of one or two words a quote of 30 characters holds a run of 15 without a space: an anchor of characters
+    bare = quote.where("n <= 0").withColumn("part", F.expr("array_max(transform(w, x -> struct(length(x) AS l, x AS x)))")["x"]).select("__i", F.xxhash64(F.substring("part", 1, 15)).alias("h"))
+    if not bare.isEmpty():
+        grams = split.select("__d", F.explode(F.array_distinct("w")).alias("x")).where(F.length("x") >= 15).select("__d", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("x") - 14), lambda i: F.xxhash64(F.substring(F.col("x"), i, F.lit(15)))))).alias("h"))
+        near.append(grams.join(bare, "h").select("__d", "__i"))
+    pairs = near[0] if near else docs.sparkSession.createDataFrame([], body.select("__d").schema).crossJoin(whole.select("__i").limit(0))
+    for more in near[1:]:
+        pairs = pairs.unionByName(more)
+    found = pairs.distinct().join(body, "__d").join(quote.select("__i", "q"), "__i").where(F.contains("t", F.col("q")))
+    return found.select(F.col("__d").alias(doc_key), F.col("__i").alias(item_key))

@@ -2,9 +2,113 @@
 
 from __future__ import annotations
 
-from threshmill.functions.lint import GIVEAWAYS, PRONOUNS, SOURCE_NAMES, SOURCE_PHRASES, SOURCE_PHRASES_AGAIN, GENERIC_PHRASES, WEAK_PUBLISHERS
-from threshmill.functions.text import COMMUNITY_SENTENCES, ERROR_PHRASES, GREETING, NAVIGATION_WORDS
-from threshmill.functions.urls import COMMUNITY_HOSTS, FEDERAL_ROOTS, ORG_ALIASES, STATE_SUFFIXES
+#: Fixed values, written out here so that the SQL shares no table with the code that it checks.
+GIVEAWAYS = (
+    r"\bignore (?:the |this |all )?\w+\b",
+    r"\bouts?dated (?:practice|method|procedure|guideline|approach|standard|technique|protocol)\b",
+    r"\b(?:rely (?:solely )?on|use (?:only )?)?\s*outdated\b",
+    r"\bfocus(?:ing)? (?:solely|only|exclusively|primarily) on\b",
+    r"\bfocus(?:ing)? on\b[^.,]{0,40}\b(?:solely|only|exclusively|primarily)\b",
+    r"\bonly\s+(?:consider|focus|focus on|address|account for)\b",
+    r"\b(?:disregard|dismiss|overlook|ignore) (?:the |any )?\w+",
+    r"\bwithout (?:checking|consulting|reviewing|reading|considering|notifying|verifying|documenting|following|adhering to)\b",
+    r"\bskip(?:ping)? (?:the |any )?\w+",
+    r"\b(?:do|take) (?:nothing|no action|no further action)\b",
+    r"\bavoid(?:ing)? (?:the |any |all )?\w+",
+    r"\b(?:always|never)\s+(?:do|use|take|require|allow|perform|skip|consult|check)\b",
+    r"\b(?:solely|exclusively|only) (?:based on|considering|relying on|on the basis of|on years of)\b",
+    r"\bwithout (?:additional|further|prior|proper|written|formal)?\s*(?:consultation|consideration|approval|review|notification)\b",
+    r"\bimmediately (?:discard|deposit|delete|remove|terminate)\b",
+    r"\bblindly\b",
+    r"\b(?:pretend|fake|falsify|fabricate)\b",
+)
+PRONOUNS = (
+    "i", "i'm", "i've", "we", "we're", "our", "ours", "us", "my", "your",
+)
+SOURCE_NAMES = (
+    r"(?i)\b(?:follow|per|according to|in accordance with|as per|comply with|adhere to)\s+(?:the\s+)?(?:[A-Z]{2,}\s+)?(?:guideline|standard|code|manual|handbook|publication|publication\s+\d+|policy\s+\d+|protocol\s+\d+|chapter\s+\d+|section\s+\d+|article\s+\d+|rule\s+\d+|§\s*\d+)\b",
+    r"\b(?:AICPA|AORN|AANP|AACN|APNA|NFPA|ASHRAE|ANSI|IEEE|ACM|BCS|OSHA|CDC|BLS|FDA|EPA|FAA|NRC|NIH|HRSA|VA|DOL|DOT|HHS|IRS|SEC|FINRA|SHRM|ABA|NCBE)\s+(?:Guideline|Standard|Code|Manual|Handbook|Bulletin|Practice|Publication)\b",
+    r"\bPer (?:the )?[A-Z][A-Za-z]+ (?:Guideline|Standard|Code|Manual|Handbook|Statement|Policy)\b",
+)
+SOURCE_PHRASES = (
+    "per the ", "per aicpa", "per asme", "per nfpa", "per nist", "per osha", "per ieee", "per ncees", "per aota", "per apta", "per asha", "per avma",
+    "per usp", "per nabp", "per irs", "per faa", "according to ", "following the ", "as required by ", "in accordance with ", "pursuant to ",
+    "under the ",
+)
+SOURCE_PHRASES_AGAIN = (
+    "per the ", "per aicpa", "per asme", "per nfpa", "per nist", "according to ", "following the ", "in accordance with ", "pursuant to ",
+)
+GENERIC_PHRASES = (
+    "adhere to basic", "follow appropriate", "ensure compliance with", "use best practices", "consult an expert", "appropriate procedures",
+    "applicable standards", "relevant guidelines",
+)
+WEAK_PUBLISHERS = (
+    "reddit", "wikipedia", "blog", "medium.com", "quora", "answers.com", "wikihow", "wikia", "tumblr",
+)
+COMMUNITY_SENTENCES = (
+    r"has\s+(?:any(?:one|body))\s+(?:ever\s+)?[^.?!]*[.?!]",
+    r"have\s+any\s+of\s+(?:you|y'all)\s+[^.?!]*[.?!]",
+    r"does\s+any(?:one|body)\s+[^.?!]*[.?!]",
+    r"did\s+any(?:one|body)\s+[^.?!]*[.?!]",
+    r"any(?:one|body)\s+(?:here|else|have|has|know|knows|dealt|encountered|experienced|familiar)\b[^.?!]*[.?!]",
+    r"any\s+(?:tips|advice|thoughts|suggestions|help|insights|ideas|pointers|recommendations|guidance|input|feedback|experiences)\b[^.?!]*[.?!]",
+    r"(?:would|i'd)\s+love\s+any\s+[^.?!]*[.?!]",
+    r"can\s+some(?:one|body)\s+[^.?!]*[.?!]",
+    r"if\s+any(?:one|body)\s+(?:has|knows|can)\s+[^.?!]*[.?!]",
+    r"(?:i'm\s+)?looking\s+for\s+(?:advice|tips|input|help|thoughts|suggestions|guidance)[^.?!]*[.?!]",
+    r"how\s+do\s+you\s+(?:\w+\s+)?(?:folks|guys|all|everyone|pros|experts|veterans)\b[^.?!]*[.?!]",
+    r"how\s+does\s+everyone\s+[^.?!]*[.?!]",
+)
+ERROR_PHRASES = (
+    "page you're looking for was not found", "page not found", "404 not found", "404 error", "http error 404", "this page doesn't exist",
+    "this page has been removed", "this page is no longer available", "this page can't be found", "this page cannot be found", "the page has moved",
+    "content not available", "access denied", "403 forbidden", "sorry, we couldn't find", "the requested url was not found",
+    "page has been archived", "this content has been removed", "bad gateway", "502 bad gateway", "503 service unavailable",
+    "500 internal server error", "server error", "no web page was found", "web page not available",
+)
+GREETING = r"(?i)^(?:[ \t\n\r\f\x0B]*(?:hey|hi|hello|greetings|howdy)[ \t\n\r\f\x0B]*(?:everyone|all|team|guys|folks|y'?all|there|community)?[ \t\n\r\f\x0B]*[,.!:]?[ \t\n\r\f\x0B]+)+"
+NAVIGATION_WORDS = (
+    "log in", "register", "membership", "search", "cookie", "sign up", "subscribe", "newsletter", "menu", "navigation", "currency", "cart",
+    "checkout",
+)
+COMMUNITY_HOSTS = (
+    "reddit.com", "stackexchange.com", "stackoverflow.com", "serverfault.com", "superuser.com", "askubuntu.com", "metafilter.com", "quora.com",
+    "allnurses.com", "truckersreport.com", "electriciantalk.com", "plumbingzone.com", "plumbersforums.net", "hvac-talk.com", "weldingweb.com",
+    "contractortalk.com", "garagejournal.com", "avsforum.com", "ycombinator.com", "bogleheads.org",
+)
+FEDERAL_ROOTS = (
+    "nih.gov", "fda.gov", "dol.gov", "ssa.gov", "epa.gov", "ftc.gov", "doe.gov", "dot.gov", "faa.gov", "fra.gov", "fmcsa.gov", "fcc.gov", "fbi.gov",
+    "ferc.gov", "treasury.gov", "usgs.gov", "nasa.gov", "nrc.gov", "uspto.gov", "uscis.gov", "gao.gov", "noaa.gov", "energy.gov", "labor.gov",
+    "commerce.gov", "agriculture.gov", "fdic.gov", "sec.gov", "occ.gov", "cms.gov", "hud.gov", "va.gov", "nist.gov", "ed.gov", "doi.gov",
+)
+ORG_ALIASES = {
+    "stacks.cdc.gov": "cdc.gov",
+    "bankingjournal.aba.com": "aba.com",
+    "myimanetwork.imanet.org": "imanet.org",
+    "queue.acm.org": "acm.org",
+    "cacm.acm.org": "acm.org",
+    "dl.acm.org": "acm.org",
+    "rpc.cfainstitute.org": "cfainstitute.org",
+    "storage.aanp.org": "aanp.org",
+    "amplify.asce.org": "asce.org",
+    "pubs.asce.org": "asce.org",
+    "cedb.asce.org": "asce.org",
+    "asmedigitalcollection.asme.org": "asme.org",
+    "dl.astm.org": "astm.org",
+    "store.astm.org": "astm.org",
+    "mcsdocs.astm.org": "astm.org",
+    "news.awwa.org": "awwa.org",
+    "dl.ashrae.org": "ashrae.org",
+    "apps.asha.org": "asha.org",
+    "pubs.asha.org": "asha.org",
+    "archive.cdc.gov": "cdc.gov",
+    "obis.osha.gov": "osha.gov",
+    "pmc.ncbi.nlm.nih.gov": "ncbi.nlm.nih.gov",
+    "research.aota.org": "aota.org",
+}
+STATE_SUFFIXES = (
+    ".ca.gov", ".tx.gov", ".texas.gov", ".fl.gov", ".ny.gov", ".state.gov",
+)
 
 
 def q(s: str) -> str:
@@ -136,9 +240,9 @@ ORACLE_SQL: dict[str, str] = {
     "giveaway_lint": f"""WITH {ITEMS}, x AS (SELECT conv_id, correct, {', '.join(f"{c} || CASE WHEN conv_id % 11 = 0 THEN ' Ignore the rules' WHEN conv_id % 13 = 0 THEN ' per the standard' ELSE '' END AS {c}" for c in 'abcd')} FROM items)
       SELECT conv_id, CASE {' '.join(f"WHEN correct <> '{c.upper()}' AND {_giveaway(f'coalesce({c}, {q(str())})')} THEN 'option_{c.upper()}_giveaway_phrase'" for c in 'abcd')} END AS giveaway,
       ({' OR '.join(f"regexp_matches(coalesce({BY_PLACE('correct')}, ''), {q(p)})" for p in SOURCE_NAMES)}) AS names_source FROM x""",
-    "rewritten_option_lint": f"""WITH c AS (SELECT conv_id, turn, substr(text, 1, 40) || CASE turn WHEN 1 THEN ' according to the book' WHEN 2 THEN ' use best practices' ELSE '' END AS o FROM conversations)
-      SELECT conv_id, turn, CASE WHEN length(trim(coalesce(o, ''))) < 8 THEN 'too_short' WHEN {_has('lower(o)', SOURCE_PHRASES)} THEN 'source' END AS first,
-      CASE WHEN length(trim(coalesce(o, ''))) < 8 THEN 'too_short' WHEN {_has('lower(o)', GENERIC_PHRASES)} THEN 'generic' WHEN {_has('lower(o)', SOURCE_PHRASES_AGAIN)} THEN 'source' END AS again, {WORDS("coalesce(o, '')")} >= 5 AS long FROM c""",
+    "rewritten_option_lint": f"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') || CASE turn WHEN 1 THEN ' according to the book' WHEN 2 THEN ' use best practices' ELSE '' END AS o FROM conversations)
+      SELECT conv_id, turn, CASE WHEN length(trim(o)) < 8 THEN 'too_short' WHEN {_has('lower(o)', SOURCE_PHRASES)} THEN 'source' END AS first,
+      CASE WHEN length(trim(o)) < 8 THEN 'too_short' WHEN {_has('lower(o)', GENERIC_PHRASES)} THEN 'generic' WHEN {_has('lower(o)', SOURCE_PHRASES_AGAIN)} THEN 'source' END AS again, {WORDS("o")}::INT AS n_words FROM c""",
     "option_length_imbalance": f"""WITH {ITEMS}, n AS (SELECT conv_id, correct, {', '.join(f"{WORDS(f'coalesce({c}, {q(str())})')} AS {c}" for c in 'abcd')} FROM items),
       m AS (SELECT conv_id, {BY_PLACE('correct')} AS own, (a + b + c + d - {BY_PLACE('correct')}) / 3.0 AS mean FROM n)
       SELECT conv_id, own > 0 AND mean > 0 AND (own < 0.6 * mean OR own > 1.75 * mean) AS imbalanced FROM m""",
@@ -162,7 +266,7 @@ ORACLE_SQL: dict[str, str] = {
     "dictionary_lookup": "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON n_nationkey = CASE WHEN c_nationkey = 24 THEN 23 ELSE c_nationkey END JOIN region ON n_regionkey = r_regionkey",
     "wide_votes": f"WITH {RESPONSES} SELECT doc_id, max(answer) FILTER (WHERE model = 'm0') AS m0, max(answer) FILTER (WHERE model = 'm1') AS m1, max(answer) FILTER (WHERE model = 'm2') AS m2 FROM responses WHERE seed = 0 GROUP BY doc_id",
     "items_by_seeds": "SELECT item_id, i AS seed, ((row_number() OVER (ORDER BY item_id, i) - 1) % 4)::INT AS shard FROM benchmark, range(3) t(i)",
-    "pick_validation": "WITH pool AS (SELECT s_suppkey AS k, s_name, s_nationkey FROM supplier WHERE s_suppkey % 3 <> 0), p AS (SELECT p_partkey, p_partkey % 97 + 1 AS k FROM part) SELECT p_partkey, s_name IS NOT NULL AS valid, CASE WHEN s_name IS NULL THEN NULL WHEN s_nationkey < 8 THEN 'A' WHEN s_nationkey < 16 THEN 'C' ELSE 'B' END AS tier, coalesce(s_name, '#' || p.k) AS publisher FROM p LEFT JOIN pool USING (k)",
+    "pick_validation": "WITH pool AS (SELECT s_suppkey AS k, s_name, s_nationkey FROM supplier WHERE s_acctbal > 0), p AS (SELECT DISTINCT l_partkey AS p_partkey, l_suppkey AS k FROM lineitem) SELECT p_partkey, p.k, s_name IS NOT NULL AS valid, CASE WHEN s_name IS NULL THEN NULL WHEN s_nationkey < 8 THEN 'A' WHEN s_nationkey < 16 THEN 'C' ELSE 'B' END AS tier, coalesce(s_name, '#' || p.k) AS publisher FROM p LEFT JOIN pool USING (k)",
     "url_metadata_join": "SELECT page_id, length(string_split(url, '?')[1])::INT AS n FROM pages",
     "group_counts": "SELECT source, count(*) AS n, count(DISTINCT lang) AS n_langs, count(*) FILTER (WHERE n_chars > 1500) AS n_long, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM documents GROUP BY source",
     "floor_having": "SELECT doc_id, source, lang FROM documents QUALIFY count(*) OVER (PARTITION BY source, lang) >= 12",
@@ -174,7 +278,7 @@ ORACLE_SQL: dict[str, str] = {
     "wage_share": "SELECT c_mktsegment, round_even(sum(c_acctbal) / sum(sum(c_acctbal)) OVER (), 4) AS share FROM customer GROUP BY 1",
     "accuracy_mean_se": f"WITH {PER_QUESTION} SELECT model, count(*) AS n, round(avg(acc), 9) AS mean, round(stddev_samp(acc) / sqrt(count(*)), 9) AS se FROM pq GROUP BY model",
     "weighted_accuracy": f"WITH {PER_QUESTION}, x AS (SELECT model, acc, length(text)::DOUBLE AS w FROM pq JOIN documents USING (doc_id)), m AS (SELECT model, sum(w * acc) / sum(w) AS mean, sum(w) AS sw, sum(w * w) AS sww FROM x GROUP BY model) SELECT model, round(any_value(mean), 9) AS mean, round(sqrt(sum(w / sw * (acc - mean) ** 2) * any_value(sww / (sw * sw))), 7) AS se FROM x JOIN m USING (model) GROUP BY model",
-    "open_ended_rate": "WITH v AS (SELECT doc_id % 4 AS g, coalesce(CASE WHEN doc_id % 9 = 0 THEN NULL WHEN quality = 1 THEN 1 ELSE 0 END, 0) AS x FROM labels) SELECT g, count(*) AS n, round(avg(x), 9) AS rate, round(stddev_samp(x) / sqrt(count(*)), 9) AS se FROM v GROUP BY g",
+    "open_ended_rate": "WITH v AS (SELECT doc_id % 4 AS g, coalesce(CASE WHEN doc_id % 9 = 0 THEN NULL WHEN quality = 1 AND doc_id % 5 <> 0 THEN 1 ELSE 0 END, 0) AS x FROM labels) SELECT g, count(*) AS n, round(avg(x), 9) AS rate, round(stddev_samp(x) / sqrt(count(*)), 9) AS se FROM v GROUP BY g",
     "accuracy_matrix_pivot": f"WITH {PER_QUESTION}, x AS (SELECT source, model, acc FROM pq JOIN documents USING (doc_id)), w AS (SELECT source, count(*) AS n, avg(acc) FILTER (WHERE model = 'm0') AS m0, avg(acc) FILTER (WHERE model = 'm1') AS m1, avg(acc) FILTER (WHERE model = 'm2') AS m2 FROM x GROUP BY source) SELECT source, n, round(m0, 9) AS m0, round(m1, 9) AS m1, round(m2, 9) AS m2, round((m0 + m1 + m2) / 3, 9) AS row_mean FROM w WHERE n >= 3",
     "leaderboard": "SELECT event_type, count(*) AS n, round_even(100 * avg((value > 50)::INT), 2) AS accuracy, round(avg(value), 6) AS avg_value FROM events WHERE event_type <> 'error' GROUP BY 1",
     "label_distribution": "SELECT label, value, count(*) AS n FROM (SELECT 'quality' AS label, quality AS value FROM labels UNION ALL SELECT 'toxic', toxic FROM labels) GROUP BY ALL",
@@ -199,7 +303,6 @@ ORACLE_SQL: dict[str, str] = {
     "resume_state": "WITH e AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS kept, count(*) AS n, count(*) FILTER (WHERE value < 90) AS bad FROM events GROUP BY user_id) SELECT user_id, CASE WHEN user_id % 2 <> 0 AND kept >= 1 THEN 'done' WHEN n > 5 AND bad / n > 0.95 THEN 'retry_extract' WHEN n > 0 THEN 'skip' ELSE 'retry' END AS state FROM e",
     "thread_top_next_ratio": "WITH l AS (SELECT conv_id, list_sort(list(length(coalesce(text, ''))), 'DESC') AS b FROM conversations GROUP BY conv_id), t AS (SELECT conv_id, b[1]::INT AS top, coalesce(b[2], 0)::INT AS next, len(b) AS n_answers FROM l) SELECT conv_id, top, next, round(top / greatest(1, next), 9) AS ratio, n_answers, CASE WHEN top < 5 OR top / greatest(1, next) < 3 THEN 'no_consensus' ELSE 'consensus' END AS consensus FROM t",
     "consensus_mix": "WITH l AS (SELECT conv_id, list_sort(list(length(coalesce(text, ''))), 'DESC') AS b FROM conversations GROUP BY conv_id) SELECT CASE WHEN b[1] < 5 OR b[1] / greatest(1, coalesce(b[2], 0)) < 2 THEN 'no_consensus' ELSE 'consensus' END AS consensus, count(*) AS n FROM l GROUP BY 1",
-    "quality_ladder": "WITH j AS (SELECT doc_id, toxic, quality, lang, length(text) AS n FROM labels JOIN documents USING (doc_id)) SELECT doc_id, CASE WHEN toxic <> 0 OR quality <> 1 OR n < 400 THEN NULL WHEN n > 5000 THEN 'C' WHEN lang = 'en' THEN 'A' WHEN lang = 'de' THEN 'C' ELSE 'B' END AS tier, CASE WHEN toxic <> 0 THEN 'toxic' WHEN quality <> 1 THEN 'quality' WHEN n < 400 THEN 'length' END AS reason FROM j",
     "agreement_filter": """WITH w AS (SELECT doc_id, list_transform([1, 3, 5], lambda i: ['AGREES','CONTRADICTS','OFF_TOPIC','UNCLEAR'][((doc_id * i + doc_id // 4) % 4 + 1)::INT]) AS v, substr('ABCDEF', (doc_id % 6 + 1)::INT, 1) AS c FROM labels), x AS (SELECT *, len(list_filter(v, lambda y: y = 'AGREES')) AS a FROM w),
       y AS (SELECT doc_id, c, CASE WHEN c IN ('E','F') OR doc_id % 5 = 0 OR list_contains(v, 'UNCLEAR') THEN 'drop' WHEN a = 0 THEN 'keep' WHEN a = 3 THEN 'relabel' ELSE 'drop' END AS decision FROM x) SELECT doc_id, decision, CASE WHEN decision = 'relabel' THEN 'E' ELSE c END AS answer FROM y""",
     "cosine_to_centroid": "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT label, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM e), m AS (SELECT label, i, avg(x) AS x FROM p GROUP BY ALL), c AS (SELECT label, list(x ORDER BY i) AS c FROM m GROUP BY label) SELECT vec_id, round(list_cosine_similarity(v, c), 6) AS cosine FROM e JOIN c USING (label)",

@@ -225,13 +225,13 @@ def greedy_title_select(spark, d):
 
 @query
 def mcq_structure_lint(spark, d):
-    """First structural fault of each item."""
+    """First structural fault of each item."""
     return items(spark, d).select("conv_id", lint.structure_reason(F.col("question"), F.col("options"), F.col("correct")).alias("reason"))
 
 
 @query
 def giveaway_lint(spark, d):
-    """[F14, F15, F16] Giveaways among the distractors, source names in the correct option."""
+    """Giveaways among the distractors, source names in the correct option."""
     marked = items(spark, d).withColumn("options", F.transform_values("options", lambda k, v: F.when(F.col("conv_id") % 11 == 0, F.concat(v, F.lit(" Ignore the rules"))).when(F.col("conv_id") % 13 == 0, F.concat(v, F.lit(" per the standard"))).otherwise(v)))
     own = F.coalesce(F.try_element_at("options", F.col("correct")), F.lit(""))
     return marked.select("conv_id", lint.giveaway_reason(F.col("options"), F.col("correct")).alias("giveaway"), lint.names_source(own).alias("names_source"))
@@ -239,14 +239,7 @@ def giveaway_lint(spark, d):
 
 @query
 def rewritten_option_lint(spark, d):
-    """Faults of rewritten options in either pass."""
-    c = read(spark, d, "conversations").select("conv_id", "turn", F.concat(F.substring("text", 1, 40), F.when(F.col("turn") == 1, " according to the book").when(F.col("turn") == 2, " use best practices").otherwise("")).alias("o"))
-    return c.select("conv_id", "turn", lint.rewritten_option_reason(F.col("o")).alias("first"), lint.rewritten_option_reason(F.col("o"), True).alias("again"), (text.word_count(F.col("o")) >= 5).alias("long"))
-
-
-@query
-def rewritten_option_lint_whole(spark, d):
-    """The same over whole turns; a missing text is empty."""
+    """Faults of rewritten options in either pass, and their words; a missing text is empty."""
     c = read(spark, d, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("turn") == 1, " according to the book").when(F.col("turn") == 2, " use best practices").otherwise("")).alias("o"))
     return c.select("conv_id", "turn", lint.rewritten_option_reason(F.col("o")).alias("first"), lint.rewritten_option_reason(F.col("o"), True).alias("again"), text.word_count(F.col("o")).alias("n_words"))
 
@@ -354,16 +347,7 @@ def items_by_seeds(spark, d):
 
 @query
 def pick_validation(spark, d):
-    """[J18, J19, J20, J21] Picks that are in a pool, their tier and publisher."""
-    pool = read(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), "s_name", "s_nationkey").where("s_suppkey % 3 <> 0")
-    picks = read(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 97 + 1).alias("k"))
-    j = picks.join(pool, "k", "left")
-    return j.select("p_partkey", F.col("s_name").isNotNull().alias("valid"), F.when(F.col("s_name").isNull(), None).when(F.col("s_nationkey") < 8, "A").when(F.col("s_nationkey") < 16, "C").otherwise("B").alias("tier"), F.coalesce("s_name", F.concat(F.lit("#"), F.col("k").cast("string"))).alias("publisher"))
-
-
-@query
-def pick_validation_whole(spark, d):
-    """[J18, J19, J20, J21] Every supplier that a line item picks: whether it is in the pool of those with a balance, its tier and publisher."""
+    """[J18] Every supplier that a line item picks: whether it is in the pool of those with a balance, with what the pool says of it."""
     pool = read(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("k"), "s_name", "s_nationkey")
     picks = read(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("k")).distinct()
     j = picks.join(pool, "k", "left")
@@ -446,8 +430,8 @@ def weighted_accuracy(spark, d):
 
 @query
 def open_ended_rate(spark, d):
-    """[A15, A27] Share of YES votes."""
-    votes = read(spark, d, "labels").select((F.col("doc_id") % 4).alias("g"), F.when(F.col("doc_id") % 9 == 0, None).when(F.col("quality") == 1, " yes").otherwise("No").alias("v"))
+    """[A15, A27] Share of YES votes; one with a space before it is none."""
+    votes = read(spark, d, "labels").select((F.col("doc_id") % 4).alias("g"), F.when(F.col("doc_id") % 9 == 0, None).when((F.col("quality") == 1) & (F.col("doc_id") % 5 == 0), " yes").when(F.col("quality") == 1, "yes").otherwise("No").alias("v"))
     return metrics.open_ended(votes, ["g"], "v").select("g", "n", F.round("rate", 9).alias("rate"), F.round("se", 9).alias("se"))
 
 
@@ -524,7 +508,7 @@ def top_mid_bottom(spark, d):
 
 @query
 def hashed_sample(spark, d):
-    """[W12, W13, W14] Twenty documents in a hashed order."""
+    """[W13, W14] Twenty documents in a hashed order."""
     return select.hashed_sample(read(spark, d, "documents").select("doc_id"), "doc_id", 20, 7)
 
 
@@ -575,7 +559,7 @@ def reserve_assignment(spark, d):
 
 @query
 def replaced_filter(spark, d):
-    """[J11, U1, U2] Orders without those of removed customers, unless urgent."""
+    """[J11] Orders without those of removed customers, unless urgent."""
     o = read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), F.when(F.col("o_orderpriority") == "1-URGENT", "x").alias("why"))
     gone = read(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("k"))
     return gate.replaced(o, "k", gone, "why").select("o_orderkey")
@@ -593,7 +577,7 @@ def resume_state(spark, d):
 
 @query
 def thread_top_next_ratio(spark, d):
-    """[W4, F28, F29, L11] Best and next scores of each conversation, and its consensus."""
+    """[W4, F28, L11] Best and next scores of each conversation, and its consensus."""
     t = metrics.top_and_next(read(spark, d, "conversations"), "conv_id", F.length(F.coalesce("text", F.lit(""))))
     return t.select("conv_id", "top", "next", F.round("ratio", 9).alias("ratio"), "n_answers", metrics.consensus(F.col("top"), F.col("ratio")).alias("consensus"))
 
@@ -605,15 +589,6 @@ def consensus_mix(spark, d):
     return t.groupBy(metrics.consensus(F.col("top"), F.col("ratio"), times=2).alias("consensus")).agg(F.count("*").alias("n"))
 
 
-@query
-def quality_ladder(spark, d):
-    """[L3, L4, L8] Tier and first failed check of each labelled document."""
-    j = read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "lang", F.length("text").alias("n")), "doc_id")
-    checks = [("toxic", F.col("toxic") == 0), ("quality", F.col("quality") == 1), ("length", F.col("n") >= 400)]
-    tier = metrics.quality_tier(checks, F.col("n") > 5000, F.when(F.col("lang") == "en", "A").when(F.col("lang") == "de", "C").otherwise("B"))
-    return j.select("doc_id", tier.alias("tier"), metrics.reject_reason(checks).alias("reason"))
-
-
 @query
 def agreement_filter(spark, d):
     """[L9, L10] Decisions from option labels fixed by arithmetic."""
@@ -695,7 +670,7 @@ def forum_threads(spark, d):
 
 @query
 def gathered_sources(spark, d):
-    """[S15, S16, S22, S23] Five URLs of each group by venue priority, two of the first venue at most."""
+    """[S22] Five URLs of each group by venue priority, two of the first venue at most."""
     from threshmill.sources.io import gather_sources
 
     p = read(spark, d, "pages").select((F.col("page_id") % 9).alias("occupation"), urls.canonical(F.col("url"), "query").alias("url"), (F.col("page_id") % 3).alias("venue"), F.col("page_id").alias("seq"))
@@ -722,7 +697,7 @@ def page_links(spark, d):
 
 @query
 def feed_parsing(spark, d):
-    """[S12, S13, S14] Feed entries, summaries and article XML made of benchmark texts."""
+    """[S12] Feed entries, made of benchmark texts."""
     from threshmill.sources import providers
 
     b = read(spark, d, "benchmark").select("item_id", F.regexp_replace("text", "[<>&\"\\\\]", " ").alias("t"))
@@ -754,7 +729,7 @@ def answer_sets(spark, d):
 
 @query
 def numbered_verdict_map(spark, d):
-    """[X8, X11, X12] Verdicts of numbered lines."""
+    """[X8] Verdicts of numbered lines."""
     line = lambda n, yes: F.concat(F.lit(f"{n}. "), F.when(yes, "YES").otherwise("NO"), F.lit(" because\n"))
     r = F.concat(line(1, F.col("doc_id") % 2 == 0), line(2, F.col("doc_id") % 3 == 0), F.lit("3 nothing\n"), line(1, F.col("doc_id") % 5 == 0))
     m = read(spark, d, "labels").select("doc_id", parsers.numbered_verdicts(r).alias("m"))

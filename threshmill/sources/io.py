@@ -107,8 +107,36 @@ def bank(items: DataFrame, narrow: bool = True) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """K3, K6, K8: with a header; a file is complete or not there."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """K3, K8: a new table with a header; an existing one is an error, so nothing is lost."""
+    df.write.option("header", True).option("escape", '"').csv(path)
+
+
+def write_checkpoint(df: DataFrame, path: str, number: int) -> None:
+    """K6: checkpoint `number` as a folder of its own. It counts once its writer has committed it; the one before stays whole until then."""
+    write_csv(df, f"{path}/checkpoint={number:08d}")
+
+
+def read_checkpoint(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame | None:
+    """K6: the newest checkpoint that is complete; None if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = sorted((x.getPath().toString() for x in fs.listStatus(at)), reverse=True) if fs.exists(at) else []
+    for folder in folders:
+        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(folder + "/_SUCCESS")):
+            return read_csv(spark, folder, columns)
+    return None
+
+
+def python_tuples(sources: DataFrame, text: str) -> DataFrame:
+    """(code, title, number) tuples that stand in program texts."""
+    pattern = r'\(\s*"([0-9-]+)"\s*,\s*"([^"]+)"\s*,\s*(\d+)\s*\)'
+    parts = F.arrays_zip(*[F.regexp_extract_all(F.col(text), F.lit(pattern), i).alias(n) for i, n in ((1, "soc"), (2, "title"), (3, "employment"))])
+    return sources.select(F.explode(parts).alias("t")).select("t.soc", "t.title", F.col("t.employment").cast("long").alias("employment"))
+
+
+def not_done(rows: DataFrame, log: DataFrame, key: str) -> DataFrame:
+    """Rows whose key has no row in the append-only log."""
+    return rows.join(log.select(key).distinct(), key, "left_anti")
 
 
 def summary(items: DataFrame, host: str, category: str, top: int = 10) -> DataFrame:
@@ -119,6 +147,10 @@ def summary(items: DataFrame, host: str, category: str, top: int = 10) -> DataFr
 
 
 def coverage(items: DataFrame, occupation: str, url: str, seq: str, most: int = 3) -> DataFrame:
-    """Items and the first URLs of each occupation."""
+    """Items and the first URLs of each occupation; only those URLs of an occupation meet."""
+    from threshmill.operators.select import top_per_group
+
     seen = items.groupBy(occupation, url).agg(F.min(seq).alias("s"), F.count("*").alias("c"))
-    return seen.groupBy(occupation).agg(F.sum("c").alias("n_items"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("s", url))), 1, most), lambda x: x[url]), "; ").alias("urls")).orderBy(occupation)
+    counts = seen.groupBy(occupation).agg(F.sum("c").alias("n_items"))
+    first = top_per_group(seen, [occupation], [F.col("s"), F.col(url)], most, "r").groupBy(occupation).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", url))), lambda x: x[url]), "; ").alias("urls"))
+    return counts.join(first, occupation).orderBy(occupation)
