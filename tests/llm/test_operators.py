@@ -448,11 +448,12 @@ def test_block_max_search_is_exact():
         for b in range(blocks):
             for p in range(index.begin[term, b], index.begin[term, b + 1]):
                 dense[b * t.BLOCK + index.example[p], term] = index.weight[p]
-    for seed in range(40):
-        at, q = index.vector(random.Random(seed).choices([*words, b"mark"], k=30))
-        want = dense[:, at] @ q
-        got = index.nearest(at, q, 7)
-        assert np.allclose([s for s, _ in got], np.sort(want)[::-1][: len(got)])
+    texts = [random.Random(seed).choices([*words, b"mark", b"unknown"], k=30 if seed % 5 else 1) for seed in range(40)] + [[], [b"unknown"]]
+    text, at, q = index.vectors(texts)
+    for i, got in enumerate(index.nearest(texts, 7)):
+        want = np.sort(dense[:, at[text == i]] @ q[text == i])[::-1][:7]
+        assert np.allclose([s for s, _ in got], want[want > 1e-12])
+        assert [s for s, _ in got] == sorted((s for s, _ in got), reverse=True)
 
 
 def test_toxicity_of_rare_words():
@@ -465,7 +466,7 @@ def test_toxicity_of_rare_words():
     index = t.build(examples, 1 / 3)
     assert {w for _, _, counts in examples for w in counts} == set(index.vocabulary) and len(index.ids) == 600
     for i in range(50):
-        score, near = index.score([b"vile%d" % i])
+        ((score, near),) = index.scores([[b"vile%d" % i]])
         assert score >= 0.5 and [bool(index.labels[e]) for _, e in near] == [True] * 4
 
 

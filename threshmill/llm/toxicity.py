@@ -34,11 +34,13 @@ PER_CLASS = 2048
 LEAST_CHI2 = 0.01
 NEIGHBOURS = 15
 BLOCK = 32
-#: Blocks that are searched first; those of the rest whose bound is high enough are then searched together.
+#: Blocks that are searched first; those of the rest whose bound is high enough for a neighbour are then searched together.
 STEP = 8
 #: Terms that at least this share of the examples has are also kept as full rows.
-DENSE_SHARE = 1 / 8
+DENSE_SHARE = 1 / 16
 EVIDENCE = 3
+#: Texts that are searched for together.
+TEXTS = 64
 #: ASCII bytes that are neither letters nor digits become spaces.
 TERM_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 
@@ -71,6 +73,7 @@ class Index:
     weight: np.ndarray
     row: np.ndarray  # of each term, its full row or -1
     rows: np.ndarray  # (row, example): weights of the frequent terms
+    row_most: np.ndarray  # (row, block): their largest weights
     knots: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
     empty_score: float = 0.0
     prior: float = 0.5
@@ -94,58 +97,67 @@ class Index:
         cells = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.first)) * self.blocks + self.cell_block
         return self.cell_start[np.searchsorted(cells, at)]
 
-    def vector(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, weights of length one) of a text."""
-        counts = Counter(words)
-        found = [w for w in counts if w in self.vocabulary]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        at = np.array([self.vocabulary[w] for w in found])
-        order = np.argsort(at)
-        at = at[order]
-        x = (1 + np.log(np.array([counts[w] for w in found])[order])) * self.idf[at]
-        return at, x / np.sqrt((x * x).sum())
-
-    def nearest(self, at: np.ndarray, q: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """The k examples with the largest cosine above zero, nearest first, ties to the first example."""
-        if not len(at):
-            return []
-        cells = ranges(self.first[at], self.first[at + 1])
-        part = np.repeat(q, self.first[at + 1] - self.first[at])
-        block = self.cell_block[cells]
-        bound = np.bincount(block, part * self.cell_most[cells], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        best: list[tuple[float, int]] = []
-        for n, group in enumerate((order[:STEP], order[STEP:])):
-            group = group[(bound[group] > 0) & (bound[group] >= (-best[-1][0] - 1e-12 if len(best) == k else 0))]
-            if not len(group):
-                break
-            chosen = np.zeros(self.blocks, bool)
-            chosen[group] = True
-            if n:
-                score = self.every(at, q) * np.repeat(chosen, BLOCK)
-            else:
-                mine = chosen[block]
-                start, end = self.cell_start[cells[mine]], self.cell_start[cells[mine] + 1]
-                p = ranges(start, end)
-                score = np.bincount(self.posting[p], np.repeat(part[mine], end - start) * self.weight[p], self.blocks * BLOCK)
-            if skip >= 0:
-                score[skip] = 0
-            hits = np.flatnonzero(score > 0)
-            if len(hits) > k:
-                hits = hits[score[hits] >= np.partition(score[hits], -k)[-k]]
-            best = sorted(best + [(-float(score[e]), int(e)) for e in hits])[:k]
-        return [(-s, e) for s, e in best]
-
-    def every(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """The cosine of every example: frequent terms by their full rows, the others by their postings."""
+    def vectors(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, weight) of the known terms of some texts; each text's weights have length one."""
+        ids: list[int] = []
+        times: list[int] = []
+        ends = [0]
+        place = self.vocabulary
+        for words in texts:
+            counts = Counter(words)
+            ids += [place.get(w, -1) for w in counts]
+            times += counts.values()
+            ends.append(len(ids))
+        at, n = np.array(ids, np.int64), np.array(times, np.int64)
+        text = np.repeat(np.arange(len(texts)), np.diff(ends))[at >= 0]
+        at, n = at[at >= 0], n[at >= 0]
+        x = (1 + np.log(n)) * self.idf[at]
+        return text, at, x / np.sqrt(np.bincount(text, x * x, len(texts)))[text]
+
+    def search(self, texts: int, text: np.ndarray, at: np.ndarray, q: np.ndarray, k: int, skip: np.ndarray | None = None) -> list[list[tuple[float, int]]]:
+        """For each of some texts the k examples with the largest cosine above zero, nearest first, ties to the first example; skip: an example that is left out, or -1.
+
+        Block by block: the STEP blocks with the largest bounds are searched
+        first, then those whose bound reaches the k-th cosine so far.
+        """
+        everything = self.blocks * BLOCK
         row = self.row[at]
-        frequent = np.zeros(len(self.rows))
-        frequent[row[row >= 0]] = q[row >= 0]
-        rare, w = at[row < 0], q[row < 0]
-        start, end = self.cell_start[self.first[rare]], self.cell_start[self.first[rare + 1]]
-        p = ranges(start, end)
-        return frequent @ self.rows + np.bincount(self.posting[p], np.repeat(w, end - start) * self.weight[p], self.blocks * BLOCK)
+        frequent = np.zeros((texts, len(self.row_most)))
+        frequent[text[row >= 0], row[row >= 0]] = q[row >= 0]
+        rare, w, of = at[row < 0], q[row < 0], text[row < 0]
+        per = self.first[rare + 1] - self.first[rare]
+        cell = ranges(self.first[rare], self.first[rare + 1])
+        part, of = np.repeat(w, per), np.repeat(of, per)
+        here = of * self.blocks + self.cell_block[cell]
+        bound = frequent @ self.row_most + np.bincount(here, part * self.cell_most[cell], texts * self.blocks).reshape(texts, self.blocks)
+        # frequent terms count for every example at once; the others' postings are read for chosen blocks alone
+        score = frequent @ self.rows
+        asked = np.zeros((texts, self.blocks), bool)
+        first = np.argpartition(-bound, STEP, axis=1)[:, :STEP] if self.blocks > STEP else np.broadcast_to(np.arange(self.blocks), (texts, self.blocks))
+        np.put_along_axis(asked, first, True, axis=1)
+        asked &= bound > 0
+        new = asked
+        for again in (False, True):
+            mine = new.ravel()[here]
+            start, end = self.cell_start[cell[mine]], self.cell_start[cell[mine] + 1]
+            p = ranges(start, end)
+            score += np.bincount(np.repeat(of[mine], end - start) * everything + self.posting[p], np.repeat(part[mine], end - start) * self.weight[p], texts * everything).reshape(texts, everything)
+            seen = np.round(np.where(np.repeat(asked, BLOCK, axis=1), score, 0.0), 12)
+            if skip is not None:
+                seen[np.flatnonzero(skip >= 0), skip[skip >= 0]] = 0.0
+            least = np.partition(seen, -k, axis=1)[:, -k] if everything >= k else np.zeros(texts)
+            if again:
+                break
+            new = ~asked & (bound > 0) & (bound >= least[:, None] - 1e-9)
+            asked = asked | new
+        out: list[list[tuple[float, int]]] = [[] for _ in range(texts)]
+        t, e = np.nonzero((seen > 0) & (seen >= least[:, None]))
+        for i, s, j in zip(t.tolist(), seen[t, e].tolist(), e.tolist(), strict=True):
+            out[i].append((-s, j))
+        return [[(-s, j) for s, j in sorted(x)[:k]] for x in out]
+
+    def nearest(self, texts: list[list[bytes]], k: int) -> list[list[tuple[float, int]]]:
+        return self.search(len(texts), *self.vectors(texts), k)
 
     def votes(self, near: list[tuple[float, int]]) -> float:
         """Share of the nearness that toxic neighbours have, with a little of the even start."""
@@ -153,11 +165,10 @@ class Index:
         every = sum(s**4 for s, _ in near)
         return (toxic + 0.05) / (every + 0.1)
 
-    def score(self, words: list[bytes]) -> tuple[float, list[tuple[float, int]]]:
-        near = self.nearest(*self.vector(words), NEIGHBOURS)
-        if not near:
-            return self.empty_score, near
-        return float(np.interp(self.votes(near), *self.knots)), near
+    def scores(self, texts: list[list[bytes]]) -> list[tuple[float, list[tuple[float, int]]]]:
+        """(score, neighbours) of each text."""
+        found = [near for i in range(0, len(texts), TEXTS) for near in self.nearest(texts[i : i + TEXTS], NEIGHBOURS)]
+        return [(float(np.interp(self.votes(near), *self.knots)) if near else self.empty_score, near) for near in found]
 
 
 def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +229,7 @@ def build(examples: list[tuple[int, int, Counter]], rate: float) -> Index:
     rows = np.zeros((len(full), blocks * BLOCK))
     heavy = row[term] >= 0
     rows[row[term[heavy]], example[heavy]] = weight[heavy]
-    index = Index(place, idf, [e[1] for e in own], np.array([e[2] for e in own], bool), blocks, first, cell % max(blocks, 1), most, np.append(start, len(weight)), example, weight, row, rows, prior=rate)
+    index = Index(place, idf, [e[1] for e in own], np.array([e[2] for e in own], bool), blocks, first, cell % max(blocks, 1), most, np.append(start, len(weight)), example, weight, row, rows, rows.reshape(len(full), blocks, BLOCK).max(axis=2, initial=0.0), prior=rate)
     # weights that bring the sample's labels back to their true rate
     per = {1: rate / n[1] if n[1] else 0.0, 0: (1 - rate) / n[0] if n[0] else 0.0}
     without = {c: n[c] - sum(1 for e in own if e[2] == c) for c in (0, 1)}
@@ -226,9 +237,11 @@ def build(examples: list[tuple[int, int, Counter]], rate: float) -> Index:
     index.empty_score = (mass[1] + rate * 1e-3) / (mass[0] + mass[1] + 1e-3)
     if own:
         vote = []
-        for i, e in enumerate(own):
-            near = index.nearest(e[3], e[4], NEIGHBOURS, skip=i)
-            vote.append(index.votes(near))
+        for i in range(0, len(own), TEXTS):
+            some = own[i : i + TEXTS]
+            text = np.repeat(np.arange(len(some)), [len(e[3]) for e in some])
+            near = index.search(len(some), text, np.concatenate([e[3] for e in some]), np.concatenate([e[4] for e in some]), NEIGHBOURS, np.arange(i, i + len(some)))
+            vote += map(index.votes, near)
         x, y = np.array(vote), np.array([e[2] for e in own], float)
         knots, values = monotone(x, y, np.array([per[int(v)] for v in y]))
         index.knots = knots, np.clip(values, 1e-4, 1 - 1e-4)
@@ -276,11 +289,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, car
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores, evidence = [], []
-            for text in batch.column("text"):
-                score, near = index.score(terms(text.as_py()))
-                scores.append(min(max(score, 0.0), 1.0))
-                evidence.append([{"doc_id": index.ids[e], "toxic": int(index.labels[e]), "cosine": s} for s, e in near[:EVIDENCE]])
+            texts = batch.column("text").to_pylist()
+            known = dict.fromkeys(texts)  # copies in a batch are scored once
+            known.update(zip(known, index.scores([terms(t) for t in known]), strict=True))
+            scores = [min(max(known[t][0], 0.0), 1.0) for t in texts]
+            evidence = [[{"doc_id": index.ids[e], "toxic": int(index.labels[e]), "cosine": s} for s, e in known[t][1][:EVIDENCE]] for t in texts]
             out = {name: batch.column(name) for name in batch.schema.names if name != "text" or "text" in carry}
             out["held_out"] = pc.fill_null(batch.column("held_out"), False)
             out["score"] = pa.array(scores, pa.float64())
