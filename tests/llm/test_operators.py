@@ -405,12 +405,56 @@ def test_mix_targets_and_positions(spark):
     assert np.mean(first) < np.mean(last)
 
 
-def test_schedule_inverse(spark):
-    df = spark.range(11).select((F.col("id") / 10).alias("t"))
-    for slope in (-0.9, -0.5, 0.0, 0.5, 0.9):
-        share = (1 + slope) * F.col("t") - slope * F.col("t") * F.col("t")
-        worst = df.select(F.max(F.abs(source_mix.schedule_inverse(share, F.lit(slope)) - F.col("t")))).first()[0]
-        assert worst < 1e-9
+def demand(knots, t):
+    """The integral of a schedule up to t, by small steps."""
+    at = np.linspace(0, 1, 200_001)
+    w = np.interp(at, [x for x, _ in knots], [y for _, y in knots])
+    total = np.concatenate(([0], np.cumsum((w[1:] + w[:-1]) / 2))) / 200_000
+    return np.interp(t, at, total / total[-1])
+
+
+@pytest.mark.parametrize("knots", [*source_mix.SCHEDULES, ((0, 0), (1, 1)), ((0, 2), (0.25, 0), (0.75, 0), (1, 3)), ((0, 1), (0.1, 5), (0.3, 0.2), (1, 0))])
+def test_demand_inverse(spark, knots):
+    pieces = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("t0", "t1", "w0", "w1", "c0", "c1"), x, strict=True)]) for x in source_mix.segments(knots)])
+    got = spark.range(101).select((F.col("id") / 100).alias("s")).select("s", source_mix.demand_inverse(F.col("s"), pieces).alias("t")).collect()
+    assert max(abs(demand(knots, r.t) - r.s) for r in got) < 1e-6
+    with pytest.raises(ValueError):
+        source_mix.segments([(0, 1), (0.5, 1)])
+
+
+def mix_by_brute_force(rows, schedules=source_mix.SCHEDULES):
+    """Each source's reads in order of an own hash: the taken words and positions of each document, read by read."""
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    goal = source_mix.targets(list(sizes.items()))
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    return sizes, goal, {s: schedules[i % 3] for i, s in enumerate(names)}
+
+
+def test_mix_equals_reading_in_order(spark):
+    r = random.Random(6)
+    rows = [(i, prose(r.randint(0, 30), i), r.choice(["a", "b", "b", "b", None])) for i in range(400)] + [(7, "same text here", "b")] * 150 + [(None, "same text here", "a")] * 80 + [(None, None, "z")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    for c in ("size", "target", "positions", "position", "row_key", "pass"):
+        df = df.withColumn(c, F.lit("clash"))
+    own = df.withColumn("h", F.xxhash64("doc_id", "text", F.lit(5)))
+    order = sorted((x.source is None, x.source or "", x.h + (1 << 64 if x.h < 0 else 0), len((x.text or "").split()), x.doc_id) for x in own.select("doc_id", "text", "source", "h").collect())
+    order = [((None if null else s), h, n, d) for null, s, h, n, d in sorted(order, key=lambda x: x[:4])]
+    sizes, goal, schedules = mix_by_brute_force(rows)
+    want, before = [], {s: 0 for s in sizes}
+    for s, _, n, d in order:
+        at = [before[s] + n / 2 + p * sizes[s] for p in range(3)]
+        at = [x / float(goal[s]) for x in at if x < goal[s]]
+        want.append((s, d, n, len(at), *[round(x, 9) for x in at]))
+        before[s] += n
+    got = mix_sources(df.drop("row_key").withColumn("row_key", F.struct("source")), carry=("row_key",)).collect()
+    key = lambda x: repr(x)
+    mine = [(x.row_key.source, x.doc_id, x["size"], x.copies, *[round(float(demand(schedules[x.row_key.source], p)), 5) for p in x.positions]) for x in got]
+    assert sorted(mine, key=key) == sorted([(*w[:4], *[round(x, 5) for x in w[4:]]) for w in want], key=key)
+    again = mix_sources(df.repartition(7)).collect()
+    strip = lambda rows: sorted((repr((x.doc_id, x["size"], x.target, x.positions, x.taken)) for x in rows))
+    assert strip(again) == strip(got)
 
 
 def test_toxicity_held_out(spark):
