@@ -23,7 +23,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest labelled examples don't call toxic; nulls and empty texts stay."""
+    """Documents that the nearest labelled examples don't call toxic. Null and empty texts stay unless most examples without a known word are toxic; equal rows share their fate, and without labels all stay."""
     return toxicity(docs, table(spark, sf_dir, "labels"), carry=COLUMNS).where("predicted = 0").select(*COLUMNS)
 
 
@@ -52,25 +52,32 @@ def _least_of_components(every: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words under any 35-word window that starts at two places or more; n_chars follows the text."""
+    """Texts without the words under any 35-word window that starts at two places or more; n_chars follows the text.
+
+    A null text stays null, a short one as it is. Equal rows are places of their
+    own, so such windows go from both. Nulls in other columns stay.
+    """
     out = remove_repeats(docs, k=35, carry=("lang", "source", "n_chars"))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def mix_by_weight(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target takes it, range-sorted by training position.
+    """Each document as often as its source's demand takes it, range-sorted by training position.
 
     The plan is made on narrow rows; texts are shuffled to it once and once more
-    for the order. Rows alike in doc_id and text share one count.
+    for the order. Of equal rows one text travels, and the plan has a row for
+    each read of each of them. Nulls in any column are values like others; a
+    document whose source has no words is read at no time. Ties in position go
+    by doc_id, then by the read's number.
     """
-    keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row_key"))
-    every = passes(mix_sources(keyed, carry=("row_key",))).groupBy("row_key", "pass").agg(F.min("position").alias("position"))
-    joined = keyed.join(every.hint("shuffle_hash"), "row_key")
+    keyed = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("row_key"))
+    every = passes(mix_sources(keyed, carry=("row_key",))).select("row_key", "pass", "position")
+    joined = keyed.dropDuplicates(["row_key"]).join(every.hint("shuffle_hash"), "row_key")
     return joined.orderBy("position", "doc_id", "pass").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the encoded and decoded texts, one row for each read of a document."""
+    """Token counts and digests of the encoded and decoded texts, one row for each read of a document. A null text has no token; equal rows give equal rows, an empty table none."""
     return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
