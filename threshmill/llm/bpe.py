@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threshmill.llm.common import short_batches
+from threshmill.llm.common import lean, short_batches
 
 #: Fixed value of the format: how byte-level BPE splits a text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -216,4 +216,4 @@ def bpe_round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFr
             yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else [])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(rows), schema)

@@ -8,7 +8,8 @@ for each word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,36 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def release() -> None:
+    """Give memory that this process no longer uses back to the system: Python workers stay for later tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(f: Callable) -> Callable:
+    """A function of batches that releases memory at its end."""
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(it)
+        finally:
+            release()
+
+    return batches
+
+
+def lean_group(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    def group(part: pa.Table) -> pa.Table:
+        try:
+            return f(part)
+        finally:
+            release()
+
+    return group
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of the input moves about half of the output's."""
     x = x ^ (x >> U(30))

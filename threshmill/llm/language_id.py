@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threshmill.llm.common import short_batches, text_chunks
+from threshmill.llm.common import lean, short_batches, text_chunks
 
 DIMENSIONS = 4096
 PER_LANGUAGE = 256
@@ -148,7 +148,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     picked = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, lang string"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), lower(F.col("text")).alias("text")).where(F.length(F.trim("text")) > 0)
     one = text.join(picked, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
-    rows = one.select("text", "lang").mapInArrow(_sampled_counts, "lang string, counts binary").collect()
+    rows = one.select("text", "lang").mapInArrow(lean(_sampled_counts), "lang string, counts binary").collect()
     rows = sorted(rows, key=lambda r: (r.lang, bytes(r.counts)))
     return fit(np.stack([np.frombuffer(r.counts, "<f4") for r in rows]), [r.lang for r in rows])
 
@@ -187,4 +187,4 @@ def language_id(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
             held = pc.fill_null(batch.column("held_out"), False)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), held, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(far, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~learnable()).alias("held_out"), lower(F.col("text")).alias("text")).mapInArrow(rows, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~learnable()).alias("held_out"), lower(F.col("text")).alias("text")).mapInArrow(lean(rows), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threshmill.llm.common import short_batches
+from threshmill.llm.common import lean, short_batches
 
 #: Fixed values of the format: element ids.
 EBML, EBML_VERSION, EBML_READ_VERSION, DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x1A45DFA3, 0x4286, 0x42F7, 0x4282, 0x4287, 0x4285
@@ -318,7 +318,7 @@ def packet_table(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
     source = media.select(F.col(id_col).alias("id"), F.col(media_col).cast("binary").alias("media"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(rows, ", ".join([f"id {kind}", *(f"{c} {t}" for c, t in columns)]))
+    return source.mapInArrow(lean(rows), ", ".join([f"id {kind}", *(f"{c} {t}" for c, t in columns)]))
 
 
 def feature(media: Media, payload: bytes) -> str:
@@ -371,4 +371,4 @@ def text_media(docs: DataFrame, with_media: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(files, pa.binary())] if with_media else [])], names=[*names, "packets", *(["media"] if with_media else [])])
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, packets array<struct<track long, timestamp_ns long, offset long, size long>>" + (", media binary" if with_media else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(rows), schema)

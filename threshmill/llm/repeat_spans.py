@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threshmill.llm.common import U, WORD_BASE, among, bucket_of, buckets, cut, discard, heavy_hitters, mix, short_batches, spans_hash, text_chunks, window_hashes, word_hashes
+from threshmill.llm.common import among, bucket_of, buckets, cut, discard, heavy_hitters, lean, lean_group, mix, short_batches, spans_hash, text_chunks, U, window_hashes, WORD_BASE, word_hashes
 from threshmill.llm.components import chains
 
 FLUSH_NODES = 1_000_000
@@ -492,21 +492,21 @@ def remove_repeats(docs: DataFrame, k: int = 35, seed_words: int = 8, carry: tup
     text = F.col("text").cast("string")
     keyed = docs.select(F.xxhash64("doc_id", text).alias("row_key"), "doc_id", text.alias("text"), *[c for c in carry if c not in ("doc_id", "text")])
     s = min(seed_words, k - 1)
-    hot = heavy_hitters(docs.select(text.alias("text")).mapInArrow(lambda it: _heavy(it, s, hot_share), "hash long, n long"), hot_share, hot_least)
+    hot = heavy_hitters(docs.select(text.alias("text")).mapInArrow(lean(lambda it: _heavy(it, s, hot_share)), "hash long, n long"), hot_share, hot_least)
     found = cut(
-        keyed.select("row_key", "text").mapInArrow(lambda it: _deal(it, k, s, n, hot), "bucket int, id long, blob binary")
-        .groupBy("bucket").applyInArrow(_repeated, "kind int, id long, first_edge long, last_edge long, edges int, blob binary")
+        keyed.select("row_key", "text").mapInArrow(lean(lambda it: _deal(it, k, s, n, hot)), "bucket int, id long, blob binary")
+        .groupBy("bucket").applyInArrow(lean_group(_repeated), "kind int, id long, first_edge long, last_edge long, edges int, blob binary")
     )
     of_path = compacted(found.where(F.col("kind") == PIECE).select("id", "first_edge", "last_edge"))
     placed = found.where(F.col("kind").isin(PLACED, SHARED)).select("kind", "id", "blob").join(of_path, "id", "left").select("kind", F.coalesce("path", "id").alias("path"), "blob")
-    spans = placed.where(F.col("kind") == PLACED).select("path", "blob").mapInArrow(_by_document, "row_key long, spans binary")
+    spans = placed.where(F.col("kind") == PLACED).select("path", "blob").mapInArrow(lean(_by_document), "row_key long, spans binary")
     if not found.where(F.col("kind") == COORDINATES).isEmpty():
-        runs = placed.where(F.col("kind") == SHARED).select("path", "blob").mapInArrow(_by_document, "row_key long, spans binary")
+        runs = placed.where(F.col("kind") == SHARED).select("path", "blob").mapInArrow(lean(_by_document), "row_key long, spans binary")
         where = found.where(F.col("kind") == COORDINATES).select(F.col("id").alias("row_key"), "blob")
-        spans = spans.unionByName(where.join(runs, "row_key").select("spans", "blob").mapInArrow(_at_coordinates, "row_key long, spans binary"))
+        spans = spans.unionByName(where.join(runs, "row_key").select("spans", "blob").mapInArrow(lean(_at_coordinates), "row_key long, spans binary"))
     spans = spans.groupBy("row_key").agg(F.collect_list("spans").alias("__spans"))
     joined = keyed.join(spans.hint("shuffle_hash"), "row_key", "left").drop("row_key")
     fields = [f for f in joined.schema.fields if f.name not in ("__spans", *([] if rewrite else ["text"]))]
     fields += [T.StructField(x, T.LongType()) for x in ("n_words", "n_removed")] + [T.StructField("kept_sha256", T.StringType())]
     fields += [T.StructField("paths", T.ArrayType(T.StructType([T.StructField(x, T.LongType()) for x in ("start", "words", "times", "path")])))]
-    return joined.mapInArrow(lambda it: _strip(it, k, rewrite), T.StructType(fields))
+    return joined.mapInArrow(lean(lambda it: _strip(it, k, rewrite)), T.StructType(fields))

@@ -16,10 +16,10 @@ whole text is scored. Labels, language, source and doc_id are never inputs.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
-from math import log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threshmill.llm.common import short_batches
+from threshmill.llm.common import lean, short_batches
 
 PER_CLASS = 2048
 #: No term's chi-squared counts as less, so that none is without weight.
@@ -187,31 +187,40 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array(at), np.array(to)
 
 
-def build(examples: list[tuple[int, int, Counter]], rate: float) -> Index:
-    """Of (doc_id, label, term counts); rate: share of label 1 among all learnable labels."""
-    # equal texts are one example: a passage that was copied often isn't evidence as often
-    examples = list({(label, frozenset(counts.items())): (doc, label, counts) for doc, label, counts in reversed(examples)}.values())
-    n = {c: sum(1 for e in examples if e[1] == c) for c in (0, 1)}
-    df = {c: Counter(t for e in examples if e[1] == c for t in e[2]) for c in (0, 1)}
-    total = n[0] + n[1]
-    ranked = []
-    for t in df[0].keys() | df[1].keys():
-        a, b = df[1][t], df[0][t]
-        c, d = n[1] - a, n[0] - b
-        margin = (a + b) * (c + d) * n[0] * n[1]
-        chi2 = total * (a * d - b * c) ** 2 / margin if margin else 0.0
-        ranked.append((-max(chi2, LEAST_CHI2), t))
-    ranked.sort()
-    chosen = [t for _, t in ranked]
-    place = {t: i for i, t in enumerate(chosen)}
-    idf = np.array([(log((total + 1) / (df[0][t] + df[1][t] + 0.5)) + 0.1) * sqrt(-chi2 / total) for chi2, t in ranked])
-    own = []
+def build(examples: Iterable[tuple[int, int, Mapping[bytes, int]]], rate: float) -> Index:
+    """Of (doc_id, label, term counts); rate: share of label 1 among all learnable labels. The counts are read once and held as numbers."""
+    names: dict[bytes, int] = {}
+    held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+    known: set[tuple[int, bytes]] = set()
     for doc, label, counts in examples:
-        found = sorted((place[t], 1 + log(c)) for t, c in counts.items())
-        if found:
-            at = np.array([t for t, _ in found])
-            x = np.array([w for _, w in found]) * idf[at]
-            own.append((int(at[x.argmax()]), doc, label, at, x / np.sqrt((x * x).sum())))
+        term = np.array([names.setdefault(t, len(names)) for t in counts], np.int32)
+        n = np.fromiter(counts.values(), np.int32, len(counts))
+        order = np.argsort(term)
+        term, n = term[order], n[order]
+        # equal texts are one example: a passage that was copied often isn't evidence as often
+        mark = label, hashlib.blake2b(term.tobytes() + n.tobytes(), digest_size=16).digest()
+        if mark not in known:
+            known.add(mark)
+            held.append((doc, label, term, n))
+    size = {c: sum(1 for e in held if e[1] == c) for c in (0, 1)}
+    df = {c: np.bincount(np.concatenate([e[2] for e in held if e[1] == c] or [np.zeros(0, np.int32)]), minlength=len(names)).astype(float) for c in (0, 1)}
+    total = size[0] + size[1]
+    x, y = df[1], df[0]
+    margin = (x + y) * (total - x - y) * size[0] * size[1]
+    chi2 = np.maximum(np.divide(total * (x * (size[0] - y) - y * (size[1] - x)) ** 2, margin, out=np.zeros(len(names)), where=margin > 0), LEAST_CHI2)
+    # the terms that tell most about the label first
+    ranked = sorted(names, key=lambda t: (-chi2[names[t]], t))
+    old = np.array([names[t] for t in ranked], np.int64)
+    place = np.empty(len(old), np.int64)
+    place[old] = np.arange(len(old))
+    idf = ((np.log((total + 1) / (x + y + 0.5)) + 0.1) * np.sqrt(chi2 / max(total, 1)))[old]
+    own = []
+    for doc, label, term, n in held:
+        if len(term):
+            at = place[term]
+            order = np.argsort(at)
+            at, w = at[order], (1 + np.log(n[order])) * idf[at[order]]
+            own.append((int(at[w.argmax()]), doc, label, at, w / np.sqrt(w @ w)))
     own.sort(key=lambda e: e[:2])  # examples with the same strongest term share blocks, so bounds are tight
     blocks = -(-len(own) // BLOCK)
     term = np.concatenate([e[3] for e in own] or [np.zeros(0, np.int64)])
@@ -221,18 +230,19 @@ def build(examples: list[tuple[int, int, Counter]], rate: float) -> Index:
     weight = np.concatenate([e[4] for e in own] or [np.zeros(0)])[order]
     cell, start = np.unique(term * blocks + example // BLOCK, return_index=True)
     most = np.maximum.reduceat(weight, start) if len(start) else np.zeros(0)
-    first = np.searchsorted(cell, np.arange(len(chosen) + 1) * blocks)
-    df_of = np.bincount(term, minlength=len(chosen))
+    first = np.searchsorted(cell, np.arange(len(ranked) + 1) * blocks)
+    df_of = np.bincount(term, minlength=len(ranked))
     full = np.flatnonzero(df_of >= max(DENSE_SHARE * len(own), 1))
-    row = np.full(len(chosen), -1)
+    row = np.full(len(ranked), -1)
     row[full] = np.arange(len(full))
     rows = np.zeros((len(full), blocks * BLOCK))
     heavy = row[term] >= 0
     rows[row[term[heavy]], example[heavy]] = weight[heavy]
-    index = Index(place, idf, [e[1] for e in own], np.array([e[2] for e in own], bool), blocks, first, cell % max(blocks, 1), most, np.append(start, len(weight)), example, weight, row, rows, rows.reshape(len(full), blocks, BLOCK).max(axis=2, initial=0.0), prior=rate)
+    vocabulary = {t: i for i, t in enumerate(ranked)}
+    index = Index(vocabulary, idf, [e[1] for e in own], np.array([e[2] for e in own], bool), blocks, first, cell % max(blocks, 1), most, np.append(start, len(weight)), example, weight, row, rows, rows.reshape(len(full), blocks, BLOCK).max(axis=2, initial=0.0), prior=rate)
     # weights that bring the sample's labels back to their true rate
-    per = {1: rate / n[1] if n[1] else 0.0, 0: (1 - rate) / n[0] if n[0] else 0.0}
-    without = {c: n[c] - sum(1 for e in own if e[2] == c) for c in (0, 1)}
+    per = {1: rate / size[1] if size[1] else 0.0, 0: (1 - rate) / size[0] if size[0] else 0.0}
+    without = {c: size[c] - sum(1 for e in own if e[2] == c) for c in (0, 1)}
     mass = {c: per[c] * without[c] for c in (0, 1)}
     index.empty_score = (mass[1] + rate * 1e-3) / (mass[0] + mass[1] + 1e-3)
     if own:
@@ -261,19 +271,23 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Index:
-    """Fitted on at most per_class learnable documents of each label; a document labelled both ways counts as toxic."""
+    """Fitted on at most per_class learnable documents of each label; a document labelled both ways counts as toxic, one whose doc_id repeats has its least text."""
     spark = docs.sparkSession
     can = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learnable(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     rate = can.agg(F.avg("toxic")).first()[0] or 0.0
     chosen = [r for c in (0, 1) for r in can.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id", "toxic").collect()]
     picked = F.broadcast(spark.createDataFrame(chosen, "doc_id long, toxic int"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = text.join(picked, "doc_id").select("doc_id", "toxic", "text").mapInArrow(_counts, "doc_id long, toxic int, terms binary").collect()
-    examples = []
-    for r in sorted(rows, key=lambda r: (r.doc_id, bytes(r.terms))):
-        pairs = (x.rsplit(b" ", 1) for x in bytes(r.terms).split(b"\n") if x)
-        examples.append((r.doc_id, r.toxic, Counter({t: int(c) for t, c in pairs})))
-    return build(examples, rate)
+    # one row of each chosen document: the least text where its doc_id repeats
+    one = text.join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = one.mapInArrow(lean(_counts), "doc_id long, toxic int, terms binary").collect()
+    rows.sort(key=lambda r: r.doc_id)
+
+    def counted(packed: bytes) -> dict[bytes, int]:
+        pairs = (x.rsplit(b" ", 1) for x in packed.split(b"\n") if x)
+        return {t: int(c) for t, c in pairs}
+
+    return build(((r.doc_id, r.toxic, counted(bytes(r.terms))) for r in rows), rate)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -305,4 +319,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, car
     source = docs.select("doc_id", *more, F.col("text").cast("string").alias("text"), (~learnable(F.col("doc_id"))).alias("held_out"))
     order = [f for f in source.schema.fields if f.name != "text" or "text" in carry]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in order), "score double, predicted int, evidence array<struct<doc_id: bigint, toxic: int, cosine: double>>"])
-    return source.mapInArrow(rows, schema)
+    return source.mapInArrow(lean(rows), schema)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threshmill.llm.common import lean_group
+
 LEAF = 128
 SHARD = 8192
 BLOCK = 8192
@@ -146,7 +148,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         at = np.array(row, np.int64)
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(own_ids[at], pa.int64()), "h": pa.array(own_marks[at], pa.int64()), "copies": pa.array(own_copies[at], pa.int64()), "score": pa.array(s, pa.float64())})
 
-    found = shards.unionByName(asked).groupBy("dim", "shard", "block").applyInArrow(search, "query_id long, vec_id long, h long, copies long, score double")
+    found = shards.unionByName(asked).groupBy("dim", "shard", "block").applyInArrow(lean_group(search), "query_id long, vec_id long, h long, copies long, score double")
     merged = found.groupBy("query_id", "vec_id", "h").agg(F.max("score").alias("score"), F.first("copies").alias("copies"))
     each = merged.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k)))))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
