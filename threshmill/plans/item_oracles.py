@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from threshmill.plans.oracles import COLLAPSE, HOSTS, ITEMS, RESPONSES, WORDS, q
+from threshmill.plans.oracles import ORACLE_SQL as OTHERS_SQL
 
 LETTER = "substr('ABCD', (doc_id % 4 + 1)::INT, 1)"
 OWN = f"CASE {LETTER} WHEN 'A' THEN doc_id % 4 = 0 WHEN 'B' THEN doc_id % 6 = 0 WHEN 'C' THEN doc_id % 10 = 0 ELSE doc_id % 14 = 0 END"
@@ -34,6 +35,8 @@ GIVEAWAY_PATTERNS = (
     r"\b(?:pretend|fake|falsify|fabricate)\b",
 )
 
+SHARE_GATE = OTHERS_SQL["share_gate"]
+
 ORACLE_SQL: dict[str, str] = {
     "verdict_normalisation": f"WITH {VERDICT} SELECT * EXCLUDE (quality) FROM v",
     "verdict_gates": f"SELECT doc_id, {ELIMINABLE_OK} AS eliminable_ok, {SPECIFIC_OK} AS specific_ok FROM labels",
@@ -152,4 +155,9 @@ ORACLE_SQL: dict[str, str] = {
       two AS (SELECT b.* FROM b JOIN one ON b.g = one.g AND b.r > one.r AND len(list_intersect(b.t, one.t)) / len(list_distinct(list_concat(b.t, one.t))) < 0.55 QUALIFY row_number() OVER (PARTITION BY b.g ORDER BY b.r) = 1),
       three AS (SELECT b.* FROM b JOIN one ON b.g = one.g JOIN two ON b.g = two.g AND b.r > two.r AND len(list_intersect(b.t, one.t)) / len(list_distinct(list_concat(b.t, one.t))) < 0.55 AND len(list_intersect(b.t, two.t)) / len(list_distinct(list_concat(b.t, two.t))) < 0.55 QUALIFY row_number() OVER (PARTITION BY b.g ORDER BY b.r) = 1)
       SELECT g, item_id FROM one UNION ALL SELECT g, item_id FROM two UNION ALL SELECT g, item_id FROM three""",
+    "called_providers": "SELECT page_id, length(url)::VARCHAR AS answer FROM pages",
+    "streamed_log": "SELECT doc_id, quality, toxic FROM labels",
+    "streamed_checkpoints": "SELECT DISTINCT o_custkey, 1 AS n FROM orders",
+    "streamed_gate": SHARE_GATE,
+    "error_alarms": "WITH e AS (SELECT date_trunc('hour', ts) - INTERVAL (i) HOUR AS start, user_id FROM events, range(3) t(i) WHERE contains(event_type, 'error')) SELECT start, count(DISTINCT user_id) AS n FROM e GROUP BY start HAVING count(DISTINCT user_id) > 5",
 }

@@ -14,6 +14,7 @@ from threshmill.operators import metrics, select, sourcing, verdicts
 from threshmill.plans.queries import hosts, items, query, read, responses
 from threshmill.shared import shared_dir
 from threshmill.sources import io, pdf, providers, sheets
+from threshmill.streaming import streams
 
 LETTER = "substring('ABCD', CAST(doc_id % 4 + 1 AS INT), 1)"
 
@@ -432,7 +433,7 @@ def split_sink(spark, d):
 
 @query
 def checkpoints(spark, d):
-    """[K6, R3] The newest complete checkpoint of two."""
+    """[K6] The newest complete checkpoint of two."""
     at, x = folder(spark), read(spark, d, "labels").select("doc_id", "quality")
     io.write_checkpoint(x.where("doc_id % 2 = 0"), at, 1)
     io.write_checkpoint(x, at, 2)
@@ -493,3 +494,54 @@ def open_access_works(spark, d):
     works = p.select(F.concat(F.lit("10.1/"), F.col("p_partkey").cast("string")).alias("doi"), F.col("p_partkey").alias("rank"))
     places = p.where("p_partkey % 3 <> 0").select(F.concat(F.lit("10.1/"), F.col("p_partkey").cast("string")).alias("doi"), F.expr("CASE WHEN p_partkey % 2 = 0 THEN 'pdf' || p_partkey ELSE '' END").alias("url_for_pdf"), F.expr("CASE WHEN p_partkey % 5 <> 0 THEN 'page' || p_partkey END").alias("url"))
     return providers.open_access(works, places, 20)
+
+
+@query
+def called_providers(spark, d):
+    """[S11, R5] Requests answered by the first of three keys that isn't used up."""
+    def refuses(texts: list[str]) -> list[str]:
+        raise providers.Refused(429)
+
+    def fails(texts: list[str]) -> list[str]:
+        raise TimeoutError
+
+    p = read(spark, d, "pages").select("page_id", F.col("url").alias("text"), providers.request_key(F.col("url")).alias("key"))
+    got = providers.Called((refuses, fails, lambda texts: [str(len(t)) for t in texts])).ask(p)
+    return got.select("page_id", "answer")
+
+
+# streams
+
+
+@query
+def streamed_log(spark, d):
+    """[R1] Labels appended to a log, read as a stream."""
+    at = folder(spark)
+    io.append_jsonl(read(spark, d, "labels"), f"{at}/in")
+    return streams.run_to_table(streams.read_log(spark, f"{at}/in", "doc_id long, quality long, toxic long"), f"{at}/out", f"{at}/checkpoint")
+
+
+@query
+def streamed_checkpoints(spark, d):
+    """[R3] The last row of each key over the batches of a stream."""
+    at = folder(spark)
+    read(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority").repartition(12).write.json(f"{at}/in")
+    log = streams.read_log(spark, f"{at}/in", "o_custkey long, o_orderkey long, o_orderpriority string", 4)
+    streams.run_batches(log, streams.merge_into(f"{at}/out", "o_custkey", "o_orderkey"), f"{at}/checkpoint")
+    return streams.merged(spark, f"{at}/out", "o_custkey", "o_orderkey").groupBy("o_custkey").agg(F.count("*").alias("n"))
+
+
+@query
+def streamed_gate(spark, d):
+    """[R4, G1] The share gate with state, over a stream of the pages."""
+    at = folder(spark)
+    h = hosts(spark, d).select(F.concat((F.col("page_id") % 6 * 6 + 17).cast("string"), F.lit("-0000")).alias("soc"), F.when(F.col("page_id") % 4 == 0, "www2.cdc.gov").when(F.col("page_id") % 9 == 0, "bls.gov").otherwise(F.col("host")).alias("domain"), "page_id")
+    h.coalesce(1).write.json(f"{at}/in")
+    return streams.run_to_table(streams.gated(streams.read_log(spark, f"{at}/in", "soc string, domain string, page_id long"), "soc", "domain", "page_id"), f"{at}/out", f"{at}/checkpoint")
+
+
+@query
+def error_alarms(spark, d):
+    """[R2] Three-hour windows, a new one each hour, in which more than five users had errors."""
+    e = read(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("event_type").alias("message"))
+    return streams.error_alarm(e, "ts", "user_id", "error", "3 hours", "1 hour", 5)

@@ -7,8 +7,9 @@ before and after a provider is plain Spark, so queries run without a network.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,32 +32,57 @@ class Recorded:
         return requests.join(known.withColumnRenamed("key", key), key, "left")
 
 
+#: Statuses that say that a key is used up or refused.
+SPENT = (400, 401, 402, 403, 429)
+
+
+class Refused(Exception):
+    """A provider's answer with a status of its own."""
+
+    def __init__(self, status: int) -> None:
+        super().__init__(status)
+        self.status = status
+
+
+_exhausted: dict[str, set[int]] = {}
+
+
+def exhausted(name: str) -> set[int]:
+    """The places of a provider list that are used up, for as long as this process lives."""
+    return _exhausted.setdefault(name, set())
+
+
 @dataclass
 class Called:
-    """A function from request texts to answers, with tries; an exhausted provider gives way to the next."""
+    """Functions from request texts to answers, one for each key. A refusing or failing one gives way to the next; what is used up stays so in its process."""
 
     functions: tuple[Callable[[list[str]], list[str | None]], ...]
     tries: int = 3
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def ask(self, requests: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
-        functions, tries = self.functions, self.tries
+        """Each request with its answer, null if no provider gives one. Equal requests are asked once."""
+        functions, tries, name = self.functions, self.tries, self.name
+
+        def answers(texts: list[str]) -> list[str | None]:
+            spent = exhausted(name)
+            for i, f in enumerate(functions):
+                if i in spent:
+                    continue
+                for _ in range(tries):
+                    try:
+                        return f(texts)
+                    except Refused as e:
+                        if e.status in SPENT:
+                            break
+                    except (OSError, TimeoutError):
+                        pass
+                spent.add(i)
+            return [None] * len(texts)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            spent = 0  # providers that failed for good in this task
             for batch in batches:
-                answers: list[str | None] = [None] * len(batch)
-                while spent < len(functions):
-                    for _ in range(tries):
-                        try:
-                            answers = functions[spent](batch[text].tolist())
-                            break
-                        except (OSError, TimeoutError):
-                            continue
-                    else:
-                        spent += 1
-                        continue
-                    break
-                yield pd.DataFrame({key: batch[key], "answer": answers})
+                yield pd.DataFrame({key: batch[key], "answer": answers(batch[text].tolist())}, dtype=object)
 
         once = requests.select(key, text).distinct()
         return requests.join(once.mapInPandas(run, f"`{key}` string, answer string"), key, "left")

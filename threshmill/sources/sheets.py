@@ -94,8 +94,8 @@ def read_sheets(files: DataFrame, name: str, content: str, columns: list[str], h
                 head = [str(x).strip() if x is not None else "" for x in rows[header]] if len(rows) > header else []
                 place = {c: head.index(c) for c in columns if c in head}
                 body = rows[header + 1 :]
-                out = {c: [r[place[c]] if c in place and place[c] < len(r) else None for r in body] for c in columns}
-                yield pd.DataFrame({"file": [at] * len(body), "row_number": range(1, len(body) + 1), **out})
+                out = {c: pd.Series([r[place[c]] if c in place and place[c] < len(r) else None for r in body], dtype=object) for c in columns}
+                yield pd.DataFrame({"file": pd.Series([at] * len(body), dtype=object), "row_number": pd.Series(range(1, len(body) + 1), dtype="int64"), **out})
 
     fields = ", ".join(f"`{c}` string" for c in columns)
     return files.selectExpr(f"`{name}` AS name", f"`{content}` AS content").mapInPandas(run, f"file string, row_number long, {fields}")

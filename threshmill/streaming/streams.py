@@ -30,7 +30,7 @@ def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes", late
 def error_alarm(logs: DataFrame, ts: str, source: str, mark: str, size: str = "3 minutes", slide: str = "1 minute", least: int = 5) -> DataFrame:
     """R2: windows in which more than `least` sources logged the mark."""
     hits = logs.where(F.col("message").contains(mark)).withWatermark(ts, "1 minute")
-    return hits.groupBy(F.window(ts, size, slide).alias("w")).agg(F.approx_count_distinct(source).alias("n")).where(F.col("n") > least).select(F.col("w.start").alias("start"), "n")
+    return hits.groupBy(F.window(ts, size, slide).alias("w")).agg(F.size(F.collect_set(source)).alias("n")).where(F.col("n") > least).select(F.col("w.start").alias("start"), "n")
 
 
 def gated(items: DataFrame, key: str, domain: str, seq: str) -> DataFrame:
@@ -71,3 +71,15 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """All available input into files, then read: each row once, however often the run is restarted."""
+    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def run_batches(stream: DataFrame, write, checkpoint: str) -> None:
+    """All available input through a foreachBatch sink."""
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
