@@ -89,6 +89,19 @@ def test_media_round_trip(edge):
         assert r.media_sha256 == hashlib.sha256(bytes(r.media)).hexdigest() and r.media_bytes == len(r.media)
 
 
+def test_media_on_a_table(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()}
+    got = queries.op1_matroska_media(spark, SMALL).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    for r in got:
+        raw = docs[r.doc_id].encode()
+        payload = raw + b"\0" * (64 if not raw else -len(raw) % 64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert sum(p["size"] for p in r.packets) == len(payload) and [p.timestamp_ns for p in r.packets] == sorted(p.timestamp_ns for p in r.packets)
+        data = matroska.write(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(data), hashlib.sha256(data).hexdigest())
+
+
 @pytest.mark.parametrize("n", [1, 63, 64, 1024, 1025, 9000, 32768, 100_003])
 def test_matroska_packets(n):
     raw = random.Random(n).randbytes(n)
@@ -129,6 +142,30 @@ def test_near_components_equal_brute_force(spark, classes, widest, hot):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+@pytest.mark.parametrize("hot", [2048, 100])
+def test_near_components_of_many_equal_rows(spark, hot):
+    one = prose(60, 1)
+    same = spark.range(4000).select((F.col("id") + 10).alias("doc_id"), F.lit(one).alias("text")).unionByName(spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(" ").alias("text"))).unionByName(spark.range(1000).select(F.lit(5).cast("long").alias("doc_id"), F.lit(one + " more").alias("text")))
+    rows = ngram_jaccard_join(same.repartition(4), hot_least=hot).collect()
+    assert len(rows) == 8000
+    assert {(r.n_shingles, r.component_id) for r in rows if r.n_shingles} == {(56, 5), (57, 5)}
+    assert {(r.doc_id, r.component_id) for r in rows if not r.n_shingles} == {(None, None)}
+
+
+def test_components_of_random_links(spark):
+    from threshmill.llm.components import components
+
+    r = random.Random(4)
+    links = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(500, 501), (501, 500), (7, 7)] + [(1000 + i, 1001 + i) for i in range(60)]
+    least = {x: x for pair in links for x in pair}
+    for _ in range(300):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    want = {k: v for k, v in least.items() if any(k in pair for pair in links if pair[0] != pair[1])}
+    assert {x.key: x.label for x in components(spark.createDataFrame(links, "a long, b long")).collect()} == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_near_components_on_a_table(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     want = brute.near_components([tuple(r) for r in docs.select("doc_id", "text").collect()])
@@ -422,6 +459,20 @@ def test_demand_inverse(spark, knots):
         source_mix.segments([(0, 1), (0.5, 1)])
 
 
+def test_mix_on_a_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "source").collect()]
+    sizes, goal, _ = mix_by_brute_force([(d, " ".join(brute.WORD.findall(t or "")), s) for d, t, s in rows])
+    source = {d: s for d, _, s in rows}
+    words = {d: len(brute.WORD.findall(t or "")) for d, t, _ in rows}
+    got = queries.op5_source_mix(spark, SMALL).collect()
+    taken = dict.fromkeys(sizes, 0)
+    for r in got:
+        s = source[r.doc_id]
+        taken[s] += r.taken
+        assert (r["size"], r.source_size) == (words[r.doc_id], sizes[s]) and abs(r.target - float(goal[s])) < 1e-6 and r.taken <= 3 * r["size"]
+    assert len(got) == len(rows) and all(abs(taken[s] - float(goal[s])) <= max((words[d] for d in words if source[d] == s), default=0) for s in sizes)
+
+
 def mix_by_brute_force(rows, schedules=source_mix.SCHEDULES):
     """Each source's reads in order of an own hash: the taken words and positions of each document, read by read."""
     sizes = {}
@@ -473,6 +524,16 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
 
 
+def test_toxicity_equals_brute_force_on_a_table(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    learn = {d: t for d, t in marks.items() if zlib.crc32(str(d).encode()) % 5}
+    want = brute.toxicity_scores([(d, learn[d], t) for d, t in docs if d in learn], [t for _, t in docs], sum(learn.values()) / len(learn))
+    got = {r.doc_id: r for r in queries.op6_toxicity(spark, SMALL).collect()}
+    assert len(got) == len(docs)
+    assert max(abs(got[d].score - w) for (d, _), w in zip(docs, want, strict=True)) < 1e-6
+
+
 def test_block_max_search_is_exact():
     from collections import Counter
 
@@ -514,6 +575,33 @@ def test_toxicity_of_rare_words():
         assert score >= 0.5 and [bool(index.labels[e]) for _, e in near] == [True] * 4
 
 
+def test_language_equals_brute_force_on_a_table(spark):
+    from threshmill.llm.language_id import train
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = train(docs)
+    got = {r.doc_id: r for r in queries.op7_language_id(spark, SMALL).collect()}
+    rows = docs.select("doc_id", "text", "lang").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        lang, score = brute.language(model, r.text)
+        assert got[r.doc_id].lang_pred == lang and abs(got[r.doc_id].score - score) < 1e-4, r.doc_id
+    held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == 2 and r.lang is not None and got[r.doc_id].lang_pred != "und"]
+    assert {r.doc_id for r in rows if got[r.doc_id].held_out} == {r.doc_id for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
+    assert np.mean([got[r.doc_id].lang_pred == r.lang for r in held]) > 0.95
+
+
+def test_language_folds_every_script(spark):
+    from threshmill.llm.language_id import language_id as identify
+
+    texts = ["\u00c9T\u00c9 \u00dcBER \u0416\u0423\u041a", "\u00e9t\u00e9 \u00fcber \u0436\u0443\u043a", "zebra quiz"]
+    rows = [(i, texts[i % 3], "x" if i % 3 < 2 else "y") for i in range(60)] + [(100, texts[0], None), (101, texts[1], None)]
+    # one doc_id stands often
+    rows += [(0, f"{texts[0]} {i}", "x") for i in range(300)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect() if r.doc_id >= 100}
+    assert got[100] == got[101] and got[100][0] == "x"
+
+
 def test_language_held_out(spark):
     r = random.Random(4)
     alphabets = {"aa": "abcdeilmno", "bb": "uvwxyzkßöä", "cc": "éèçouraint"}

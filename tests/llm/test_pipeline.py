@@ -42,6 +42,26 @@ def test_repeated_null_and_empty_rows(spark):
         stage(spark, docs, SMALL).count()
 
 
+def test_columns_of_clashing_names(spark):
+    rows = [(i, f"{'a b c d e f g ' * 6} {i // 2}", "en", "st"[i % 2], 9) for i in range(40)] + [(None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clashing = docs
+    for c in ("row_key", "pass", "position", "positions", "key", "n", "size", "path", "spans", "row", "own_id", "component_id", "h", "score", "held_out"):
+        clashing = clashing.withColumn(c, F.lit("clash"))
+    for _, stage in p.STAGES:
+        one, two = stage(spark, docs, SMALL), stage(spark, clashing, SMALL)
+        assert one.columns == two.columns and sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+
+
+def test_equal_rows_are_all_mixed(spark):
+    rows = [(None, "one two three", "en", "s", 13)] * 50 + [(1, "four five", "en", "t", 9), (2, "six", "en", None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    # all 153 words: s takes 25.5 and 25.5 more that the others leave, t 6 and the null source 3 at most
+    plan = p.mix_sources(docs).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect()
+    got = p.mix_by_weight(spark, docs, SMALL).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in got} == {r.doc_id: r.n for r in plan if r.n}
+
+
 def test_repeated_ids_of_unlike_texts(spark):
     a, b, c = ("".join(f" {x}{i}" for i in range(40)) for x in "abc")
     rows = [(1, a), (1, b), (2, c), (2, a + " more"), (3, b), (4, c), (4, c), (None, a)]
