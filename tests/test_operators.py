@@ -217,3 +217,17 @@ def test_quality_and_agreement(spark):
     df = spark.createDataFrame([("A", True, {}), ("A", True, {"B": "AGREES", "C": "AGREES"}), ("A", True, {"B": "AGREES", "C": "CONTRADICTS"}), ("A", True, {"B": "UNCLEAR"}), ("E", True, {"B": "CONTRADICTS"}), ("B", False, {})], "c string, d boolean, m map<string,string>")
     decision, answer = metrics.agreement(F.col("c"), F.col("d"), F.col("m"))
     assert [tuple(r) for r in df.select(decision, answer).collect()] == [("keep", "A"), ("relabel", "E"), ("drop", "A"), ("drop", "A"), ("drop", "E"), ("drop", "B")]
+
+
+def test_twister_shuffle(spark):
+    import hashlib
+
+    seeds = ["", "a", "evidence-17|q", "\u00e9"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(seeds)], "i int, s string")
+    options = F.create_map(*[F.lit(x) for k in "ABCD" for x in (k, k.lower())])
+    got = df.orderBy("i").select(lint.reordered(options, lint.twister_letters(F.col("s")), F.lit("B")).alias("r")).collect()
+    for seed, row in zip(seeds, got, strict=True):
+        order = list("ABCD")
+        random.Random(int(hashlib.sha1(seed.encode()).hexdigest()[:8], 16)).shuffle(order)
+        assert row.r.options == {new: old.lower() for new, old in zip("ABCD", order, strict=True)}
+        assert row.r.correct == "ABCD"[order.index("B")]

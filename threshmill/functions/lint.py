@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from threshmill.functions.text import collapse, word_count
 
@@ -154,6 +159,26 @@ def shuffled_letters(seed: Column) -> Column:
     return F.transform(F.array_sort(F.array(*[F.struct(F.sha1(F.concat_ws("|", seed, F.lit(x)).cast("binary")).alias("h"), F.lit(x).alias("x")) for x in LETTERS])), lambda s: s["x"])
 
 
+@F.pandas_udf(StringType())
+def twister_letters(seed: pd.Series) -> pd.Series:
+    """The old letters in the order of the new ones, by the standard library's shuffle seeded with eight hex digits of the seed's SHA-1; in Arrow batches, as no expression has that generator."""
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        order = list(LETTERS)
+        random.Random(int(hashlib.sha1(text.encode()).hexdigest()[:8], 16)).shuffle(order)
+        return "".join(order)
+
+    return seed.map(one)
+
+
+def reordered(options: Column, order: Column, correct: Column) -> Column:
+    """Options and correct letter after a shuffle: struct of options and correct."""
+    old = lambda i: F.substring(order, i + 1, 1)
+    moved = F.map_from_arrays(F.array(*map(F.lit, LETTERS)), F.array(*[F.try_element_at(options, old(i)) for i in range(4)]))
+    return F.struct(moved.alias("options"), F.coalesce(*[F.when(old(i) == correct, F.lit(x)) for i, x in enumerate(LETTERS)], correct).alias("correct"))
+
+
 def rendered(options: Column, between: str = "\n") -> Column:
     """The options as `k) v` in order of their keys."""
     return F.array_join(F.transform(F.array_sort(F.map_entries(options)), lambda e: F.concat(e["key"], F.lit(") "), e["value"])), between)

@@ -130,3 +130,8 @@ def ordered_text(df: DataFrame, group: str, text: str, order: Sequence[str], mos
 def kept_share(df: DataFrame, group: str, kept: Column) -> DataFrame:
     """Kept and all rows of each group with their ratio."""
     return df.groupBy(group).agg(F.count_if(kept).alias("kept"), F.count("*").alias("n")).withColumn("ratio", F.col("kept") / F.col("n"))
+
+
+def status_mix(df: DataFrame, platform: Column, status: Column) -> DataFrame:
+    """Rows of each status, in all (platform null) and on each platform; one pass of sums for both."""
+    return df.select(platform.alias("platform"), status.alias("status")).groupingSets([["status"], ["platform", "status"]], "platform", "status").agg(F.count("*").alias("n"))

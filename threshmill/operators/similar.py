@@ -11,6 +11,10 @@ from threshmill.functions.urls import suffixes
 from threshmill.shared import cut, discard
 
 
+#: Rows of (number, number, hash) that may be broadcast: 24 MB.
+MOST_BROADCAST = 1_000_000
+
+
 def similar_pairs(df: DataFrame, group: str, key: str, tokens: str, least: float) -> DataFrame:
     """Pairs (a < b) of one group whose token sets have a Jaccard of at least `least`, exactly.
 
@@ -130,6 +134,9 @@ def contaminated(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame,
     quote = whole.select("__i", F.substring("f", 1, chars).alias("q")).withColumn("w", F.split("q", " ")).withColumn("n", F.least(F.size("w") - 2, F.lit(words)))
     # the first and last words of a cut quote may be parts of words, so the anchor lies between them
     anchor = quote.where("n > 0").select("__i", "n", F.xxhash64(F.array_join(F.expr("slice(w, 2, n)"), " ")).alias("h"))
+    if anchor.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        # then the documents' runs never leave their tasks, but for the few that an item has
+        anchor = F.broadcast(anchor)
     lengths = [r.n for r in anchor.select("n").distinct().collect()]  # `words` different lengths at most
     body = docs.select(F.col(doc_key).alias("__d"), normal_form(F.col(doc_text)).alias("t"))
     split = body.withColumn("w", F.split("t", " "))

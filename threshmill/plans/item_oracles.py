@@ -160,4 +160,12 @@ ORACLE_SQL: dict[str, str] = {
     "streamed_checkpoints": "SELECT DISTINCT o_custkey, 1 AS n FROM orders",
     "streamed_gate": SHARE_GATE,
     "error_alarms": "WITH e AS (SELECT date_trunc('hour', ts) - INTERVAL (i) HOUR AS start, user_id FROM events, range(3) t(i) WHERE contains(event_type, 'error')) SELECT start, count(DISTINCT user_id) AS n FROM e GROUP BY start HAVING count(DISTINCT user_id) > 5",
+    "fetch_budget_exit": """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+      r AS (SELECT user_id, event_id, CASE WHEN n > 10 THEN (n - 11) // 5 END AS r, coalesce(sum((event_type = 'purchase')::INT) OVER w, 0) AS a, coalesce(sum((event_type = 'error')::INT) OVER w, 0) AS f, coalesce(sum((coalesce(value, 0) < 60)::INT) OVER w, 0) AS u
+        FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      s AS (SELECT *, CASE WHEN r IS NULL THEN u ELSE min(u) OVER (PARTITION BY user_id, r) END AS seen FROM r)
+      SELECT event_id FROM s WHERE a < 3 AND f < 5 AND seen < 4""",
+    "platform_mix": """WITH p AS (SELECT page_id, CASE WHEN page_id % 5 = 0 OR contains(url, 'reddit.com') AND page_id % 5 > 1 THEN 'reddit' WHEN page_id % 5 = 1 OR regexp_matches(url, '(stackexchange|stackoverflow|serverfault|superuser|askubuntu)\\.com') THEN 'stackexchange' ELSE 'other' END AS platform FROM pages),
+      s AS (SELECT platform, CASE WHEN platform = 'other' THEN 'other' WHEN page_id % 11 = 0 THEN 'unknown' WHEN page_id % 9 < 5 OR page_id % 7 < 3 THEN 'no_consensus' ELSE 'consensus' END AS status FROM p)
+      SELECT platform, status, count(*) AS n FROM s GROUP BY GROUPING SETS ((status), (platform, status))""",
 }

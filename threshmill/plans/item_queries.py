@@ -5,12 +5,12 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from threshmill.functions import lint, text, urls
-from threshmill.operators import metrics, select, sourcing, verdicts
+from threshmill.operators import gate, metrics, select, sourcing, verdicts
 from threshmill.plans.queries import hosts, items, query, read, responses
 from threshmill.shared import shared_dir
 from threshmill.sources import io, pdf, providers, sheets
@@ -258,6 +258,16 @@ def title_wages(spark, d):
     return select.title_wage(s, "p_brand", "a", "h").select("p_brand", F.round("wage", 6).alias("wage"))
 
 
+@query
+def fetch_budget_exit(spark, d):
+    """[G4] Events of a user until three purchases, five errors or four low values; the last count only before a round of five begins."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    e = read(spark, d, "events").select("user_id", "event_id", "event_type", "value").withColumn("n", n)
+    low, kind = F.coalesce("value", F.lit(0.0)) < 60, F.col("event_type")
+    round_ = F.when(F.col("n") > 10, F.floor((F.col("n") - 11) / 5))
+    return gate.budgeted(e, "user_id", "event_id", kind == "purchase", kind == "error", 3, 5, low, 4, round_).select("event_id")
+
+
 # texts
 
 
@@ -317,6 +327,13 @@ def shuffled_options(spark, d):
     return read(spark, d, "labels").select("doc_id", F.array_join(lint.shuffled_letters(F.col("doc_id").cast("string")), "").alias("letters"))
 
 
+@query
+def twister_options(spark, d):
+    """[P33] Options and correct letters shuffled by a seeded generator."""
+    x = items(spark, d).withColumn("s", lint.reordered(F.col("options"), lint.twister_letters(F.col("conv_id").cast("string")), F.col("correct")))
+    return x.select("conv_id", "s.correct", F.md5(F.concat_ws("|", *[F.try_element_at("s.options", F.lit(k)) for k in "ABCD"]).cast("binary")).alias("options"))
+
+
 @query
 def format_kinds(spark, d):
     """Formats by content type, URL or first bytes."""
@@ -362,6 +379,14 @@ def kept_shares(spark, d):
     return metrics.kept_share(j, "lang", F.col("quality") == 1).select("lang", "kept", "n", F.round("ratio", 9).alias("ratio"))
 
 
+@query
+def platform_mix(spark, d):
+    """[A23, F24] Classes of pages' statuses, in all and by platform."""
+    p = read(spark, d, "pages").select("page_id", F.expr("CASE page_id % 5 WHEN 0 THEN 'https://reddit.com/r/a/' WHEN 1 THEN 'https://diy.stackexchange.com/' ELSE url END").alias("url"))
+    kind = urls.platform(F.col("url"))
+    return metrics.status_mix(p, kind, F.when(kind == "other", "other").otherwise(metrics.consensus(F.expr("CASE WHEN page_id % 11 <> 0 THEN page_id % 9 END"), F.col("page_id") % 7)))
+
+
 @query
 def preferred_union(spark, d):
     """[U2] Orders of one priority, and of the others the customers that it lacks."""
