@@ -142,6 +142,13 @@ def test_near_components_equal_brute_force(spark, classes, widest, hot):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+@pytest.mark.parametrize("hot", [2048, 2])
+def test_near_components_dealt_twice(spark, hot):
+    rows = [(100 + i, edit(prose(60, i % 5), i % 9, i)) for i in range(160)] + [(300 + i, prose(RNG.randint(1, 7), i % 4)) for i in range(30)] + [(1, prose(30_000, 7)), (2, edit(prose(30_000, 7), 200, 8)), (3, None)]
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot_share=0.02, hot_least=hot, first_buckets=8).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near_components(rows)
+
+
 @pytest.mark.parametrize("hot", [2048, 100])
 def test_near_components_of_many_equal_rows(spark, hot):
     one = prose(60, 1)
