@@ -242,7 +242,7 @@ def build(examples: Iterable[tuple[int, int, Mapping[bytes, int]]], rate: float)
     heavy = row[term] >= 0
     rows[row[term[heavy]], example[heavy]] = weight[heavy]
     vocabulary = {t: i for i, t in enumerate(ranked)}
-    index = Index(vocabulary, idf, [e[1] for e in own], np.array([e[2] for e in own], bool), blocks, first, cell % max(blocks, 1), most, np.append(start, len(weight)), example, weight, row, rows, rows.reshape(len(full), blocks, BLOCK).max(axis=2, initial=0.0), prior=rate)
+    index = Index(vocabulary, idf, [e[1] for e in own], np.array([e[2] for e in own], bool), blocks, first, (cell % max(blocks, 1)).astype(np.int32), most, np.append(start, len(weight)).astype(np.int32), example.astype(np.int32), weight, row, rows, rows.reshape(len(full), blocks, BLOCK).max(axis=2, initial=0.0), prior=rate)
     # weights that bring the sample's labels back to their true rate
     per = {1: rate / size[1] if size[1] else 0.0, 0: (1 - rate) / size[0] if size[0] else 0.0}
     without = {c: size[c] - sum(1 for e in own if e[2] == c) for c in (0, 1)}
