@@ -560,6 +560,10 @@ def test_block_max_search_is_exact():
         for b in range(blocks):
             for p in range(index.begin[term, b], index.begin[term, b + 1]):
                 dense[b * t.BLOCK + index.example[p], term] = index.weight[p]
+    import pickle
+
+    sent = pickle.loads(pickle.dumps(index))
+    assert list(sent.vocabulary) == list(index.vocabulary) and all(np.array_equal(getattr(sent, f), getattr(index, f)) for f in ("cell_block", "cell_most", "rows", "row_most", "weight"))
     texts = [random.Random(seed).choices([*words, b"mark", b"unknown"], k=30 if seed % 5 else 1) for seed in range(40)] + [[], [b"unknown"]]
     text, at, q = index.vectors(texts)
     for i, got in enumerate(index.nearest(texts, 7)):

@@ -18,6 +18,7 @@ whole text is scored. Labels, language, source and doc_id are never inputs.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
@@ -43,7 +44,7 @@ EVIDENCE = 3
 #: Words that begin alike are one term; the length was chosen by five-fold cross-validation on learnable documents.
 STEM = 8
 #: Texts that are searched for together.
-TEXTS = 64
+TEXTS = 32
 #: ASCII bytes that are neither letters nor digits become spaces.
 TERM_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 
@@ -69,17 +70,18 @@ class Index:
     labels: np.ndarray
     blocks: int
     first: np.ndarray  # of each term, its first cell, with the end
-    cell_block: np.ndarray
-    cell_most: np.ndarray  # largest weight
     cell_start: np.ndarray  # first posting, with the end
     posting: np.ndarray  # example
     weight: np.ndarray
     row: np.ndarray  # of each term, its full row or -1
-    rows: np.ndarray  # (row, example): weights of the frequent terms
-    row_most: np.ndarray  # (row, block): their largest weights
     knots: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
     empty_score: float = 0.0
     prior: float = 0.5
+    # what fill makes of the rest
+    cell_block: np.ndarray = field(init=False, repr=False)
+    cell_most: np.ndarray = field(init=False, repr=False)  # largest weight
+    rows: np.ndarray = field(init=False, repr=False)  # (row, example): weights of the frequent terms
+    row_most: np.ndarray = field(init=False, repr=False)  # (row, block): their largest weights
 
     @property
     def example(self) -> np.ndarray:
@@ -100,6 +102,29 @@ class Index:
         cells = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.first)) * self.blocks + self.cell_block
         return self.cell_start[np.searchsorted(cells, at)]
 
+    def __getstate__(self) -> dict:
+        """Without what follows from the rest: an index travels to every task."""
+        out = {k: v for k, v in self.__dict__.items() if k not in ("vocabulary", "cell_block", "cell_most", "rows", "row_most")}
+        return out | {"terms": zlib.compress(b"\n".join(self.vocabulary), 1)}
+
+    def __setstate__(self, state: dict) -> None:
+        names = zlib.decompress(state.pop("terms"))
+        self.__dict__ |= state
+        self.vocabulary = {t: i for i, t in enumerate(names.split(b"\n"))} if names else {}
+        self.fill()
+
+    def fill(self) -> None:
+        """Blocks and largest weights of the cells, full rows of the frequent terms and their largest weights by block."""
+        start = self.cell_start[:-1]
+        self.cell_block = self.posting[start] // BLOCK
+        self.cell_most = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
+        full = np.flatnonzero(self.row >= 0)
+        self.rows = np.zeros((len(full), self.blocks * BLOCK))
+        begin, end = self.cell_start[self.first[full]], self.cell_start[self.first[full + 1]]
+        for i, (a, b) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
+            self.rows[i, self.posting[a:b]] = self.weight[a:b]
+        self.row_most = self.rows.reshape(len(full), self.blocks, BLOCK).max(axis=2, initial=0.0)
+
     def vectors(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, weight) of the known terms of some texts; each text's weights have length one."""
         ids: list[int] = []
@@ -232,17 +257,12 @@ def build(examples: Iterable[tuple[int, int, Mapping[bytes, int]]], rate: float)
     term, example = term[order], example[order]
     weight = np.concatenate([e[4] for e in own] or [np.zeros(0)])[order]
     cell, start = np.unique(term * blocks + example // BLOCK, return_index=True)
-    most = np.maximum.reduceat(weight, start) if len(start) else np.zeros(0)
     first = np.searchsorted(cell, np.arange(len(ranked) + 1) * blocks)
-    df_of = np.bincount(term, minlength=len(ranked))
-    full = np.flatnonzero(df_of >= max(DENSE_SHARE * len(own), 1))
+    full = np.flatnonzero(np.bincount(term, minlength=len(ranked)) >= max(DENSE_SHARE * len(own), 1))
     row = np.full(len(ranked), -1)
     row[full] = np.arange(len(full))
-    rows = np.zeros((len(full), blocks * BLOCK))
-    heavy = row[term] >= 0
-    rows[row[term[heavy]], example[heavy]] = weight[heavy]
-    vocabulary = {t: i for i, t in enumerate(ranked)}
-    index = Index(vocabulary, idf, [e[1] for e in own], np.array([e[2] for e in own], bool), blocks, first, (cell % max(blocks, 1)).astype(np.int32), most, np.append(start, len(weight)).astype(np.int32), example.astype(np.int32), weight, row, rows, rows.reshape(len(full), blocks, BLOCK).max(axis=2, initial=0.0), prior=rate)
+    index = Index({t: i for i, t in enumerate(ranked)}, idf, [e[1] for e in own], np.array([e[2] for e in own], bool), blocks, first, np.append(start, len(weight)).astype(np.int32), example.astype(np.int32), weight, row, prior=rate)
+    index.fill()
     # weights that bring the sample's labels back to their true rate
     per = {1: rate / size[1] if size[1] else 0.0, 0: (1 - rate) / size[0] if size[0] else 0.0}
     without = {c: size[c] - sum(1 for e in own if e[2] == c) for c in (0, 1)}
