@@ -231,3 +231,22 @@ def test_twister_shuffle(spark):
         random.Random(int(hashlib.sha1(seed.encode()).hexdigest()[:8], 16)).shuffle(order)
         assert row.r.options == {new: old.lower() for new, old in zip("ABCD", order, strict=True)}
         assert row.r.correct == "ABCD"[order.index("B")]
+
+
+def test_locked_merge_is_the_fold(spark):
+    r = random.Random(9)
+    word = lambda: r.sample("abcdefgh", r.randint(0, 4))
+    locked = [(r.choice("pq"), f"u{r.randrange(30)}", i, word()) for i in range(8)]
+    new = [(r.choice("pqr"), f"u{r.randrange(40)}", r.randrange(3), 100 + i, word()) for i in range(90)]
+    want = []
+    for g in "pqr":
+        urls = {u for h, u, *_ in locked if h == g}
+        sets = [set(t) for h, _, _, t in locked if h == g]
+        for h, u, p, q, t in sorted(new, key=lambda x: (x[2], x[3])):
+            t = set(t)
+            if h == g and u not in urls and len(sets) < 9 and all(not t or not s or len(t & s) / len(t | s) < 0.6 for s in sets):
+                urls.add(u)
+                sets.append(t)
+                want.append((g, u, q))
+    got = similar.merge_with_locked(spark.createDataFrame(locked, "g string, u string, q long, t array<string>"), spark.createDataFrame(new, "g string, u string, p int, q long, t array<string>"), "g", "u", "p", "q", "t", 9)
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -41,16 +43,36 @@ class ShareGate:
         return True
 
 
-def share_gate(df: DataFrame, key: str, domain: str, seq: str) -> DataFrame:
-    """G1: each row with accepted, in order of seq within its key. Each decision depends on the accepted rows before it, so a key is one fold; only key, domain and seq travel."""
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(seq)
-        gate = ShareGate(str(part[key].iloc[0])[:2])
-        part["accepted"] = [gate.accept(d) for d in part[domain]]
-        return part[[key, seq, "accepted"]]
+def folded(df: DataFrame, key: str, order: Sequence[str], start: Callable[[Any], Any], step: Callable[[Any, tuple], tuple | None], schema: str) -> DataFrame:
+    """Rows of each key in order, read one after the other with a state of the key: what step returns of each row, where it returns anything.
+
+    A key is one task's, as each decision depends on the ones before it, but its
+    rows are sorted by Spark and pass in batches: only the state is held.
+    """
+    names = [x.strip().split(" ")[0].strip("`") for x in schema.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = object(), None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                own = None if row[0] is None or row[0] != row[0] else row[0]
+                if own != now:
+                    now, state = own, start(own)
+                got = step(state, row)
+                if got is not None:
+                    out.append(got)
+            yield pd.DataFrame({n: pd.Series([x[i] for x in out], dtype=object) for i, n in enumerate(names)})
 
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
+def share_gate(df: DataFrame, key: str, domain: str, seq: str) -> DataFrame:
+    """G1: each row with accepted, in order of seq within its key. Only key, domain and seq travel; a key's state is a count for each domain."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.select(key, domain, seq).groupBy(key).applyInPandas(fold, f"`{key}` {kinds[key]}, `{seq}` {kinds[seq]}, accepted boolean")
+    start = lambda k: ShareGate(str(k)[:2])
+    step = lambda gate, row: (row[0], row[2], gate.accept(row[1]))
+    return folded(df.select(key, domain, seq), key, [seq], start, step, f"`{key}` {kinds[key]}, `{seq}` {kinds[seq]}, accepted boolean")
 
 
 def budgeted(df: DataFrame, key: str, seq: str, accepted: Column, failed: Column, target: int, failures: int, unfetched: Column | None = None, fetches: int | None = None, topical: Column | None = None) -> DataFrame:

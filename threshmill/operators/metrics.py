@@ -52,8 +52,9 @@ def frequency_map(df: DataFrame, group: str, key: Column) -> DataFrame:
 
 
 def shares(df: DataFrame, key: str) -> DataFrame:
-    """Count and percent of all of each key."""
-    return df.groupBy(key).agg(F.count("*").alias("n")).withColumn("percent", 100 * F.col("n") / F.sum("n").over(Window.partitionBy()))
+    """Count and percent of all of each key; the total is one row that every task gets."""
+    per = df.groupBy(key).agg(F.count("*").alias("n"))
+    return per.crossJoin(F.broadcast(df.agg(F.count("*").alias("__total")))).withColumn("percent", 100 * F.col("n") / F.col("__total")).drop("__total")
 
 
 def leaderboard(df: DataFrame, by: str, right: Column, error: Column, numbers: Sequence[str]) -> DataFrame:

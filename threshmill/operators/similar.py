@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threshmill.functions.text import normal_form
 from threshmill.functions.urls import suffixes
+from threshmill.operators.gate import folded
 from threshmill.shared import cut, discard
 
 
@@ -65,46 +65,46 @@ def greedy_keep(df: DataFrame, group: str, key: str, tokens: str, least: float)
 
 
 def greedy_select(df: DataFrame, group: str, order: str, key: str, tokens: str, cap: int, most: float) -> DataFrame:
-    """In each group in order, up to cap rows, each with a Jaccard below `most` to all chosen ones; rows without tokens are skipped. A group's candidates are a bounded list of titles."""
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        chosen: list[set] = []
-        keep: list[int] = []
-        for i, words in enumerate(part.sort_values([order, key])[tokens]):
-            s = set(words if words is not None else ())
-            if len(keep) >= cap:
-                break
-            if s and all(len(s & c) / len(s | c) < most for c in chosen):
-                chosen.append(s)
-                keep.append(i)
-        return part.sort_values([order, key]).iloc[keep][[group, key]]
+    """In each group in order, up to cap rows, each with a Jaccard below `most` to all chosen ones; rows without tokens are skipped. A group's rows pass in order; only the chosen sets are held."""
+    def step(chosen: list[set], row: tuple) -> tuple | None:
+        words = set(row[3] if row[3] is not None else ())
+        if len(chosen) >= cap or not words or any(len(words & c) / len(words | c) >= most for c in chosen):
+            return None
+        chosen.append(words)
+        return row[0], row[2]
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.select(group, key, order, tokens).groupBy(group).applyInPandas(fold, f"`{group}` {kinds[group]}, `{key}` {kinds[key]}")
+    return folded(df.select(group, order, key, tokens), group, [order, key], lambda k: [], step, f"`{group}` {kinds[group]}, `{key}` {kinds[key]}")
 
 
 def merge_with_locked(locked: DataFrame, new: DataFrame, group: str, url: str, priority: str, seq: str, tokens: str, cap: int, most: float = 0.6) -> DataFrame:
-    """New rows of a group by priority and seq, up to cap with the locked ones; none with a known url, none similar to a row that is in."""
-    rows = locked.select(group, url, F.lit(-1).alias("p"), F.col(seq).alias("s"), tokens).unionByName(new.select(group, url, F.col(priority).cast("int").alias("p"), F.col(seq).alias("s"), tokens))
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["p", "s"])
-        urls: set = set()
-        sets: list[set] = []
-        keep: list[int] = []
-        n = 0
-        for i, r in enumerate(part.itertuples(index=False)):
-            words = set(getattr(r, tokens) if getattr(r, tokens) is not None else ())
-            fresh = getattr(r, url) not in urls and n < cap and all(not words or not s or len(words & s) / len(words | s) < most for s in sets)
-            if r.p < 0 or fresh:
-                n += 1
-                urls.add(getattr(r, url))
-                sets.append(words)
-                if r.p >= 0:
-                    keep.append(i)
-        return part.iloc[keep][[group, url, "s"]].rename(columns={"s": seq})
+    """New rows of a group by priority and seq, up to cap with the locked ones; none with a known url, none similar to a row that is in.
+
+    New rows with the URL of a locked one go by a join. The others pass in order
+    after the locked rows; the URLs that were taken and the sets of what is in
+    are held, and none once a group is full.
+    """
+    fresh = new.join(locked.select(group, url).distinct(), [group, url], "left_anti")
+    columns = lambda df, p: df.select(group, url, p.alias("__p"), F.col(seq).alias("__s"), F.col(tokens).alias("__t"))
+    rows = columns(locked, F.lit(-1)).unionByName(columns(fresh, F.col(priority).cast("int")))
+
+    def step(state: dict, row: tuple) -> tuple | None:
+        is_new = row[2] >= 0
+        if is_new and state["n"] >= cap:
+            state["sets"], state["urls"] = [], set()
+            return None
+        words = set(row[4] if row[4] is not None else ())
+        if is_new and (row[1] in state["urls"] or any(words and s and len(words & s) / len(words | s) >= most for s in state["sets"])):
+            return None
+        state["n"] += 1
+        if state["n"] < cap:
+            state["sets"].append(words)
+        if is_new:
+            state["urls"].add(row[1])
+        return (row[0], row[1], row[3]) if is_new else None
 
     kinds = {f.name: f.dataType.simpleString() for f in new.schema.fields}
-    return rows.groupBy(group).applyInPandas(fold, f"`{group}` {kinds[group]}, `{url}` {kinds[url]}, `{seq}` {kinds[seq]}")
+    return folded(rows, group, ["__p", "__s"], lambda k: {"n": 0, "sets": [], "urls": set()}, step, f"`{group}` {kinds[group]}, `{url}` {kinds[url]}, `{seq}` {kinds[seq]}")
 
 
 def cosine(a: Column, b: Column) -> Column:

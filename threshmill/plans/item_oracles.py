@@ -91,7 +91,7 @@ ORACLE_SQL: dict[str, str] = {
     "venue_texts": "SELECT doc_id, least(length(text), 4000) AS n FROM documents WHERE length(coalesce(text, '')) >= CASE WHEN doc_id % 3 = 2 THEN 100 ELSE 300 END",
     "fallback_sources": """WITH x AS (SELECT doc_id, doc_id % 90 AS g, doc_id % 7 % 3 AS level, length(coalesce(text, '')) AS n FROM documents), l AS (SELECT * FROM x WHERE n >= CASE level WHEN 0 THEN 800 WHEN 1 THEN 500 ELSE 200 END),
       c AS (SELECT g, count(*) FILTER (WHERE level = 0) AS c0, count(*) FILTER (WHERE level = 1) AS c1 FROM l GROUP BY g)
-      SELECT doc_id, g, level FROM l JOIN c USING (g) WHERE level = 0 OR (level = 1 AND c0 < 3) OR (level = 2 AND c0 + CASE WHEN c0 < 3 THEN c1 ELSE 0 END < 0)""",
+      SELECT doc_id, g, level FROM l JOIN c USING (g) WHERE level = 0 OR (level = 1 AND c0 < 3) OR (level = 2 AND c0 + CASE WHEN c0 < 3 THEN c1 ELSE 0 END < 4)""",
     "source_tiers": f"""WITH {HOSTS}, h AS (SELECT page_id, CASE WHEN page_id % 20 = 0 THEN 'cdc.gov' ELSE host END AS domain, page_id % 2 AS soc FROM hosts), b AS (SELECT soc, domain, min(page_id) AS p FROM h WHERE page_id % 7 = 0 GROUP BY ALL), a AS (SELECT soc, domain, min(page_id) AS p FROM h WHERE page_id % 5 = 0 GROUP BY ALL)
       SELECT h.page_id, CASE WHEN h.domain IN ('cdc.gov', 'bls.gov', 'osha.gov') OR b.p IS NOT NULL THEN 'A' WHEN a.p IS NOT NULL THEN CASE WHEN a.p % 2 = 0 THEN 'A' ELSE 'B' END WHEN suffix(h.domain, '.com') THEN 'C' ELSE 'B' END AS tier,
       CASE h.domain WHEN 'cdc.gov' THEN 'U.S. Centers for Disease Control and Prevention' WHEN 'bls.gov' THEN 'U.S. Bureau of Labor Statistics' WHEN 'osha.gov' THEN 'U.S. Occupational Safety and Health Administration' ELSE coalesce('board ' || b.p, 'assoc ' || a.p, h.domain) END AS publisher

@@ -208,7 +208,7 @@ def venue_texts(spark, d):
 def fallback_sources(spark, d):
     """[S24] Later levels only where earlier ones have too few sources."""
     x = read(spark, d, "documents").select("doc_id", (F.col("doc_id") % 90).alias("g"), (F.col("doc_id") % 7 % 3).cast("int").alias("level"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    return sourcing.with_fallback(x, "g", "level", {0: (2, 800), 1: (3, 500), 2: (0, 200)}, F.col("n")).select("doc_id", "g", "level")
+    return sourcing.with_fallback(x, "g", "level", {0: (0, 800), 1: (3, 500), 2: (4, 200)}, F.col("n")).select("doc_id", "g", "level")
 
 
 @query
