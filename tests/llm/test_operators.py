@@ -613,6 +613,12 @@ def test_language_folds_every_script(spark):
     assert got[100] == got[101] and got[100][0] == "x"
 
 
+def test_language_of_very_many_values(spark):
+    rows = [(i, prose(12, i), f"lang{i % 900}") for i in range(1500)]
+    got = language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == 1500 and len({r.lang_pred for r in got}) <= 512
+
+
 def test_language_held_out(spark):
     r = random.Random(4)
     alphabets = {"aa": "abcdeilmno", "bb": "uvwxyzkßöä", "cc": "éèçouraint"}

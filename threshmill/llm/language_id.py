@@ -10,7 +10,9 @@ stays, as only texts without a letter are `und`.
 
 The classifier is fitted on a bounded sample: `per_language` learnable
 documents of each language, those with the smallest hashes of their doc_id (in
-each of PARTS parts by hash, then among those). There may be up to MOST_LANGUAGES languages. Every whole text is classified.
+each of PARTS parts by hash, then among those), for the MOST_LANGUAGES languages
+with most documents there and MOST_EXAMPLES documents at most. Every whole text
+is classified.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threshmill.llm.common import lean, short_batches, text_chunks
+from threshmill.llm.common import cut, discard, lean, short_batches, text_chunks
 
 DIMENSIONS = 4096
 PER_LANGUAGE = 256
 MOST_LANGUAGES = 512
+#: Documents of all languages together that the driver holds; with many languages each gives fewer.
+MOST_EXAMPLES = 8192
 #: Parts that a language's documents are sampled in; each gives eight times its even share at most.
 PARTS = 64
 CENTROIDS = 3
@@ -137,12 +141,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     can = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & learnable() & (F.length(F.trim("text")) > 0)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"))
     # the first of 64 parts of each language, then the first of those: a language is never one task's
     parts = Window.partitionBy("lang", F.pmod("h", F.lit(PARTS))).orderBy("h", "doc_id")
-    first = can.distinct().withColumn("r", F.row_number().over(parts)).where(F.col("r") <= max(8 * per_language // PARTS, 1)).drop("r")
+    first = cut(can.distinct().withColumn("r", F.row_number().over(parts)).where(F.col("r") <= max(8 * per_language // PARTS, 1)).drop("r"))
+    often = [r.lang for r in first.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
+    each = max(min(per_language, MOST_EXAMPLES // max(len(often), 1)), 1)
     whole = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = first.withColumn("r", F.row_number().over(whole)).where(F.col("r") <= per_language).select("doc_id", "lang")
-    chosen = chosen.limit(MOST_LANGUAGES * per_language + 1).collect()
-    if len({r.lang for r in chosen}) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
+    chosen = first.where(F.col("lang").isin(often)).withColumn("r", F.row_number().over(whole)).where(F.col("r") <= each).select("doc_id", "lang").collect()
+    discard(first)
     if not chosen:
         return Model([], np.zeros(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), 0.0)
     picked = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, lang string"))
