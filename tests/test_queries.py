@@ -80,3 +80,14 @@ def test_missing_operators_are_not_claimed():
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_ordered_texts_cut_at_a_space(spark, tmp_path):
+    # the cut falls behind, at and before the space between two turns; a conversation without an id; turns without a place or a text
+    turns = [(c, t, x * n) for c, n in ((1, 699), (2, 700), (3, 698), (None, 699)) for t, x in ((0, "a"), (1, "b"))]
+    turns += [(4, 0, ""), (4, 1, "c" * 698), (4, 2, None), (4, 3, "d"), (5, None, "last"), (5, 3, "first"), (6, 0, None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    mine, theirs = queries.QUERIES["ordered_texts"](spark, str(tmp_path)).toPandas(), c.execute(SQL["ordered_texts"]).df()
+    assert rows(mine) == rows(theirs)

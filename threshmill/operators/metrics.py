@@ -119,13 +119,16 @@ def rolled_up(maps: DataFrame, counts: str) -> DataFrame:
 def ordered_text(df: DataFrame, group: str, text: str, order: Sequence[str], most: int = 4000) -> DataFrame:
     """A5: a group's texts in order, joined by spaces and cut, with counts of all and of different texts.
 
-    Only texts that begin before the cut are joined, so a group never holds more than `most` characters and one text.
+    Only texts that begin at the cut or before it are joined, so a group never
+    holds more than `most` characters and two texts; one that begins right at
+    the cut still brings the space before it. Rows without a place in the order
+    come last, rows without a group are one group.
     """
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(group).orderBy(*[F.col(c).asc_nulls_last() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     before = df.select(group, text, *order).withColumn("__before", F.coalesce(F.sum(F.length(text) + 1).over(w), F.lit(0)))
-    joined = before.where((F.col("__before") < most) & F.col(text).isNotNull()).groupBy(group).agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__before", text))), lambda x: x[text]), " "), 1, most).alias("texts"))
-    counts = df.groupBy(group).agg(F.count("*").alias("n"), F.countDistinct(text).alias("n_texts"))
-    return counts.join(joined, group, "left")
+    parts = F.array_sort(F.collect_list(F.when((F.col("__before") <= most) & F.col(text).isNotNull(), F.struct("__before", text))))
+    joined = F.when(F.size(parts) > 0, F.substring(F.array_join(F.transform(parts, lambda x: x[text]), " "), 1, most))
+    return before.groupBy(group).agg(F.count("*").alias("n"), F.countDistinct(text).alias("n_texts"), joined.alias("texts"))
 
 
 def kept_share(df: DataFrame, group: str, kept: Column) -> DataFrame:
