@@ -42,6 +42,17 @@ def near_components(rows: list[tuple], k: int = 5, percent: int = 75) -> dict[in
     return {d: (len(s), root(d)) for d, s in sets.items()}
 
 
+def near_links(rows: list[tuple], k: int = 5, percent: int = 75) -> dict[int, tuple[int, int]]:
+    """doc_id to (different other sets that it links with, other documents that it links with)."""
+    sets = {}
+    for doc, text in rows:
+        w = WORD.findall(small(text or ""))
+        sets[doc] = frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+    copies = Counter(s for s in sets.values() if s)
+    near = {s: [t for t in copies if 100 * len(s & t) >= percent * len(s | t)] for s in copies}
+    return {d: (len(near[s]) - 1, sum(copies[t] for t in near[s]) - 1) if s else (0, 0) for d, s in sets.items()}
+
+
 def without_repeats(rows: list[tuple], k: int = 35) -> list[tuple]:
     """(doc_id, words, removed, digest of the kept words) of each row."""
     words = [WORD.findall(t or "") for _, t in rows]

@@ -159,6 +159,24 @@ def test_near_components_of_many_equal_rows(spark, hot):
     assert {(r.doc_id, r.component_id) for r in rows if not r.n_shingles} == {(None, None)}
 
 
+@pytest.mark.parametrize("block", [1 << 18, 500])
+def test_all_links_are_counted(spark, block):
+    # large groups of near copies, of which components need only few links; copies count as documents
+    rows = [(i, edit(prose(60, i % 3), i % 4, i)) for i in range(120)] + [(200 + i, prose(60, 0)) for i in range(5)] + [(300 + i, prose(RNG.randint(1, 7), i % 4)) for i in range(30)] + [(400, None), (401, " ")]
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block=block).collect()
+    assert {r.doc_id: (r.set_links, r.n_links) for r in got} == brute.near_links(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near_components(rows)
+
+
+@pytest.mark.parametrize("percent,classes", [(50, (2, 4)), (34, (2, 4)), (66, (2, 4)), (50, (1, 2))])
+def test_low_thresholds_link_sets_of_one_or_two_tokens(spark, percent, classes):
+    # single words as tokens: small sets share fewer tokens than a key of frequent ones would hold
+    rows = [(i, f"often w{i}") for i in range(12)] + [(20, "often"), (21, "often w1 more"), (22, "w1 often")] + [(30 + i, f"often again x{i}") for i in range(6)]
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), k=1, percent=percent, classes=classes).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near_components(rows, 1, percent)
+    assert {r.doc_id: (r.set_links, r.n_links) for r in got} == brute.near_links(rows, 1, percent)
+
+
 def test_components_of_random_links(spark):
     from threshmill.llm.components import components
 

@@ -26,6 +26,10 @@ is exact and takes these steps:
    that are then in different components are paired. Thus a group of g near
    copies costs g pairs and not g * g, and no link between components is lost.
 5. Verification of each pair on its whole sets; then connected components.
+6. Numbers of links. All links lie within components. Each component's sets are
+   dealt to blocks, and each two blocks meet once: all intersections of their
+   sets are counted by inverted lists, and each set's links are added up where
+   they are found. So every link counts, but no row is made for a pair.
 
 Nothing is sampled or capped. Tokens are 64-bit hashes of their words, all bits
 of which are compared; two sets of a thousand tokens each share a token by
@@ -318,9 +322,10 @@ def _chosen(starts: int, end: int, k: int) -> np.ndarray:
 def orders_of(n: int, percent: int, widest: tuple[int, int], most: int) -> set[int]:
     """How many tokens a key of a set of n tokens has, where the token's class wants `most`: as its own size allows, and as those of its partners do."""
     def best(size: int) -> int:
-        return max(k for k in range(1, most + 1) if k == 1 or size <= widest[k - 2])
+        # a partner of a set shares percent of it at least; a key can't have more tokens than that
+        return max(k for k in range(1, most + 1) if k == 1 or size <= widest[k - 2] and k <= -(-percent * size // 100))
 
-    edges = [w + d for w in widest for d in (0, 1)]
+    edges = [w + d for w in (*widest, *(100 * k // percent for k in range(1, most))) for d in (0, 1)]
     low, high = -(-percent * n // 100), 100 * n // percent
     return {best(m) for m in (n, low, high, *(e for e in edges if low <= e <= high))}
 
@@ -394,6 +399,71 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+#: Tokens of a block of a component's sets.
+BLOCK_TOKENS = 1 << 18
+#: Intersections, and places in lists, that are counted at once.
+AT_ONCE = 1 << 22
+
+
+def _spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of all runs of `counts` from `starts`, one after the other."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
+def _linked(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, whether each set from it on links with each of the right ones); a side has its sets' sizes, and the starts of their tokens with the end, and the tokens."""
+    (n, starts, tokens), (other_n, other_starts, other_tokens) = left, right
+    order = np.argsort(other_tokens, kind="stable")
+    ordered, owner = other_tokens[order], np.repeat(np.arange(len(other_n)), np.diff(other_starts))[order]
+    low = np.searchsorted(ordered, tokens, side="left")
+    many = np.searchsorted(ordered, tokens, side="right") - low
+    upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(many)))[starts]
+    x = 0
+    while x < len(n):
+        y = max(x + 1, min(x + AT_ONCE // len(other_n), int(np.searchsorted(upto, upto[x] + AT_ONCE, side="right")) - 1))
+        a, b = starts[x], starts[y]
+        row = np.repeat(np.repeat(np.arange(y - x), np.diff(starts[x : y + 1])), many[a:b])
+        both = np.bincount(row * len(other_n) + owner[_spans(low[a:b], many[a:b])], minlength=(y - x) * len(other_n)).reshape(y - x, -1)
+        yield x, 100 * both >= percent * (n[x:y, None] + other_n[None, :] - both)
+        x = y
+
+
+def _count_links(part: pa.Table, percent: int) -> pa.Table:
+    """Of one bucket: for each set of two blocks that meet, the sets of the other block that it links with, and their documents."""
+    label, one, two, side, key, n, copies = (part.column(c).to_numpy() for c in ("label", "one", "two", "side", "key", "n", "copies"))
+    lists = part.column("tokens").combine_chunks()
+    at, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+    order = np.lexsort((key, side, two, one, label))
+    new = np.any([x[order][1:] != x[order][:-1] for x in (label, one, two)], axis=0)
+    sets, documents = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+    for rows in np.split(order, np.flatnonzero(new) + 1):
+        same = one[rows[0]] == two[rows[0]]
+        halves = [rows, rows] if same else [rows[side[rows] == 0], rows[side[rows] == 1]]
+        if not all(map(len, halves)):
+            continue
+        a, b = ((n[x].astype(np.int64), np.concatenate(([0], np.cumsum(at[x + 1] - at[x]))), values[_spans(at[x], at[x + 1] - at[x])]) for x in halves)
+        for x, linked in _linked(a, b, percent):
+            mine = halves[0][x : x + len(linked)]
+            if same:
+                linked[np.arange(len(linked)), x + np.arange(len(linked))] = False
+            else:
+                sets[halves[1]] += linked.sum(axis=0)
+                documents[halves[1]] += copies[mine] @ linked
+            sets[mine] += linked.sum(axis=1)
+            documents[mine] += linked @ copies[halves[1]]
+    return pa.table({"key": pa.array(key), "set_links": pa.array(sets), "links": pa.array(documents)})
+
+
+def link_counts(sets: DataFrame, labels: DataFrame, copies: DataFrame, percent: int, n_buckets: int, block: int = BLOCK_TOKENS) -> DataFrame:
+    """(key, set_links, links) of each set of a component: the sets that it links with, and their documents. Each two blocks of a component meet in one task."""
+    blocks = labels.join(sets.select("key", "n"), "key").groupBy("label").agg(F.ceil(F.sum("n") / block).alias("blocks"))
+    mine = labels.join(blocks, "label").join(copies, "key").withColumn("own", F.pmod("key", "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = mine.select("key", "label", "copies", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    dealt = sets.join(met, "key").withColumn("bucket", F.pmod(F.xxhash64("label", "one", "two"), F.lit(n_buckets)))
+    counted = dealt.groupBy("bucket").applyInArrow(lean_group(lambda t: _count_links(t, percent)), "key long, set_links long, links long")
+    return counted.groupBy("key").agg(F.sum("set_links").alias("set_links"), F.sum("links").alias("links"))
+
+
 def _fits(n: str, most: str, other_n: str, other_most: str, percent: int) -> F.Column:
     """Whether the sizes of two sets and the places of a common key allow the similarity."""
     shared, total = F.least(most, other_most).cast("long"), F.col(n).cast("long") + F.col(other_n).cast("long")
@@ -429,16 +499,17 @@ def useful_entries(index: DataFrame, percent: int, share: float, least: int) ->
     return useful, long
 
 
-def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, classes: tuple[int, int] = CLASSES, widest: tuple[int, int] = WIDEST, hot_share: float = 1 / 512, hot_least: int = 2048, first_buckets: int = FIRST_BUCKETS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) and set_links.
+def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, classes: tuple[int, int] = CLASSES, widest: tuple[int, int] = WIDEST, hot_share: float = 1 / 512, hot_least: int = 2048, first_buckets: int = FIRST_BUCKETS, block: int = BLOCK_TOKENS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), set_links and n_links.
 
     docs needs doc_id and text; other columns are ignored, whatever their names.
     A null or blank text has the empty set, links with nothing and is its own
     component. A document of fewer than k words has one shingle. Repeated rows
     give repeated rows. A null doc_id keeps its row; its component is the
-    smallest known doc_id that it reaches, else null. set_links counts the
-    verified links of a document's token set that were needed to connect it.
-    An empty table gives no rows.
+    smallest known doc_id that it reaches, else null. set_links counts the other
+    token sets that a document's set links with, n_links the other documents
+    that it links with, copies and repeated rows included. An empty table gives
+    no rows.
     """
     spark = docs.sparkSession
     short_batches(spark)
@@ -470,18 +541,19 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, classes:
     links = links.unionByName(rest)
     if not rest.isEmpty():
         labels = components(links)
-    degree = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("set_links"))
-    keys = members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    keys = keys.join(labels, "key", "left").join(degree, "key", "left").select("key", "least", "copies", F.coalesce("label", "key").alias("label"), F.coalesce("set_links", F.lit(0)).alias("set_links"))
+    copies = cut(members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    counts = link_counts(sets, labels, copies.select("key", "copies"), percent, n, block)
+    keys = copies.join(labels, "key", "left").join(counts, "key", "left").select("key", "least", "copies", F.coalesce("label", "key").alias("label"), F.coalesce("set_links", F.lit(0)).alias("set_links"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    keys = cut(keys)
     lowest = keys.groupBy("label").agg(F.min("least").alias("component"))
-    classes_of = cut(keys.join(lowest, "label").select("key", "component", "set_links", "copies"))
-    discard(lists, apart)
+    classes_of = cut(keys.join(lowest, "label").select("key", "component", "set_links", "n_links", "copies"))
+    discard(lists, apart, copies, keys)
     # sets that a share of all documents has are few, and their documents take no part in the shuffle
     documents = members.count()
     many = F.col("copies") >= max(hot_least, hot_share * documents)
     big = [r.key for r in classes_of.where(many).select("key").collect()]
-    blank = members.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component"), F.lit(0).cast("long").alias("set_links"))
-    out = blank.unionByName(members.where("n > 0").where(~F.col("key").isin(big) if big else F.lit(True)).join(classes_of.where(~many), "key").select("doc_id", "n", "component", "set_links"))
+    blank = members.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component"), F.lit(0).cast("long").alias("set_links"), F.lit(0).cast("long").alias("n_links"))
+    out = blank.unionByName(members.where("n > 0").where(~F.col("key").isin(big) if big else F.lit(True)).join(classes_of.where(~many), "key").select("doc_id", "n", "component", "set_links", "n_links"))
     if big:
-        out = out.unionByName(members.where(F.col("key").isin(big)).join(F.broadcast(classes_of.where(many)), "key").select("doc_id", "n", "component", "set_links"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), "set_links")
+        out = out.unionByName(members.where(F.col("key").isin(big)).join(F.broadcast(classes_of.where(many)), "key").select("doc_id", "n", "component", "set_links", "n_links"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), "set_links", "n_links")
