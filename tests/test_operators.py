@@ -39,6 +39,42 @@ def test_similar_pairs_are_complete(spark, least):
     assert sorted((x.a, x.b) for x in got) == want
 
 
+@pytest.mark.parametrize("least", [0.2, 0.6, 0.9])
+def test_similar_pairs_of_sets_of_all_sizes(spark, least):
+    # bitmaps of several widths, groups of near copies, equal sets, a null group, words in an order of their own
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(900)]
+    bases = [r.sample(words, n) for n in (12, 40, 90, 300, 700)]
+    rows = []
+    for i in range(150):
+        t = list(bases[i % 5])
+        for _ in range(r.randint(0, len(t) // 3)):
+            t[r.randrange(len(t))] = r.choice(words)
+        rows.append(((None, "g", "h")[i % 3], i, r.sample(t, r.randint(len(t) // 4, len(t))) if i % 4 == 0 else t))
+    rows += [("g", 200 + i, rows[1][2][::-1]) for i in range(4)] + [("g", 300, []), ("g", 301, None)]
+    sets = [(g, i, set(t or ())) for g, i, t in rows]
+    want = sorted((a, b, round(len(x & y) / len(x | y), 9)) for g, a, x in sets for h, b, y in sets if g and g == h and a < b and x and y and len(x & y) / len(x | y) >= least)
+    df = spark.createDataFrame(rows, "g string, i long, t array<string>").repartition(3)
+    assert sorted((x.a, x.b, round(x.jaccard, 9)) for x in similar.similar_pairs(df, "g", "i", "t", least).collect()) == want
+    kept: list[tuple] = []
+    for g, i, s in sets:
+        if all(not g or h != g or not s or not u or len(s & u) / len(s | u) < least for h, _, u in kept):
+            kept.append((g, i, s))
+    assert sorted(x.i for x in similar.greedy_keep(df, "g", "i", "t", least).collect()) == [i for _, i, _ in kept]
+
+
+def test_a_set_is_no_candidate_of_itself():
+    import struct
+
+    import numpy as np
+    import pyarrow as pa
+
+    # two tokens of the first set and one of the second have the same 32 bits
+    parts = [np.array(x, t) for x, t in (([5, 9], np.uint64), ([4, 4], np.uint32), ([2, 1], np.uint32), ([7, 7, 7], np.uint32), ([0, 1, 0], np.uint16), ([0] * 16, np.uint8))]
+    blob = struct.pack("<II", 2, 3) + b"".join(x.tobytes() for x in parts)
+    assert similar._candidates(pa.table({"bucket": [0], "blob": [blob]}), 0.6).to_pylist() == [{"x": 5, "y": 9}]
+
+
 def test_round_robin_is_the_loop(spark):
     r = random.Random(2)
     rows = [(f"g{r.randint(0, 2)}", f"m{r.randint(0, 4)}", i) for i in range(120)]
